@@ -76,9 +76,9 @@ def edit_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     text = F.coalesce(F.col(text_col), F.lit(""))
     bucket, n = ranges(df, id_col)
     rows = df.select(F.col(id_col), text.alias("t")).withColumn("_r", bucket)
-    first = F.min(F.struct(F.col(id_col).isNotNull().alias("k"), F.col(id_col).alias("i"))).alias("h")
-    first = rows.select("_r", id_col).groupBy("_r").agg(first).select("_r", "h")  # MAX_RANGES rows at most, so it may be broadcast
-    heads = rows.join(F.broadcast(first), (rows["_r"] == first["_r"]) & rows[id_col].eqNullSafe(first["h.i"])).groupBy(rows["_r"]).agg(F.min("t").alias("t"))
+    least = F.min(F.struct(F.col(id_col).isNotNull().alias("k"), F.col(id_col).alias("i")))
+    first = rows.groupBy("_r").agg(least.alias("h")).select(F.col("_r").alias("_h"), F.col("h.i").alias("_i"))  # MAX_RANGES rows at most, so it may be broadcast
+    heads = rows.join(F.broadcast(first), (F.col("_r") == F.col("_h")) & F.col(id_col).eqNullSafe(F.col("_i"))).groupBy("_r").agg(F.min("t").alias("t"))
     order = W.orderBy("_r")  # over one row a range
     heads = heads.select("_r", F.lead("t").over(order).alias("after"), F.first("t").over(order).alias("first"))
     heads = heads.select("_r", F.coalesce("after", "first").alias("after"))

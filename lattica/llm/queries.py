@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lattica.llm import fingerprint, url_filter
+from lattica.llm import bpe, fingerprint, piece_count, top_k, url_filter, warc
+from lattica.llm.util import scratch
 
 
 def table(spark, sf_dir: str, name: str):
@@ -15,6 +16,31 @@ def table(spark, sf_dir: str, name: str):
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op3_top_k(spark, sf_dir):
+    return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def vocabulary() -> tuple[str, str]:
+    """The rank file and the pattern that cuts texts before its merges."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op4_bpe(spark, sf_dir):
+    return bpe.digest_documents(table(spark, sf_dir, "documents"), *vocabulary())
+
+
+def op6_warc(spark, sf_dir):
+    path = scratch(spark, "warc")
+    warc.write(warc.captures(table(spark, sf_dir, "pages"), min_payload=0), path)
+    return warc.page_report(spark, path)
+
+
+def op7_token_counts(spark, sf_dir):
+    return piece_count.count_pieces(table(spark, sf_dir, "documents"), *vocabulary())
+
+
 def op8_fingerprint(spark, sf_dir):
     return fingerprint.edit_report(table(spark, sf_dir, "documents"))
 
@@ -23,6 +49,26 @@ def op9_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT page_id, n, h, [CAST('0x' || substr(h, 5 * k + 1, 5) AS INTEGER) FOR k IN range(8)] AS g FROM p),
+d AS (SELECT page_id, n, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((g[1 + i // 4] >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '') AS payload_digest FROM b),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY n, payload_digest) AS winner FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> winner THEN winner END AS refers_to FROM w
+"""
+
 OP9_SQL = """
 WITH u AS (
   SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '') AS h, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
@@ -34,10 +80,16 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 """
 
 QUERIES = {
+    "op3_top_k": op3_top_k,
+    "op4_bpe": op4_bpe,
+    "op6_warc": op6_warc,
+    "op7_token_counts": op7_token_counts,
     "op8_fingerprint": op8_fingerprint,
     "op9_url_filter": op9_url_filter,
 }
 
 ORACLES = {
+    "op3_top_k": OP3_SQL,
+    "op6_warc": OP6_SQL,
     "op9_url_filter": OP9_SQL,
 }

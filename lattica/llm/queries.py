@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, fingerprint, piece_count, top_k, url_filter, warc
+from lattica.llm import bpe, fingerprint, mixing, piece_count, quality, top_k, url_filter, warc
 from lattica.llm.util import scratch
 
 
@@ -16,6 +16,10 @@ def table(spark, sf_dir: str, name: str):
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op1_quality(spark, sf_dir):
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_top_k(spark, sf_dir):
     return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -31,6 +35,20 @@ def op4_bpe(spark, sf_dir):
     return bpe.digest_documents(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+#: Target weights of the mix by level; sources weigh alike within a language of a domain.
+MIX_WEIGHTS = ({"d0": 4, "d1": 3, "d2": 2, "d3": 1}, {"en": 6, "de": 2, "fr": 2, "es": 1}, {})
+
+
+def mix_levels():
+    """Domain (by the source's checksum: the table has no domains of its own), language, source."""
+    return F.concat(F.lit("d"), F.coalesce(F.crc32(F.col("source").cast("binary")) % 4, F.lit(0))), F.col("lang"), F.col("source")
+
+
+def op5_mixing(spark, sf_dir):
+    m = mixing.mix(table(spark, sf_dir, "documents"), *mix_levels(), MIX_WEIGHTS, fraction=(1, 2), epochs=2)
+    return m.select("doc_id", F.col("_mix_domain").alias("domain"), "lang", "source", F.col("_mix_tokens").alias("n_tokens"), F.col("_mix_copies").alias("copies"))
+
+
 def op6_warc(spark, sf_dir):
     path = scratch(spark, "warc")
     warc.write(warc.captures(table(spark, sf_dir, "pages"), min_payload=0), path)
@@ -80,8 +98,10 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 """
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_top_k": op3_top_k,
     "op4_bpe": op4_bpe,
+    "op5_mixing": op5_mixing,
     "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts,
     "op8_fingerprint": op8_fingerprint,

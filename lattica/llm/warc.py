@@ -140,7 +140,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: the response or revisit, and the request and metadata records that name it in WARC-Concurrent-To.
 
-    (capture_id, target_uri, date, response, request, metadata); a part that the archive lacks is null."""
+    (capture_id, target_uri, date, response, request, metadata); a part that the archive lacks is null. Records without their payload column
+    give responses without it, and no payload is shuffled."""
+    of_main = [c for c in ("record_id", "type", "refers_to", "payload_digest", "payload") if c in records.columns]
     key = F.coalesce("concurrent_to", "record_id")
     main = F.col("type").isin("response", "revisit")
     part = lambda kind, *cols: F.first(F.when(kind, F.struct(*cols)), ignorenulls=True)
@@ -148,7 +150,7 @@ def assemble(records: DataFrame) -> DataFrame:
         records.withColumn("capture_id", key).groupBy("capture_id")
         .agg(
             F.first(F.when(main, F.col("target_uri")), ignorenulls=True).alias("target_uri"), F.first(F.when(main, F.col("date")), ignorenulls=True).alias("date"),
-            part(main, "record_id", "type", "refers_to", "payload_digest", "payload").alias("response"),
+            part(main, *of_main).alias("response"),
             part(F.col("type") == "request", "record_id").alias("request"), part(F.col("type") == "metadata", "record_id", "fields").alias("metadata"),
         )
     )
@@ -157,7 +159,7 @@ def assemble(records: DataFrame) -> DataFrame:
 def page_report(spark: SparkSession, archives: str, id_type: str = "long") -> DataFrame:
     """What the archives under ``archives`` tell of each page."""
     told = lambda k: F.try_element_at(F.col("metadata.fields"), F.lit(k))
-    return assemble(read(spark, archives)).select(
+    return assemble(read(spark, archives).drop("payload")).select(
         told("page-id").cast(id_type).alias("page_id"), told("payload-bytes").cast("long").alias("payload_bytes"),
         F.regexp_replace("response.payload_digest", "^sha1:", "").alias("payload_digest"), F.col("response.type").alias("record_type"), told("refers-to-page-id").cast(id_type).alias("refers_to"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, fingerprint, mixing, piece_count, quality, top_k, url_filter, warc
+from lattica.llm import bpe, fingerprint, mixing, piece_count, quality, suffix_dedup, top_k, url_filter, warc
 from lattica.llm.util import scratch
 
 
@@ -20,6 +20,10 @@ def op1_quality(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.removal_report(table(spark, sf_dir, "documents"), min_len=100)
+
+
 def op3_top_k(spark, sf_dir):
     return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -99,6 +103,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_top_k": op3_top_k,
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,

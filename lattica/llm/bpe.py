@@ -174,32 +174,43 @@ class TextEncoder:
         return got
 
 
-def encode_documents(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids binary): little-endian unsigned 32-bit integers."""
-    return _mapped(df, vocabulary, pattern, id_col, text_col, [("ids", pa.binary())], lambda bpe, packed: (packed,))
-
+def with_ids(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """The input's columns, then n_tokens long and ids binary (little-endian unsigned 32-bit integers), which replace columns of those names."""
+    bpe = df.sparkSession.sparkContext.broadcast(PrefixBPE(read_ranks(vocabulary)))
+    df = df.drop("n_tokens", "ids")
+    out = df.schema.add("n_tokens", "long").add("ids", "binary")
+    at = df.columns.index(text_col)
 
-def digest_documents(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): each text encoded and its ids decoded again."""
+    def run(batches):
+        encode = TextEncoder(bpe.value, pattern)
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                ids = [encode(t.as_py() or "") for t in part.column(at)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=out.names)
 
-    def digests(bpe, packed):
-        return len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(bpe.decode(memoryview(packed).cast("I"))).hexdigest()
+    return df.mapInArrow(run, out)
 
-    return _mapped(df, vocabulary, pattern, id_col, text_col, [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())], digests)
 
+def digest_documents(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256): each text encoded and its ids decoded again."""
 
-def _mapped(df, vocabulary, pattern, id_col, text_col, columns, made):
     bpe = df.sparkSession.sparkContext.broadcast(PrefixBPE(read_ranks(vocabulary)))
     source = df.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join([f"`{id_col}` {source.schema[0].dataType.simpleString()}", *(f"{n} {'long' if t == pa.int64() else 'binary' if t == pa.binary() else 'string'}" for n, t in columns)])
+    kind = source.schema[0].dataType.simpleString()
 
     def run(batches):
         own = bpe.value
         encode = TextEncoder(own, pattern)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                rows = [made(own, encode(t.as_py() or "")) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), columns, strict=True))], names=[id_col, *(n for n, _ in columns)])
-
-    return source.mapInArrow(run, schema)
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                n, ids, decoded = [], [], []
+                for t in part.column(1):
+                    packed = encode(t.as_py() or "")
+                    n.append(len(packed) // 4)
+                    ids.append(hashlib.sha256(packed).hexdigest())
+                    decoded.append(hashlib.sha256(own.decode(memoryview(packed).cast("I"))).hexdigest())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return source.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, fingerprint, mixing, piece_count, quality, suffix_dedup, top_k, url_filter, warc
+from lattica.llm import bpe, fingerprint, jaccard_join, mixing, piece_count, quality, suffix_dedup, top_k, url_filter, warc
 from lattica.llm.util import scratch
 
 
@@ -71,6 +71,16 @@ def op9_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard_join.component_report(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP3_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
@@ -111,6 +121,8 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_fingerprint": op8_fingerprint,
     "op9_url_filter": op9_url_filter,
+    "op10_jaccard_join": op10_jaccard_join,
+    "pipeline": pipeline,
 }
 
 ORACLES = {

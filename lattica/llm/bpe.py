@@ -19,6 +19,7 @@ from array import array
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 #: Distinct pieces whose ids a task keeps; then it starts anew, so memory is bounded.
 KEPT_PIECES = 500_000
@@ -178,7 +179,7 @@ def with_ids(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
     """The input's columns, then n_tokens long and ids binary (little-endian unsigned 32-bit integers), which replace columns of those names."""
     bpe = df.sparkSession.sparkContext.broadcast(PrefixBPE(read_ranks(vocabulary)))
     df = df.drop("n_tokens", "ids")
-    out = df.schema.add("n_tokens", "long").add("ids", "binary")
+    out = StructType([*df.schema.fields, StructField("n_tokens", LongType()), StructField("ids", BinaryType())])
     at = df.columns.index(text_col)
 
     def run(batches):

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lattica.llm.util import Rolling, chunks, flat
 
@@ -214,7 +215,7 @@ def scored(docs: DataFrame, model: GamModel, id_col: str = "doc_id", text_col: s
     """All columns of docs and _score double."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.withColumn("_text", F.col(text_col).cast("string"))
-    out = docs.schema.add("_score", "double")
+    out = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
 
     def run(batches):
         for part, x in _featured(batches):

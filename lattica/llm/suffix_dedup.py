@@ -291,7 +291,8 @@ def removal_report(docs: DataFrame, min_len: int = 100, id_col: str = "doc_id",
 def without_repeats(docs: DataFrame, min_len: int = 100, id_col: str = "doc_id", text_col: str = "text", most_in_a_shard: int = MOST_IN_A_SHARD) -> DataFrame:
     """The documents, with their columns, without the repeated bytes. A character of which a part was removed goes whole."""
     rows = _with_repeats(_keyed(docs, id_col, text_col), min_len, most_in_a_shard).drop("_d", "_t", "_text")
-    at = docs.columns.index(text_col)
+    names = docs.columns
+    at = names.index(text_col)
 
     def run(batches):
         for b in batches:
@@ -304,6 +305,6 @@ def without_repeats(docs: DataFrame, min_len: int = 100, id_col: str = "doc_id",
                 raw = text.as_py().encode()
                 kept, _ = kept_spans(len(raw), [p["s"] for p in places], [p["n"] for p in places])
                 texts.append("".join(raw[i:j].decode("utf-8", "ignore") for i, j in kept))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)], names=names)
 
     return rows.mapInArrow(run, docs.schema)

@@ -3,9 +3,11 @@
 A byte goes if a string of ``min_len`` bytes that covers it also starts earlier. All copies of such a string must meet, without all texts meeting:
 
 1. Each string of ``min_len`` bytes names one of its grams, the one of least hash: its anchor. Equal strings name equal anchors, so they meet in the
-   anchor's bucket. A document sends an anchor once for each place, with a hash of the neighbourhood that holds all strings it can
-   stand for. Anchors found once in the corpus end here. Of equal neighbourhoods all but the first repeat it whole: they are settled here too.
-2. Only anchors with several different neighbourhoods are left, one document's text for each neighbourhood. Their texts go to shards by anchor. A shard's
+   anchor's bucket. A document sends an anchor once for each place, with a hash of the neighbourhood that holds just the strings it
+   stands for. Anchors found once in the corpus end here. Of equal neighbourhoods all but the first repeat it whole: they are settled here too.
+2. Only anchors with several different neighbourhoods are left, one document's text for each neighbourhood. Their texts go to shards by anchor.
+   There, strings are told apart by their distance to the anchor in ``PARTS`` parts; those of a part share a stretch around the anchor, and where no other neighbourhood
+   has that stretch they can't repeat and are cut off. Of the rest a shard's
    suffix array comes from induced sorting, its permuted common prefixes from the array; runs of suffixes with ``min_len`` bytes or more in common are
    equal strings, of which the earliest stays.
 3. Anchors with more than ``MOST_IN_A_SHARD`` neighbourhoods (edges of a passage that very many texts share) go the exact way for the rest:
@@ -51,7 +53,9 @@ def gram_size(min_len: int) -> int:
 
 
 def anchors(data: np.ndarray, off: np.ndarray, min_len: int):
-    """For texts end to end: (document, start of the gram, neighbourhood's start and end, gram hash, neighbourhood hash) of every anchor."""
+    """For texts end to end: (document, start of the gram, neighbourhood's start and end, gram hash, neighbourhood hash) of every anchor.
+
+    A neighbourhood holds the strings in which no gram has a smaller hash than the anchor; every string is in that of its anchor."""
     k = gram_size(min_len)
     n, w = len(data), min_len - k + 1
     if n < min_len:
@@ -67,7 +71,22 @@ def anchors(data: np.ndarray, off: np.ndarray, min_len: int):
     padded[w - 1 : w - 1 + len(least)] = least
     at = np.flatnonzero(low == _slide(padded, w, np.maximum)[: len(low)])
     doc = np.searchsorted(off, at, "right") - 1
-    a, b = np.maximum(off[doc], at - (min_len - k)), np.minimum(off[doc + 1], at + min_len)
+    first, last = np.maximum(off[doc], at - w + 1), np.minimum(off[doc + 1] - min_len, at)
+    value = low[at]
+    for side, bound in ((-1, first), (1, last)):  # the nearest smaller anchor on either side ends the range of strings
+        live, step = np.arange(len(at)), 1
+        while len(live):
+            other = live + side * step
+            live = live[(other >= 0) & (other < len(at))]
+            other = live + side * step
+            near = np.abs(at[other] - at[live]) < w
+            live, other = live[near], other[near]
+            smaller = value[other] < value[live]
+            hit = live[smaller]
+            bound[hit] = np.maximum(bound[hit], at[other[smaller]] + 1) if side < 0 else np.minimum(bound[hit], at[other[smaller]] - w)
+            live = live[~smaller]
+            step += 1
+    a, b = first, last + min_len
     return doc, at, a, b, gram[at], hashes(a, b) ^ mixed((at - a).astype(np.uint64))
 
 
@@ -88,38 +107,62 @@ def _bucketed(rows: DataFrame, min_len: int, buckets: int) -> DataFrame:
                 continue
             d = np.asarray(part.column(part.schema.get_field_index("_d")), np.int64)[doc]
             t = np.asarray(part.column(part.schema.get_field_index("_t")), np.int32)[doc]
-            s, n = (a - off[doc]).astype(np.int64), (b - a).astype(np.int32)
+            s, n, i = (a - off[doc]).astype(np.int64), (b - a).astype(np.int32), (at - a).astype(np.int32)
             bucket = (mixed(gram) % np.uint64(buckets)).astype(np.int32)
             o = np.argsort(bucket, kind="stable")
             cut = np.r_[np.flatnonzero(np.diff(bucket[o], prepend=-1)), len(o)]
-            packed = [[x[o[i:j]].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)] for x in (gram, near, d, t, s, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[o[cut[:-1]]]), *(pa.array(x, pa.binary()) for x in packed)], names=["_b", "g", "c", "d", "t", "s", "n"])
+            packed = [[x[o[p:q]].tobytes() for p, q in zip(cut[:-1], cut[1:], strict=True)] for x in (gram, near, d, t, s, n, i)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[o[cut[:-1]]]), *(pa.array(x, pa.binary()) for x in packed)], names=["_b", "g", "c", "d", "t", "s", "n", "i"])
 
-    return rows.select("_d", "_t", "_text").mapInArrow(run, "_b int, g binary, c binary, d binary, t binary, s binary, n binary")
+    return rows.select("_d", "_t", "_text").mapInArrow(run, "_b int, g binary, c binary, d binary, t binary, s binary, n binary, i binary")
 
 
 def _met(table: pa.Table) -> pa.Table:
     """A bucket: repeats of a whole neighbourhood (settled), and the neighbourhoods to be compared (g is their anchor)."""
-    kinds = {"g": np.uint64, "c": np.uint64, "d": np.int64, "t": np.int32, "s": np.int64, "n": np.int32}
-    g, c, d, t, s, n = (np.frombuffer(b"".join(table[k].to_pylist()), v) for k, v in kinds.items())
-    o = np.argsort(g, kind="stable")
-    new = np.r_[True, g[o][1:] != g[o][:-1]]
+    kinds = {"g": np.uint64, "c": np.uint64, "d": np.int64, "t": np.int32, "s": np.int64, "n": np.int32, "i": np.int32}
+    held = [np.frombuffer(b"".join(table[k].to_pylist()), v) for k, v in kinds.items()]
+    o = np.argsort(held[0], kind="stable")
+    new = np.r_[True, held[0][o][1:] != held[0][o][:-1]][: len(o)]
     size = np.diff(np.r_[np.flatnonzero(new), len(o)])
     o = o[np.repeat(size > 1, size)]  # an anchor found once ends here
-    g, c, d, t, s, n = (x[o] for x in (g, c, d, t, s, n))
-    o = np.lexsort((s, t, d, c, g))
-    g, c, d, t, s, n = (x[o] for x in (g, c, d, t, s, n))
-    if not len(g):
-        return pa.table({"d": pa.array([], pa.int64()), "t": pa.array([], pa.int32()), "s": pa.array([], pa.int64()), "n": pa.array([], pa.int32()), "g": pa.array([], pa.int64()), "settled": pa.array([], pa.bool_())})
-    same_g = np.r_[False, g[1:] == g[:-1]]
-    same = same_g & np.r_[False, c[1:] == c[:-1]]
+    held = [x[o] for x in held]
+    o = np.lexsort((held[4], held[3], held[2], held[1], held[0]))
+    g, c, d, t, s, n, i = (x[o] for x in held)
+    same_g = np.r_[False, g[1:] == g[:-1]][: len(g)]
+    same = same_g & np.r_[False, c[1:] == c[:-1]][: len(g)]
     first = np.maximum.accumulate(np.where(same, 0, np.arange(len(g))))
     own = (d == d[first]) & (t == t[first]) & (s == s[first])  # the first itself, or the same row again
     group = np.cumsum(~same_g) - 1
-    several = np.bincount(group, ~same)[group] > 1
+    several = np.bincount(group, ~same)[group] > 1 if len(g) else own
     settled = ~own
     keep = settled | (several & ~same)
-    return pa.table({"d": d[keep], "t": t[keep], "s": s[keep], "n": n[keep], "g": g[keep].view(np.int64), "settled": settled[keep]})
+    return pa.table({"d": d[keep], "t": t[keep], "s": s[keep], "n": n[keep], "i": i[keep], "g": g[keep].view(np.int64), "settled": settled[keep]})
+
+
+#: Parts of the strings of a neighbourhood, by their distance to the anchor.
+PARTS = 4
+
+
+def _trimmed(g, i, texts: list[bytes], min_len: int):
+    """(kept, from, to): the neighbourhoods, and the stretch of each, in which strings may repeat those of another one of the same anchor."""
+    w = min_len - gram_size(min_len) + 1
+    step = -(-w // PARTS)
+    size = np.array([len(x) for x in texts])
+    off = np.r_[0, np.cumsum(size)]
+    hashes = Rolling(np.frombuffer(b"".join(texts), np.uint8))
+    most, least = i, i - (size - min_len)  # distances from the start of a string to the anchor
+    live = np.zeros((len(texts), PARTS), bool)
+    for k in range(PARTS):
+        lo, hi = k * step, min(w, (k + 1) * step) - 1
+        v = np.flatnonzero((lo <= most) & (hi >= least)) if hi >= lo else np.zeros(0, int)
+        if len(v):
+            at = off[v] + i[v]
+            h = hashes(at - lo, at - hi + min_len) ^ mixed(g[v].view(np.uint64))
+            live[v, k] = (lambda inverse, count: count[inverse] > 1)(*np.unique(h, return_inverse=True, return_counts=True)[1:])
+    kept = np.flatnonzero(live.any(1))
+    first, last = live[kept].argmax(1), PARTS - 1 - live[kept][:, ::-1].argmax(1)
+    far, near = np.minimum(most[kept], np.minimum(w, (last + 1) * step) - 1), np.maximum(least[kept], first * step)
+    return kept, i[kept] - far, i[kept] - near + min_len
 
 
 def _earlier_in_shard(d, t, s, texts: list[bytes], min_len: int):
@@ -153,8 +196,12 @@ def _earlier_in_shard(d, t, s, texts: list[bytes], min_len: int):
 
 def _shard(min_len: int):
     def run(table: pa.Table) -> pa.Table:
-        g, d, t, s = (np.asarray(table[k]) for k in ("g", "d", "t", "s"))
+        g, d, t, s, i = (np.asarray(table[k]) for k in ("g", "d", "t", "s", "i"))
         texts = table["x"].to_pylist()
+        if texts:
+            kept, a, b = _trimmed(g, i.astype(np.int64), texts, min_len)
+            texts = [texts[k][p:q] for k, p, q in zip(kept.tolist(), a.tolist(), b.tolist(), strict=True)]
+            g, d, t, s = g[kept], d[kept], t[kept], s[kept] + a
         o = np.argsort(g, kind="stable")
         out, part, held = [], [], 0
         cuts = np.r_[np.flatnonzero(np.r_[True, g[o][1:] != g[o][:-1]][: len(o)]), len(o)]
@@ -179,8 +226,8 @@ def _shard(min_len: int):
 
 
 def _neighbourhoods(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: (d, t, s, n, g). Adds x, the bytes: the texts meet their own list of places."""
-    lists = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("s", "n", "g")).alias("_w"))
+    """wanted: (d, t, s, n, g, i). Adds x, the bytes: the texts meet their own list of places."""
+    lists = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("s", "n", "g", "i")).alias("_w"))
     met = rows.select("_d", "_t", "_text").join(lists, (F.col("_d") == F.col("d")) & (F.col("_t") == F.col("t"))).select("d", "t", "_text", "_w")
 
     def run(batches):
@@ -189,16 +236,16 @@ def _neighbourhoods(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             w = part.column(3)
             w = w.combine_chunks() if isinstance(w, pa.ChunkedArray) else w
             places = w.flatten()
-            s, n, g = (np.asarray(places.field(k)).astype(np.int64) for k in range(3))
+            s, n, g, near = (np.asarray(places.field(k)).astype(np.int64) for k in range(4))
             doc = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(w.offsets)))
             a = off[doc] + s
             raw = data.tobytes()
             for at in range(0, len(a), 8192):
                 i = slice(at, at + 8192)
                 x = [raw[p : p + q] for p, q in zip(a[i].tolist(), n[i].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(g[i]), part.column(0).take(pa.array(doc[i])), part.column(1).take(pa.array(doc[i])), pa.array(s[i]), pa.array(x, pa.binary())], names=["g", "d", "t", "s", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(g[i]), part.column(0).take(pa.array(doc[i])), part.column(1).take(pa.array(doc[i])), pa.array(s[i]), pa.array(x, pa.binary()), pa.array(near[i].astype(np.int32))], names=["g", "d", "t", "s", "x", "i"])
 
-    return met.mapInArrow(run, "g long, d long, t int, s long, x binary").dropDuplicates(["g", "d", "t", "s"])
+    return met.mapInArrow(run, "g long, d long, t int, s long, x binary, i int").dropDuplicates(["g", "d", "t", "s", "i"])
 
 
 def _by_value(rows: DataFrame, min_len: int) -> DataFrame:
@@ -228,9 +275,9 @@ def repeats(rows: DataFrame, min_len: int, most_in_a_shard: int = MOST_IN_A_SHAR
     """(d, t, s, n): stretches to remove, n bytes from byte s; they may overlap. rows: from _keyed()."""
     spark = rows.sparkSession
     buckets = partitions(spark, total_bytes(rows, "_text"), BUCKET_TEXT)
-    met = _bucketed(rows, min_len, buckets).groupBy("_b").applyInArrow(_met, "d long, t int, s long, n int, g long, settled boolean")
+    met = _bucketed(rows, min_len, buckets).groupBy("_b").applyInArrow(_met, "d long, t int, s long, n int, i int, g long, settled boolean")
     met = stored(met, "anchors")
-    open_ = met.filter("NOT settled").select("d", "t", "s", "n", "g")
+    open_ = met.filter("NOT settled").select("d", "t", "s", "n", "g", "i")
     crowd = open_.groupBy("g").agg(F.count("*").alias("_k")).filter(F.col("_k") > most_in_a_shard).select("g")
     crowd = stored(crowd, "crowded")  # rows / most_in_a_shard of them at most
     crowded = crowd.count()

@@ -32,7 +32,7 @@ def confusion(df: DataFrame, by: list[str] = ()) -> DataFrame:
 
 def confusion_matrix(df: DataFrame, classes: list[int]) -> DataFrame:
     """A row per true class and a column per predicted one."""
-    return labelled(df).groupBy("y_true").pivot("y_pred", classes).agg(F.count("*")).na.fill(0)
+    return labelled(df).groupBy("y_true").pivot("y_pred", classes).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def _on(a: DataFrame, b: DataFrame, by: list[str], *more):

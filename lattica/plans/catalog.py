@@ -1,4 +1,7 @@
 """All queries that are bound to the driver's tables, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lattica.plans import q_metrics
+
+_PARTS = (q_metrics,)
+QUERIES: dict = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
+ORACLES: dict = {k: s for p in _PARTS for k, s in p.ORACLES.items()}

@@ -1,9 +1,12 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+REPO = str(Path(__file__).resolve().parent.parent)
+sys.path.insert(0, REPO)
+os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (REPO, os.environ.get("PYTHONPATH")) if x)  # for Python workers
 
 
 @pytest.fixture(scope="session")

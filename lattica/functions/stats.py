@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 #: Pairs up to which all sign patterns are counted.
 EXACT_PAIRS = 20
@@ -67,21 +68,21 @@ def wilcoxon_tail(ranks: list[float], w: float) -> float:
     return float(min(1.0, 2 * counts[: int(math.floor(2 * w + 1e-9)) + 1].sum() / 2.0 ** len(doubled)))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_tail_udf(t, df):  # noqa: D103
     import pandas as pd
 
     return pd.Series([None if a is None or b is None or a != a or b < 1 else t_tail(a, b) for a, b in zip(t, df, strict=True)], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_tail_udf(z):  # noqa: D103
     import pandas as pd
 
     return pd.Series([None if a is None or a != a else normal_tail(a) for a in z], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def wilcoxon_tail_udf(ranks, w):  # noqa: D103
     import pandas as pd
 
@@ -140,7 +141,7 @@ def permutation_exact(pairs: DataFrame, key: str, by: list[str] = ()) -> DataFra
     few = g.filter(F.col("n") <= EXACT_PAIRS).drop("observed", "_n")
     held = d.join(few, by) if by else d.crossJoin(few)
     arrays = held.groupBy(*by, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct(key, "d"))), lambda s: s["d"]).alias("ds"))
-    masks = arrays.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftleft(F.lit(1).cast("long"), F.col("n")) - 1)))
+    masks = arrays.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), F.col("n")).cast("long") - 1)))
     total = lambda m: F.aggregate(F.zip_with("ds", F.sequence(F.lit(0), F.col("n") - 1), lambda v, k: F.when(F.floor(m / F.pow(F.lit(2.0), k)) % 2 == 1, -v).otherwise(v)), F.lit(0.0), lambda s, v: s + v)
     s = masks.withColumn("_s", F.abs(total(F.col("mask")))).withColumn("_o", F.abs(F.aggregate("ds", F.lit(0.0), lambda a, v: a + v)))
     p = s.groupBy(*by).agg(F.avg(F.when(F.col("_s") >= F.col("_o") - 1e-12, 1.0).otherwise(0.0)).alias("p_value"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType
 
 from lattica.functions import linalg
 from lattica.functions.metrics import argmax
@@ -95,7 +96,7 @@ class Mdm:
     def transform(self, df: DataFrame, column: str = "features") -> DataFrame:
         means = [np.array(m) for m in self.means]
 
-        @pandas_udf("array<double>")
+        @pandas_udf(ArrayType(DoubleType()))
         def proba(v):
             import pandas as pd
 

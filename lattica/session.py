@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +20,9 @@ def session(name: str = "lattica", master: str | None = None, shuffle_partitions
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     return s
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); a local one only where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{(base or tempfile.mkdtemp(prefix='lattica-')).rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -34,12 +34,14 @@ def synthetic(spark: SparkSession, subjects: int = 3, trials: int = 40, channels
     """One row per trial, made where it is read; every trial only depends on (seed, subject, trial)."""
     import pyarrow as pa
 
+    kinds = pa.schema([("dataset", pa.string()), ("subject_id", pa.int64()), ("session", pa.string()), ("trial_id", pa.int64()), ("label", pa.int32()), ("fs", pa.float64()), ("signal", pa.list_(pa.list_(pa.float64())))])
+
     def run(batches):
         for b in batches:
             for k in b.column(0).to_pylist():
                 subject, trial = divmod(k, trials)
                 label, x = synthetic_trial(subject + 1, trial, channels, n, fs, classes, seed, snr)
-                yield pa.RecordBatch.from_pylist([{"dataset": "synthetic", "subject_id": subject + 1, "session": "T", "trial_id": k, "label": label, "fs": fs, "signal": x.tolist()}])
+                yield pa.RecordBatch.from_pylist([{"dataset": "synthetic", "subject_id": subject + 1, "session": "T", "trial_id": k, "label": label, "fs": fs, "signal": x.tolist()}], schema=kinds)
 
     return spark.range(subjects * trials).mapInArrow(run, TRIAL_SCHEMA)
 

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lattica.session import shared_path
+
 
 def replay(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, max_files: int | None = None) -> DataFrame:
     """A folder of files as a stream; with max_files so many a micro-batch."""
@@ -158,11 +160,17 @@ def online_selector(df: DataFrame, calibrate: int, width: int) -> DataFrame:
     return df.select("subject_id", "trial_id", "label", "features").groupBy("subject_id").applyInPandasWithState(online_kernel(calibrate, width), ONLINE_SCHEMA, ONLINE_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Reads everything there is into an in-memory table: for tests and small replays."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Reads everything there is and returns the result as a table: files in the shared folder, appended, or (complete) written anew with each micro-batch."""
+    spark = stream.sparkSession
+    path = shared_path(spark, "stream")
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-log").trigger(availableNow=True)
+    if mode == "append":
+        q = w.format("parquet").start(path)
+    else:
+        q = w.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def publish(stream: DataFrame, subscribers: dict[str, Callable[[DataFrame, int], None]], checkpoint: str, topic: str = "topic"):

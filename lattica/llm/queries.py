@@ -44,8 +44,9 @@ MIX_WEIGHTS = ({"d0": 4, "d1": 3, "d2": 2, "d3": 1}, {"en": 6, "de": 2, "fr": 2,
 
 
 def mix_levels():
-    """Domain (by the source's checksum: the table has no domains of its own), language, source."""
-    return F.concat(F.lit("d"), F.coalesce(F.crc32(F.col("source").cast("binary")) % 4, F.lit(0))), F.col("lang"), F.col("source")
+    """Domain (by the source's MD5: the table has no domains of its own), language, source."""
+    digit = F.conv(F.substring(F.md5(F.col("source").cast("binary")), 1, 4), 16, 10).cast("long") % 4
+    return F.concat(F.lit("d"), F.coalesce(digit, F.lit(0)).cast("string")), F.col("lang"), F.col("source")
 
 
 def op5_mixing(spark, sf_dir):
@@ -92,6 +93,33 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+def _dealt_sql(name: str, rows: str, family: str, budget: str, weight: str, holds: str, order: str) -> str:
+    """Water filling of each family's budget in whole numbers, as CTEs ending in ``name`` (all columns of ``rows`` and share)."""
+    by = f"PARTITION BY {family} " if family else ""
+    return f"""{name}_a AS (SELECT *, CAST({budget} AS BIGINT) AS b,
+  CAST(coalesce(sum({holds}) OVER ({by}ORDER BY CAST({holds} AS DOUBLE) / {weight}, {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before_,
+  CAST(sum({weight}) OVER ({by}ORDER BY CAST({holds} AS DOUBLE) / {weight}, {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS left_ FROM {rows}),
+{name}_b AS (SELECT *, {holds} * left_ <= {weight} * (b - before_) AS full_ FROM {name}_a),
+{name}_c AS (SELECT *, CAST(coalesce(sum(CASE WHEN full_ THEN {holds} END) OVER ({by}), 0) AS BIGINT) AS taken_, CAST(coalesce(sum(CASE WHEN NOT full_ THEN {weight} END) OVER ({by}), 1) AS BIGINT) AS rest_ FROM {name}_b),
+{name} AS (SELECT * EXCLUDE (b, before_, left_, full_, taken_, rest_), CASE WHEN full_ THEN {holds} ELSE ({weight} * (b - taken_)) // rest_ END AS share FROM {name}_c)"""
+
+
+OP5_SQL = f"""
+WITH t AS (SELECT doc_id, lang, source, 'd' || coalesce(CAST('0x' || substr(md5(source), 1, 4) AS INTEGER) % 4, 0) AS domain, CAST((strlen(coalesce(text, '')) + 3) // 4 AS BIGINT) AS n_tokens FROM documents),
+leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(2 * sum(n_tokens) AS BIGINT) AS holds,
+  CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 WHEN 'd3' THEN 1 ELSE 1 END AS w1, CASE lang WHEN 'en' THEN 6 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS w2, 1 AS w3 FROM t GROUP BY ALL HAVING sum(n_tokens) > 0),
+top0 AS (SELECT domain, max(w1) AS w, CAST(sum(holds) AS BIGINT) AS h FROM leaf GROUP BY 1),
+{_dealt_sql("top", "top0", "", "(SELECT sum(n_tokens) FROM t) // 2", "w", "h", "domain NULLS FIRST")},
+mid0 AS (SELECT leaf.domain, lang, max(w2) AS w, CAST(sum(holds) AS BIGINT) AS h, max(share) AS db FROM leaf JOIN top USING (domain) GROUP BY ALL),
+{_dealt_sql("mid", "mid0", "domain", "db", "w", "h", "lang NULLS FIRST")},
+low0 AS (SELECT leaf.*, mid.share AS gb FROM leaf JOIN mid ON leaf.domain = mid.domain AND leaf.lang IS NOT DISTINCT FROM mid.lang),
+{_dealt_sql("low", "low0", "domain, lang", "gb", "w3", "holds", "source NULLS FIRST")},
+k AS (SELECT t.*, share // tokens AS whole, share % tokens AS part, md5('17:' || (share // tokens) || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key
+      FROM t JOIN low ON t.domain = low.domain AND t.lang IS NOT DISTINCT FROM low.lang AND t.source IS NOT DISTINCT FROM low.source),
+r AS (SELECT *, CAST(whole + CASE WHEN sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key RANGE UNBOUNDED PRECEDING) <= part THEN 1 ELSE 0 END AS INTEGER) AS copies FROM k)
+SELECT doc_id, domain, lang, source, n_tokens, copies FROM r WHERE copies > 0
+"""
+
 OP6_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
 b AS (SELECT page_id, n, h, [CAST('0x' || substr(h, 5 * k + 1, 5) AS INTEGER) FOR k IN range(8)] AS g FROM p),
@@ -127,6 +155,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_top_k": OP3_SQL,
+    "op5_mixing": OP5_SQL,
     "op6_warc": OP6_SQL,
     "op9_url_filter": OP9_SQL,
 }

@@ -139,7 +139,40 @@ def q_ica(spark, sf):
     return K.mapped(S.synthetic(spark, 1, 8, 4, 200), [K.ica_clean(x, 4, (0,))]).select("trial_id", F.size("signal").alias("channels"))
 
 
+def q_loso_evaluation(spark, sf):
+    """Two pipelines over three subjects held out in turn: a row of metrics each."""
+    from lattica.operators import experiments as X
+
+    t = S.synthetic(spark, 3, 24, 4, 128, classes=2, snr=1.0).repartition(4)
+    return X.subject_table(X.loso(t, [X.PRESETS["csp_lda"], X.PRESETS["riemann_mdm"]]), 2, 3.0)
+
+
+def q_calibrate(spark, sf):
+    """Cross-validated metrics of two pipelines on the table's trials."""
+    from lattica.operators import experiments as X
+
+    return X.calibrate(B.trials(spark, sf), [X.PRESETS["csp_lda"], X.PRESETS["riemann_mdm"]], k=2)
+
+
+def q_diagnostics(spark, sf):
+    """Distances between subjects before and after alignment."""
+    from lattica.operators import experiments as X
+
+    d = X.alignment_diagnostics(B.trials(spark, sf))
+    return spark.createDataFrame([(d["before"], d["after"])], "before double, after double")
+
+
+def q_band_weights(spark, sf):
+    from lattica.operators import experiments as X
+
+    return X.band_weights(B.features(spark, sf), 8)
+
+
 QUERIES = {
+    "loso_evaluation": q_loso_evaluation,
+    "calibrate": q_calibrate,
+    "alignment_diagnostics": q_diagnostics,
+    "band_weights": q_band_weights,
     "bandpass_power": q_bandpass_power,
     "denoised_energy": q_denoised,
     "psd_bins": q_psd,

@@ -160,7 +160,7 @@ class Config:
 def capabilities(channel_names: list[str], lead_field: bool = False) -> dict[str, bool]:
     """What a montage allows: neighbours need at least three 10-20 names."""
     standard = {"Fz", "Cz", "Pz", "Oz", "C3", "C4", "F3", "F4", "P3", "P4", "FC3", "FC4", "CP3", "CP4", "FCz", "CPz"}
-    return {"laplacian": len(standard & set(channel_names)) >= 3, "car": len(channel_names) > 1, "gedai": lead_field}
+    return {"laplacian": len(standard & set(channel_names)) >= 3, "car": len(channel_names) > 1, "lead_field": lead_field}
 
 
 def spatial_method(asked: str, able: dict[str, bool]) -> str:
@@ -203,3 +203,13 @@ def latex_rows(df: DataFrame, columns: list[str], digits: int = 3) -> DataFrame:
 def run_metadata(spark: SparkSession, dataset: str, seed: int, config: Config) -> DataFrame:
     """One row for the table of runs."""
     return spark.range(1).select(F.concat_ws("-", F.date_format(F.current_timestamp(), "yyyyMMdd'T'HHmmss"), F.substring(F.expr("uuid()"), 1, 8)).alias("run_id"), F.lit(dataset).alias("dataset"), F.lit(seed).alias("seed"), F.lit(config.digest()).alias("config_hash"), F.current_timestamp().alias("at"))
+
+
+def write_model(spark: SparkSession, path: str, arrays: dict[str, np.ndarray]) -> None:
+    """Fitted arrays (filters, means, weights) as a table of a row each: no pickles."""
+    rows = [(n, list(map(int, np.shape(a))), np.asarray(a, np.float64).ravel().tolist()) for n, a in arrays.items()]
+    spark.createDataFrame(rows, "name string, shape array<long>, data array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_model(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
+    return {r["name"]: np.array(r["data"]).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}

@@ -93,3 +93,10 @@ def test_config_and_planning(spark):
     with pytest.raises(ValueError, match="laplacian"):
         S.spatial_method("laplacian_strict", able)
     assert S.run_metadata(spark, "d", 1, c).first()["config_hash"] == c.digest()
+
+
+def test_models_round_trip(spark, tmp_path):
+    arrays = {"filters": np.arange(6.0).reshape(2, 3), "bias": np.array(0.5)}
+    S.write_model(spark, str(tmp_path / "m"), arrays)
+    back = S.read_model(spark, str(tmp_path / "m"))
+    assert all(np.array_equal(back[k], v) for k, v in arrays.items())

@@ -1,14 +1,15 @@
 """Exact similarity join of documents by the Jaccard similarity of their word n-grams, with signature trees.
 
-Texts with equal sets are one node, so copies never meet each other. Two sets as similar as asked share a gram among the few that come first in a
-common order of grams (rare ones first, those that very many documents hold last), so only documents that share such a gram are compared: a group
+Texts with equal sets are one node, so copies never meet each other. Two sets as similar as asked share several grams among those that come first in a
+common order of grams (rare ones first, those that very many documents hold last): of the first n - ceil(percent n / 100) + l of each, l at least. So a document
+with fewer than l of its first grams in any other document is done, and of the rest only documents that share such a gram are compared: a group
 for each gram; groups with the same members count once. A group's documents form a signature tree: a node holds the bits that any (OR) and all (AND) of its documents
 set and the range of their sizes. Two trees are walked together, and a pair of nodes is left where the sizes exclude each other or the largest
 possible overlap is too small: every bit that all on one side set and none on the other is a gram that isn't shared.
 What is left is compared as whole sets.
 
 Pairs within a component need no comparison. So first only neighbours by size within a group are compared, then, for groups whose documents still are in
-several components, a forest of the pairs left by the trees, then all pairs left: no link between components is lost, and a large group of
+several components and share enough such groups, a forest of the pairs left by the trees, then all pairs left: no link between components is lost, and a large group of
 near copies costs about one comparison a document.
 
 Defined results: null counts as empty; an empty set links with nothing and is its own component; repeated rows have equal sets and so one component; a null id
@@ -29,11 +30,17 @@ from lattica.llm.util import Rolling, chunks, flat, mixed, partitions, stored, t
 #: Grams in more than this share of documents come last in the order; so many of them at most, 16 bytes each, go to the tasks.
 COMMON_SHARE, MOST_COMMON = 1 / 500, 1 << 19
 #: Bits of a signature for each gram of the set.
-BITS_PER_GRAM = 4
+BITS_PER_GRAM = 8
+#: A signature is first compared folded to a quarter of its width: whoever has no partner then is done.
+FIRST_FOLD = 4
 #: So many keys of sets to be compared are broadcast at most; more meet their texts in a shuffled join.
 BROADCAST_SETS = 100_000
 BUCKET_TEXT = 32 << 20
 LEAF, FANOUT = 16, 8
+#: Documents of a group that meet in one task; larger groups are cut into blocks in order of size, and every two blocks meet.
+MOST_IN_A_TREE = 2000
+#: Members, about 2 kB each with their signature, that a task of the trees handles.
+TREE_ROWS = 3000
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -98,6 +105,15 @@ def enough(overlap, sizes, percent: int):
     return (100 + percent) * overlap >= percent * sizes
 
 
+def least_overlap(size, percent: int):
+    return -(-percent * size // 100)
+
+
+def shared_firsts(size, percent: int):
+    """l: how many of their first grams two documents of this size or more share at least."""
+    return np.maximum(1, (size - least_overlap(size, percent) + 1) // 3)
+
+
 class _Tree:
     """levels[0]: a node for each LEAF documents, in order of size; each higher level a node for FANOUT below."""
 
@@ -183,24 +199,27 @@ class _Join:
         """One pass: each row's set (its name, size, signature), and the grams that many rows of a chunk share."""
         words = self.words
         kind = self.rows.schema["id"].dataType.simpleString()
+        names = ["id", "th", "n", "sid", "sig", "small", "gram", "k"]
 
         def run(batches):
-            for part in chunks(batches, "text", 1 << 22):
+            for part in chunks(batches, "text"):
                 gram, off = gram_sets(*flat(part.column(1)), words)
                 size, sid = np.diff(off), _set_ids(gram, off)
-                sigs = [signature(gram[a:b]).tobytes() if b > a else None for a, b in zip(off[:-1], off[1:], strict=True)]
+                sigs = [signature(gram[a:b]) if b > a else None for a, b in zip(off[:-1], off[1:], strict=True)]
+                small = [None if x is None else folded(x, max(1, len(x) // FIRST_FOLD)).tobytes() for x in sigs]
+                sigs = [None if x is None else x.tobytes() for x in sigs]
                 n = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(size.astype(np.int64)), pa.array(sid, mask=size == 0), pa.array(sigs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["id", "th", "n", "sid", "sig", "gram", "k"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(size.astype(np.int64)), pa.array(sid, mask=size == 0), pa.array(sigs, pa.binary()), pa.array(small, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
                 held, k = np.unique(gram, return_counts=True)
                 many = k >= max(2, COMMON_SHARE * n)
                 held, k = held[many], k[many]
                 m = len(held)
                 if m:
-                    yield pa.RecordBatch.from_arrays([pa.nulls(m, part.column(0).type), *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())), pa.array(held.view(np.int64)), pa.array(k.astype(np.int64))], names=["id", "th", "n", "sid", "sig", "gram", "k"])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(m, part.column(0).type), *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())), pa.array(held.view(np.int64)), pa.array(k.astype(np.int64))], names=names)
 
-        scan = stored(self.rows.mapInArrow(run, f"id {kind}, th long, n long, sid long, sig binary, gram long, k long"), "sets")
+        scan = stored(self.rows.mapInArrow(run, f"id {kind}, th long, n long, sid long, sig binary, small binary, gram long, k long"), "sets")
         self.base = scan.filter("gram IS NULL").select("id", "th", "n", "sid")
-        self.sigs = scan.filter("sid IS NOT NULL").select("sid", "n", "sig")
+        self.sigs = scan.filter("sid IS NOT NULL").select("sid", "sig", "small")
         n = self.base.count()
         common = scan.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("k").alias("k")).filter(F.col("k") >= max(8, COMMON_SHARE * n / 2))
         common = common.orderBy(F.col("k").desc(), "gram").limit(MOST_COMMON).toArrow()  # any choice keeps the result; this one keeps groups small
@@ -209,7 +228,7 @@ class _Join:
         self.common = gram[o], (len(gram) - np.arange(len(gram)))[o]  # the most frequent last
 
     def groups(self) -> DataFrame:
-        """(gram, sid, n): sets that share one of their first grams with a different set; of groups with equal members one."""
+        """(gram, sid, n, need, w): sets that share one of their first grams with a different set; of groups with equal members one, w says how many they are."""
         words, percent = self.words, self.percent
         buckets = partitions(self.spark, self.bytes, BUCKET_TEXT)
         common = self.spark.sparkContext.broadcast(self.common)
@@ -225,7 +244,7 @@ class _Join:
                     rank = np.where(held[at] == gram, late[at], 0)
                     o = np.lexsort((gram, rank, owner))
                     gram = gram[o]
-                first = size - -(-percent * size // 100) + 1
+                first = size - least_overlap(size, percent) + shared_firsts(size, percent)
                 keep = np.arange(len(gram)) - off[owner] < first[owner]
                 gram, owner = gram[keep], owner[keep]
                 sid, n = sid[owner], size[owner].astype(np.int32)
@@ -247,14 +266,17 @@ class _Join:
             g, s, n = g[new], s[new], n[new]
             head = np.r_[True, g[1:] != g[:-1]][: len(g)]
             many = np.repeat(np.diff(np.r_[np.flatnonzero(head), len(g)]) > 1, np.diff(np.r_[np.flatnonzero(head), len(g)]))
-            return pa.table({"gram": g[many].view(np.int64), "sid": s[many], "n": n[many]})
+            need = shared_firsts(least_overlap(n[many].astype(np.int64), percent), percent)  # of the smallest partner there may be
+            return pa.table({"gram": g[many].view(np.int64), "sid": s[many], "n": n[many], "need": need.astype(np.int32)})
 
-        met = self.rows.select("text").mapInArrow(firsts, "b int, g binary, s binary, n binary").groupBy("b").applyInArrow(meet, "gram long, sid long, n int")
+        met = self.rows.select("text").mapInArrow(firsts, "b int, g binary, s binary, n binary").groupBy("b").applyInArrow(meet, "gram long, sid long, n int, need int")
         met = stored(met, "members")
+        rich = met.groupBy("sid").agg(F.count("*").alias("k"), F.first("need").alias("need")).filter("k >= need").select("sid")
+        met = stored(met.join(rich, "sid", "left_semi"), "members")
         mark = F.xxhash64("sid")
-        same = met.groupBy("gram").agg(F.count("*").alias("k"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 8)).alias("y"))
-        one = same.groupBy("k", "x", "y").agg(F.min("gram").alias("gram")).select("gram")
-        return stored(met.join(one, "gram", "left_semi"), "groups")
+        same = met.groupBy("gram").agg(F.count("*").alias("k"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 8)).alias("y")).filter("k > 1")
+        one = same.groupBy("k", "x", "y").agg(F.min("gram").alias("gram"), F.count("*").alias("w")).select("gram", "w")
+        return stored(met.join(one, "gram"), "groups")
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are links: whole sets are compared."""
@@ -284,52 +306,122 @@ class _Join:
         return stored(met.select("a", "b", "x", "y").mapInArrow(overlap, "a long, b long"), "links")
 
     def neighbours(self, groups: DataFrame) -> DataFrame:
-        """Pairs next to each other by size within a group, if signatures leave them."""
+        """Pairs next to each other by size within a group, if narrow signatures leave them."""
         percent = self.percent
         before = W.partitionBy("gram").orderBy("n", "sid")
         p = groups.select("sid", "n", F.lag("sid").over(before).alias("s"), F.lag("n").over(before).alias("m")).filter(F.col("s").isNotNull() & (F.col("m") * 100 >= F.col("n") * percent))
-        p = p.select(F.least("sid", "s").alias("a"), F.greatest("sid", "s").alias("b")).distinct()
-        sig = self.sigs.dropDuplicates(["sid"])
+        p = stored(p.select(F.col("s").alias("a"), F.col("sid").alias("b"), F.col("m").alias("na"), F.col("n").alias("nb")).distinct(), "neighbours")
 
         def run(batches):
             for b in batches:
                 keep = []
-                for n, x, m, y in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                for n, m, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                     w = min(len(x), len(y))
                     x, y = folded(x, w), folded(y, w)
                     keep.append(bool(_possible((x, x, n, n), (y, y, m, m), percent)))
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in b.columns[:2]], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
+
+        sigs = self._signatures(p.select(F.explode(F.array("a", "b")).alias("sid")), "small")
+        met = p.join(sigs.select(F.col("sid").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("sid").alias("b"), F.col("sig").alias("y")), "b")
+        met = met.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
+        return stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+    def _signatures(self, members: DataFrame, column: str) -> DataFrame:
+        """(sid, sig) of the sets in members."""
+        needed = members.select("sid").distinct()
+        few = needed.count() <= BROADCAST_SETS
+        return self.sigs.join(F.broadcast(needed) if few else needed, "sid", "left_semi").select("sid", F.col(column).alias("sig")).dropDuplicates(["sid"])
+
+    def residual(self, groups: DataFrame, roots: DataFrame) -> DataFrame:
+        """(gram, sid, n, root): members of groups with several components that share enough such groups to have a link to another component."""
+
+        def several(m):
+            mixed_groups = m.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("gram")
+            return m.join(mixed_groups, "gram", "left_semi")
+
+        members = stored(several(self._rooted(groups, roots)), "members")
+        rich = members.groupBy("sid").agg(F.sum("w").alias("k"), F.first("need").alias("need")).filter("k >= need").select("sid")
+        return stored(several(members.join(rich, "sid", "left_semi")).select("gram", "sid", "n", "root"), "members")
 
-        met = p.join(sig.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("xa")), "a").join(sig.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("xb")), "b")
-        return stored(met.select("a", "b", "na", "xa", "nb", "xb").mapInArrow(run, "a long, b long"), "pairs")
+    def _rooted(self, members: DataFrame, roots: DataFrame) -> DataFrame:
+        return members.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
-    def across(self, groups: DataFrame, roots: DataFrame, forest: bool) -> DataFrame:
-        """Pairs of a group in different components that the signature trees leave; with forest only as many as may join all."""
+    def _by_tree(self, members: DataFrame, column: str, made, schema: str, named: bool = False) -> DataFrame:
+        """``made(pairs left by group, sids, roots, the first gram that two rows share)`` over the groups of members (gram, sid, n, root); large groups in blocks."""
         percent = self.percent
-        members = groups.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        several = members.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("gram")
-        members = members.join(several, "gram", "left_semi")
-        members = members.join(self.sigs.dropDuplicates(["sid"]).select("sid", "sig"), "sid").select("gram", "sid", "n", "root", "sig")
-        shards = partitions(self.spark, self.bytes, BUCKET_TEXT)
+        rank = F.row_number().over(W.partitionBy("gram").orderBy("n", "sid"))
+        size = members.groupBy("gram").agg(F.count("*").alias("k"))
+        m = members.withColumn("blk", F.floor((rank - 1) / MOST_IN_A_TREE).cast("int")).join(size, "gram").withColumn("last", F.floor((F.col("k") - 1) / MOST_IN_A_TREE).cast("int"))
+        m = m.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumn("i", F.least("blk", "with")).withColumn("j", F.greatest("blk", "with")).drop("k", "last", "with")
+        shards = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-members.count() // TREE_ROWS))
+        sigs = self._signatures(members, column)
+        if named:  # each set's grams, no more than its first ones
+            sigs = sigs.join(members.groupBy("sid").agg(F.sort_array(F.collect_list("gram")).alias("own")), "sid")
+        m = m.join(sigs, "sid").select("gram", "i", "j", "blk", "sid", "n", "root", "sig", *["own"] * named)
 
         def run(table: pa.Table) -> pa.Table:
-            gram, sid, n, root = (np.asarray(table[k]).astype(np.int64) for k in ("gram", "sid", "n", "root"))
-            sig = [np.frombuffer(x, np.uint64) for x in table["sig"].to_pylist()]
-            o = np.lexsort((sid, n, gram))
-            cut = np.r_[np.flatnonzero(np.r_[True, gram[o][1:] != gram[o][:-1]]), len(o)]
+            gram, first, second, blk, sid, n, root = (np.asarray(table[k]).astype(np.int64) for k in ("gram", "i", "j", "blk", "sid", "n", "root"))
+            sigs = table["sig"].combine_chunks()
+            if named:
+                own = table["own"].combine_chunks()
+                listed, at = np.asarray(own.flatten()), np.asarray(own.offsets) - (own.offsets[0].as_py() if len(own) else 0)
+
+            def first_shared(x, y):
+                return np.intersect1d(listed[at[x] : at[x + 1]], listed[at[y] : at[y + 1]], True)[0]
+
+            o = np.lexsort((sid, n, second, first, gram))
+            key = np.column_stack((gram, first, second))[o]
+            cut = np.r_[np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)][: len(o)]), len(o)]
+
+            def left():
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    i = o[a:b]
+                    p = group_pairs(n[i], [np.frombuffer(sigs[int(k)].as_buffer(), np.uint64) for k in i], percent)
+                    x, y = i[p[:, 0]], i[p[:, 1]]
+                    ok = root[x] != root[y]
+                    if first[i[0]] != second[i[0]]:
+                        ok &= blk[x] != blk[y]
+                    yield int(gram[i[0]]), x[ok], y[ok]
+
+            return made(left(), sid, root, first_shared)
+
+        return m.withColumn("b", F.pmod(F.xxhash64("gram", "i", "j"), F.lit(shards)).cast("int")).groupBy("b").applyInArrow(run, schema).distinct()
+
+    def hopeful(self, members: DataFrame) -> DataFrame:
+        """The members that narrow signatures leave a partner in another component."""
+
+        def made(groups, sid, root, first_shared):
+            grams, sids = [], []
+            for gram, x, y in groups:
+                s = np.unique(sid[np.r_[x, y]])
+                grams.append(np.full(len(s), gram, np.int64))
+                sids.append(s)
+            none = [np.zeros(0, np.int64)]
+            return pa.table({"gram": np.concatenate(grams or none), "sid": np.concatenate(sids or none)})
+
+        kept = self._by_tree(members, "small", made, "gram long, sid long")
+        return stored(members.drop("root").join(kept, ["gram", "sid"], "left_semi"), "hopeful")
+
+    def across(self, members: DataFrame, roots: DataFrame, forest: bool) -> DataFrame:
+        """Pairs of a group in different components that the signature trees leave; with forest only as many as may join all.
+
+        Of the groups that a pair shares only that of the least gram names it, where all pairs are wanted."""
+
+        def made(groups, sid, root, first_shared):
             pairs, held = set(), UnionFind()
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                i = o[a:b]
-                for x, y in group_pairs(n[i], [sig[k] for k in i], percent):
-                    x, y = i[x], i[y]
-                    if root[x] != root[y] and (not forest or held.join(int(root[x]), int(root[y]))):
-                        pairs.add((min(int(sid[x]), int(sid[y])), max(int(sid[x]), int(sid[y]))))
+            for gram, x, y in groups:
+                for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                    if not forest and first_shared(i, j) != gram:
+                        continue
+                    if not forest or held.join(int(root[i]), int(root[j])):
+                        pairs.add((min(int(sid[i]), int(sid[j])), max(int(sid[i]), int(sid[j]))))
             p = np.array(sorted(pairs), np.int64).reshape(-1, 2)
             return pa.table({"a": p[:, 0], "b": p[:, 1]})
 
-        out = members.withColumn("b", F.pmod(F.xxhash64("gram"), F.lit(shards)).cast("int")).groupBy("b").applyInArrow(run, "a long, b long")
-        return out.distinct()
+        rooted = self._rooted(members, roots)
+        mixed_groups = rooted.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("gram")
+        return self._by_tree(stored(rooted.join(mixed_groups, "gram", "left_semi"), "members"), "sig", made, "a long, b long", named=not forest)
 
     def roots(self) -> DataFrame:
         """(node, root) of sets that have links."""
@@ -337,8 +429,9 @@ class _Join:
         tried = self.neighbours(groups)
         links = self.compared(tried)
         roots = stored(components(links), "roots")
+        members = self.hopeful(self.residual(groups, roots))
         for forest in (True, False):
-            pairs = stored(self.across(groups, roots, forest).join(tried, ["a", "b"], "left_anti"), "pairs")
+            pairs = stored(self.across(members, roots, forest).join(tried, ["a", "b"], "left_anti"), "pairs")
             if pairs.isEmpty():
                 if forest:
                     continue

@@ -6,7 +6,9 @@ The loops here run over specs and holdouts, which are few; every fit and every p
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -84,16 +86,22 @@ class Pipeline:
         return self.model.transform(self._features(self._prepared(trials, online))).drop("features")
 
 
+#: Fits of a leave-one-out loop that are submitted together: each is a few short jobs.
+FITS_AT_ONCE = 4
+
+
 def loso(trials: DataFrame, specs: list[Spec], subject: str = "subject_id", label: str = "label") -> DataFrame:
     """(pipeline, holdout, trial_id, y_true, y_pred, proba) for every spec and every subject held out. All source rows are fitted on."""
     subjects = [r[0] for r in trials.select(subject).distinct().orderBy(subject).collect()]
-    out = None
-    for spec, s in product(specs, subjects):
+
+    def held_out(at):
+        spec, s = at
         train, test = trials.filter(F.col(subject) != s), trials.filter(F.col(subject) == s)
         p = Pipeline(spec).fit(train, test).predict(test)
-        p = p.select(F.lit(spec.name).alias("pipeline"), F.col(subject).alias("holdout"), "trial_id", F.col(label).alias("y_true"), "y_pred", "proba")
-        out = p if out is None else out.unionByName(p)
-    return out
+        return p.select(F.lit(spec.name).alias("pipeline"), F.col(subject).alias("holdout"), "trial_id", F.col(label).alias("y_true"), "y_pred", "proba")
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return reduce(DataFrame.unionByName, pool.map(held_out, list(product(specs, subjects))))
 
 
 def subject_table(predictions: DataFrame, classes: int, seconds: float) -> DataFrame:

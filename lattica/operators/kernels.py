@@ -133,7 +133,7 @@ def gathered(df: DataFrame, column: str, start: Callable[[], object], add: Calla
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([n], pa.int64()), pa.array([list(total.shape)], pa.list_(pa.int64())), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["key", "n", "shape", "total"])
 
     out: dict = {}
-    for r in df.mapInArrow(run, "key long, n long, shape array<long>, total array<double>").toLocalIterator():
+    for r in df.mapInArrow(run, "key long, n long, shape array<long>, total array<double>").collect():  # one job: toLocalIterator runs its tasks one after another
         n, total = out.get(r["key"], (0, 0.0))
         out[r["key"]] = n + r["n"], total + np.array(r["total"]).reshape(r["shape"])
     return out if label else out.get(0, (0, None))

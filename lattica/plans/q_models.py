@@ -13,6 +13,7 @@ from lattica.operators import classifiers as C
 from lattica.operators import features as E
 from lattica.operators import kernels as K
 from lattica.plans import bindings as B
+from lattica.session import shared_path
 from lattica.sources import datasets as S
 from lattica.streaming import streams as R
 
@@ -140,11 +141,18 @@ def q_ica(spark, sf):
 
 
 def q_loso_evaluation(spark, sf):
-    """Two pipelines over three subjects held out in turn: a row of metrics each."""
+    """Two pipelines over every subject of the table held out in turn: a row of metrics each. Trials and predictions are written once."""
     from lattica.operators import experiments as X
 
-    t = S.synthetic(spark, 3, 24, 4, 128, classes=2, snr=1.0).repartition(4)
-    return X.subject_table(X.loso(t, [X.PRESETS["csp_lda"], X.PRESETS["riemann_mdm"]]), 2, 3.0)
+    def stored(df, tag):
+        path = shared_path(spark, tag)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    t = B.trials(spark, sf)
+    t = stored(t.repartition(max(t.rdd.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism)), "loso-trials")  # every fit reads them, in as many tasks as there are cores
+    p = X.loso(t, [X.PRESETS["csp_lda"], X.PRESETS["riemann_mdm"]])
+    return X.subject_table(stored(p, "loso"), B.CLASSES, 3.0)
 
 
 def q_calibrate(spark, sf):

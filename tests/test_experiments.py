@@ -49,3 +49,12 @@ def test_diagnostics(spark, trials):
 def test_few_shot_curve(spark, trials):
     c = E.few_shot(trials, E.PRESETS["csp_lda"], 1, [0.25]).collect()
     assert len(c) == 1 and c[0]["accuracy"] > 0.7
+
+
+def test_loso_query_evaluates_every_trial_of_the_table(spark, tmp_path):
+    from lattica.plans.q_models import q_loso_evaluation
+
+    rows = [(9 * k + s, k % 10, [float((7 * k + 3 * s + i * i * (k % 10 + 1)) % 11) / 11 for i in range(64)]) for k in range(20) for s in (0, 1)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = q_loso_evaluation(spark, str(tmp_path)).collect()
+    assert sorted((r["pipeline"], r["subject_id"], r["n_trials_test"]) for r in got) == [(p, s, 20) for p in ("baseline_covariance_mdm", "baseline_csp_lda") for s in (0, 1)]

@@ -114,6 +114,13 @@ def shared_firsts(size, percent: int):
     return np.maximum(1, (size - least_overlap(size, percent) + 1) // 3)
 
 
+def equal_groups(met: DataFrame) -> DataFrame:
+    """(gram, w): of groups (gram, sid) with equal members the one of the least gram, and how many they are; groups of one go. Hashes of sids are summed as decimals: a bigint overflows on large groups."""
+    mark = F.xxhash64("sid")
+    same = met.groupBy("gram").agg(F.count("*").alias("k"), F.bit_xor(mark).alias("x"), F.sum(mark.cast("decimal(38,0)")).alias("y")).filter("k > 1")
+    return same.groupBy("k", "x", "y").agg(F.min("gram").alias("gram"), F.count("*").alias("w")).select("gram", "w")
+
+
 class _Tree:
     """levels[0]: a node for each LEAF documents, in order of size; each higher level a node for FANOUT below."""
 
@@ -273,10 +280,7 @@ class _Join:
         met = stored(met, "members")
         rich = met.groupBy("sid").agg(F.count("*").alias("k"), F.first("need").alias("need")).filter("k >= need").select("sid")
         met = stored(met.join(rich, "sid", "left_semi"), "members")
-        mark = F.xxhash64("sid")
-        same = met.groupBy("gram").agg(F.count("*").alias("k"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 8)).alias("y")).filter("k > 1")
-        one = same.groupBy("k", "x", "y").agg(F.min("gram").alias("gram"), F.count("*").alias("w")).select("gram", "w")
-        return stored(met.join(one, "gram"), "groups")
+        return stored(met.join(equal_groups(met), "gram"), "groups")
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are links: whole sets are compared."""

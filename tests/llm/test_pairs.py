@@ -120,6 +120,13 @@ def test_large_groups_meet_in_blocks(spark, monkeypatch):
     assert {r[0]: (r[1], r[2]) for r in jaccard_join.component_report(df, 3, 70).collect()} == brute_components(rows, 3, 70)
 
 
+def test_equal_groups_of_many_large_hashes(spark):
+    sids = spark.range(8000).select(F.col("id").alias("sid")).filter(F.xxhash64("sid") > 1 << 62)  # their sum is beyond 64 bits, even without the low byte of each
+    least = sids.agg(F.min("sid")).first()[0]
+    met = sids.crossJoin(spark.createDataFrame([(1,), (2,), (3,)], "gram long")).filter((F.col("gram") < 3) | (F.col("sid") > least))
+    assert {r["gram"]: r["w"] for r in jaccard_join.equal_groups(met).collect()} == {1: 2, 3: 1}
+
+
 def test_similar_rows_of_odd_tables(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (None, None), (2, "other text of five words")], "doc_id long, text string")
     got = sorted((str(r[0]), r[1], str(r[2])) for r in jaccard_join.component_report(df).collect())

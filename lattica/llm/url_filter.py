@@ -1,6 +1,6 @@
 """URL filters by a sort-merge range join.
 
-A host with its labels reversed (``www.example.net`` is ``net,example,www,``) starts with the reversed host of every
+A host with its labels reversed (``www.example.net`` is ``net/example/www/``) starts with the reversed host of every
 rule that fits it, so a rule's host is an interval of keys: from its reversed host up to the last key that starts with it.
 Intervals either nest or don't meet. Each partition sorts its URLs by that key and merges them with the sorted rules; a stack
 holds the rules whose intervals are open, innermost on top. No row is shuffled: the rules' size is checked (``MAX_RULE_BYTES``)
@@ -28,12 +28,12 @@ def host_and_path(url):
 
 
 def reversed_host(host):
-    """``www.example.net`` to ``net,example,www,``; the comma closes each label, so that ``ample.net`` isn't a prefix."""
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(","))
+    """``www.example.net`` to ``net/example/www/``; the slash, which no host of a URL holds, closes each label, so that ``ample.net`` isn't a prefix."""
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "/"), F.lit("/"))
 
 
 def _key(host: str) -> str:
-    return ",".join(reversed(host.split("."))) + ","
+    return "/".join(reversed(host.split("."))) + "/"
 
 
 def _prepared(rules) -> list[tuple[str, str, str, str, tuple]]:
@@ -42,6 +42,8 @@ def _prepared(rules) -> list[tuple[str, str, str, str, tuple]]:
     for host, path, verdict in rules:
         if verdict not in ("allow", "block"):
             raise ValueError(f"verdict of a rule must be allow or block, not {verdict!r}")
+        if "/" in host:  # fits no URL's host
+            continue
         host = host.translate(str.maketrans(UPPER, LOWER))
         if best.get((host, path)) != "block":
             best[host, path] = verdict

@@ -34,6 +34,15 @@ def test_urls_match_brute_force(spark):
         assert got == {i: brute(u, r) for i, u in enumerate(urls)}
 
 
+def test_hosts_with_commas_and_rules_with_slashes(spark):
+    urls = ["http://a.net,b/", "http://net,example/en/", "http://x.net,/", "http://a,b.net/", "http://b.a/"]
+    rules = [*RULES, ("b.net,x", "/", "block"), ("a/b", "/", "block")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in (RULES, rules):
+        got = {x["page_id"]: (x["host"], x["path"], x["rule"], x["verdict"]) for x in url_filter.filter_urls(df, r).collect()}
+        assert got == {i: brute(u, r) for i, u in enumerate(urls)}
+
+
 def test_empty_pages(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_filter.filter_urls(df, RULES).count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 
@@ -15,30 +17,55 @@ CHUNK_BYTES = 1 << 20
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the cluster's shared folder (``spark.checkpoint.dir``); in a session without one, as in tests, a local folder is set."""
+    """A new path in the cluster's shared folder (``spark.checkpoint.dir``). A session without one gets a local folder where driver and executors are one process, as in tests; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
+        elif not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         else:
             base = tempfile.mkdtemp(prefix="lattica-")
             spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+class Tables:
+    """Scratch tables of one operator. ``stored`` cuts lineage: it writes a table in the shared folder and reads it back, so that a lost executor costs no
+    recomputation; ``drop`` deletes those that no later step reads. What a lazy result still reads stays, below a folder named for the application."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def stored(self, df: DataFrame, tag: str) -> DataFrame:
+        path = scratch(self.spark, tag)
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = out
+        return out
+
+    def drop(self, *keep: DataFrame) -> None:
+        """Deletes all tables but those in keep."""
+        gone = [p for p, t in self.paths.items() if not any(t is k for k in keep)]
+        for p in gone:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            del self.paths[p]
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` as a table in the shared folder and reads it back, so that a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """One scratch table that stays."""
+    return Tables(df.sparkSession).stored(df, tag)
 
 
-def dropped(spark: SparkSession, *paths: str) -> None:
-    """Deletes scratch tables that no later step reads."""
-    for p in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame):
+    """All columns as one struct: beside it, names of an operator's own can't clash with the input's."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns])
 
 
 def partitions(spark: SparkSession, n_bytes: int, per: int = 32 << 20) -> int:
@@ -80,6 +107,34 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+#: Slices longer than this are hashed one at a time.
+LONG_SLICE = 512
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, wide: bool = False) -> list[np.ndarray]:
+    """64-bit hashes of slices, by eight bytes at a time, each step mixed before the next, so that no pattern of bytes cancels out; with ``wide`` two unlike ones."""
+    size = end - start
+    eights = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    seeds = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)[: 1 + wide]
+    out = [mixed(size.astype(np.uint64) * np.uint64(seed)) for seed in seeds]
+    long = np.flatnonzero(size > LONG_SLICE)
+    live = np.flatnonzero((size > 0) & (size <= LONG_SLICE))
+    at = start[live]
+    left = size[live]
+    while len(live):
+        value = eights[at] & _TAIL[np.minimum(left, 8)]
+        for k, seed in enumerate(seeds):
+            out[k][live] = mixed((out[k][live] ^ value) + np.uint64(seed))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in long.tolist():
+        digest = np.frombuffer(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=16).digest(), np.uint64)
+        for k in range(len(seeds)):
+            out[k][i] = digest[k]
+    return out
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     if n:
@@ -98,7 +153,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """64-bit polynomial hashes of any slices of a byte string, all slices at once."""
+    """64-bit polynomial hashes of any slices of a byte string, all slices at once. Modulo 2**64, regular patterns of some 1,000 bytes and more can
+    collide: fit for choosing and grouping, not for calling slices equal."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)

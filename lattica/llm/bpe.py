@@ -175,6 +175,17 @@ class TextEncoder:
         return got
 
 
+_ENCODERS: dict = {}
+
+
+def encoder(bpe: PrefixBPE, vocabulary: str, pattern: str) -> TextEncoder:
+    """One for a vocabulary and pattern in a process: later tasks of a worker find its pieces warm."""
+    if (vocabulary, pattern) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[vocabulary, pattern] = TextEncoder(bpe, pattern)
+    return _ENCODERS[vocabulary, pattern]
+
+
 def with_ids(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
     """The input's columns, then n_tokens long and ids binary (little-endian unsigned 32-bit integers), which replace columns of those names."""
     bpe = df.sparkSession.sparkContext.broadcast(PrefixBPE(read_ranks(vocabulary)))
@@ -183,7 +194,7 @@ def with_ids(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
     at = df.columns.index(text_col)
 
     def run(batches):
-        encode = TextEncoder(bpe.value, pattern)
+        encode = encoder(bpe.value, vocabulary, pattern)
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
@@ -201,8 +212,8 @@ def digest_documents(df: DataFrame, vocabulary: str, pattern: str, id_col: str =
     kind = source.schema[0].dataType.simpleString()
 
     def run(batches):
-        own = bpe.value
-        encode = TextEncoder(own, pattern)
+        encode = encoder(bpe.value, vocabulary, pattern)
+        own = encode.bpe
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)

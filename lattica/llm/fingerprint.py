@@ -1,30 +1,35 @@
 """Exact fingerprints of canonical texts, in DataFrame expressions only.
 
-Canonical: Unicode composition (NFC; NFKC on request), lower case, each run of white space one space, none at the ends. Fingerprint:
+Canonical: Unicode composition (NFC; NFKC on request), full case folding, composition again, each run of white space one space, none at the ends. Fingerprint:
 two chained 64-bit xxhash values, 32 hex digits. Texts whose wide hashes are equal are compared as bytes: grouping those few by
 (hash, canonical text) compares whole values, equal copies collapse before the shuffle, and a hash with two canonical texts gets
-the text's SHA-256 appended. So equal fingerprints mean equal canonical texts.
+the text's SHA-256 appended. So equal fingerprints of documents mean equal canonical texts. An edited text is compared as bytes with its own document, where their hashes are equal.
 
-Defined results: null counts as the empty text, which has a fingerprint like any other; repeated rows get equal fingerprints;
-columns of the input other than the two named are not read.
+Defined results: null counts as the empty text, which has a fingerprint like any other; repeated rows get equal fingerprints; texts may be of any length;
+columns of the input other than the two named, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ranges of ids for the neighbour search; a range is one window group, of about rows / RANGES rows. More rows, more ranges.
-ROWS_PER_RANGE, MAX_RANGES = 20_000, 4096
+from lattica.llm.util import Tables
+
+#: Neighbours are searched in ranges of ids of about so many rows: quantiles cut all ids into MOST_CELLS cells at most, each cell is cut evenly into as many ranges as it needs.
+ROWS_PER_RANGE, MOST_CELLS = 20_000, 4096
+#: Ranges whose first ids are broadcast at most; more are joined.
+BROADCAST_RANGES = 100_000
 
 
 def canonical(text, compatible: bool = False):
-    """The canonical form of a text column. Plain ASCII needs no composition and skips the call."""
+    """The canonical form of a text column. Plain ASCII needs no composition and no table of folds and skips the calls."""
     text = F.coalesce(text, F.lit(""))
-    composed = F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(compatible))
-    folded = F.lower(F.when(F.octet_length(text) == F.char_length(text), text).otherwise(composed))
-    return F.trim(F.regexp_replace(folded, r"[\s\u0085   -     　]+", " "))
+    composed = lambda x: F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(compatible))
+    folded = lambda x: F.call_function("reflect", F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), x, F.lit(True))
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.trim(F.regexp_replace(F.when(plain, F.lower(text)).otherwise(composed(folded(composed(text)))), r"[\s\u0085   -     　]+", " "))
 
 
 def wide_hash(canon):
@@ -35,36 +40,83 @@ def wide_hash(canon):
 
 
 def collisions(hashed: DataFrame) -> DataFrame:
-    """The hashes that stand for more than one canonical text. hashed: (hash, canon). Only texts in buckets of two or more are compared."""
-    shared = hashed.groupBy("hash").agg(F.count("*").alias("_n")).filter("_n > 1").select("hash")
-    return hashed.join(shared, "hash", "left_semi").groupBy("hash", "canon").agg(F.count("*").alias("_n")).groupBy("hash").agg(F.count("*").alias("_n")).filter("_n > 1").select("hash")
+    """The hashes that stand for more than one canonical text. hashed: (hash, canon) of texts whose hash isn't theirs alone."""
+    return hashed.groupBy("hash", "canon").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
+
 
+def settled(df: DataFrame, collided: DataFrame, **texts: Column) -> DataFrame:
+    """Appends the SHA-256 of the canonical text to hashes that collide. texts: by column of hashes, the column of their SHA-256."""
+    for column, sha in texts.items():
+        found = collided.select(F.col("hash").alias("two"))
+        df = df.join(found, F.col(column) == F.col("two"), "left").withColumn(column, F.when(F.col("two").isNotNull(), F.concat_ws(":", column, sha)).otherwise(F.col(column))).drop("two")
+    return df
 
-def settled(df: DataFrame, column: str, sha: str, collided: DataFrame) -> DataFrame:
-    """Appends the SHA-256 of the canonical text to hashes that collide."""
-    found = collided.select(F.col("hash").alias(column), F.lit(True).alias("_two"))
-    return df.join(found, column, "left").withColumn(column, F.when(F.col("_two"), F.concat_ws(":", column, sha)).otherwise(F.col(column))).drop("_two")
+
+def _collided(texts: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Of texts (id, t), whose hashes are (id, hash): the hashes that collide. Only texts in buckets of two or more are read again and compared."""
+    shared = hashes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
+    ids = hashes.join(shared, "hash", "left_semi").select(F.col("id").alias("of")).distinct()
+    canon = texts.join(ids, F.col("id").eqNullSafe(F.col("of")), "left_semi").select(canonical(F.col("t")).alias("canon"))
+    return collisions(canon.select(wide_hash(F.col("canon")).alias("hash"), "canon"))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint), and exact: each text's bucket has been compared byte by byte."""
-    base = df.select(F.col(id_col), canonical(F.col(text_col)).alias("canon"))
-    base = base.select(id_col, wide_hash(F.col("canon")).alias("hash"), "canon")
-    out = base.select(id_col, F.col("hash").alias("fingerprint"), F.sha2("canon", 256).alias("_sha"))
-    collided = collisions(base.select("hash", "canon"))
-    return out.drop("_sha") if collided.isEmpty() else settled(out, "fingerprint", "_sha", collided).drop("_sha")
+    tables = Tables(df.sparkSession)
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    out = tables.stored(texts.select("id", canonical(F.col("t")).alias("c")).select("id", wide_hash(F.col("c")).alias("hash"), F.sha2("c", 256).alias("sha")), "hashes")
+    collided = tables.stored(_collided(texts, out.select("id", "hash")), "collided")
+    if not collided.isEmpty():
+        out = settled(out, collided, hash=F.col("sha"))
+    return out.select(F.col("id").alias(id_col), F.col("hash").alias("fingerprint"))
 
 
-def ranges(df: DataFrame, id_col: str):
-    """An expression for the range of an id: at most MAX_RANGES bounds go to the driver, quantiles of all ids. Null ids are in the first range."""
+def ranges(df: DataFrame, id_col: str) -> tuple[Column, int]:
+    """An expression for the range of an id, in order of ids, and the number of ranges in a cell. As many ranges as rows need; null ids are in the first.
+
+    Quantiles bound the cells: at most MOST_CELLS numbers go to the driver, whatever the size. An id finds its cell by two short searches of about the root of that number."""
     n = df.count()
-    k = int(min(MAX_RANGES, max(1, n // ROWS_PER_RANGE, min(48, n // 64))))
-    bounds = df.select(F.percentile_approx(id_col, [i / k for i in range(1, k)], 10_000)).first()[0] if k > 1 else None
+    k = int(min(MOST_CELLS, max(1, n // ROWS_PER_RANGE, min(48, n // 64))))
+    if k < 2:
+        return F.lit(0).cast("long"), 1
+    low, high, bounds = df.agg(F.min(id_col), F.max(id_col), F.percentile_approx(id_col, [i / k for i in range(1, k)], 10_000)).first()
+    bounds = sorted(set(bounds or []))
     if not bounds:
-        return F.lit(0), 1
-    bounds = sorted(set(bounds))
-    held = F.array(*[F.lit(b) for b in bounds])
-    return F.coalesce(F.array_size(F.filter(held, lambda b: b <= F.col(id_col))), F.lit(0)), len(bounds) + 1
+        return F.lit(0).cast("long"), 1
+    cuts = max(1, -(-n // (k * ROWS_PER_RANGE)))
+    step = max(1, int(len(bounds) ** 0.5))
+    x = F.col(id_col)
+    upto = lambda held: F.array_size(F.filter(held, lambda b: b <= x))
+    array = lambda held: F.array(*[F.lit(b) for b in held])
+    coarse = upto(array(bounds[step - 1 :: step]))
+    cell = coarse * step + upto(F.slice(array(bounds), coarse * step + 1, step))
+    if cuts == 1:
+        return F.coalesce(cell, F.lit(0)).cast("long"), 1
+    a, b = (F.element_at(array(held), (cell + 1).cast("int")).cast("double") for held in ([low, *bounds], [*bounds, high]))
+    inner = F.when(b > a, F.floor((x.cast("double") - a) / (b - a) * cuts)).otherwise(F.lit(0))
+    return F.coalesce(cell * cuts + F.greatest(F.lit(0), F.least(F.lit(cuts - 1), inner)), F.lit(0)).cast("long"), cuts
+
+
+def _edited(texts: DataFrame, tables: Tables, wide: bool) -> DataFrame:
+    """(id, t, h, edited, ce, he, next) for texts (id, t): own hash, the edited text, its canonical form and hash, and the next document's (t, h). With ``wide`` also the SHA-256 s and se of the canonical forms, and next's."""
+    bucket, cuts = ranges(texts, "id")
+    rows = texts.withColumn("r", bucket)
+    of = lambda df: df.withColumn("h", wide_hash(canonical(F.col("t")))).withColumn("s", F.sha2(canonical(F.col("t")), 256) if wide else F.lit(""))
+    least = F.min(F.struct(F.col("id").isNotNull().alias("k"), F.col("id").alias("i")))
+    first = tables.stored(rows.groupBy("r").agg(least.alias("h")).select(F.col("r").alias("of"), F.col("h.i").alias("i")), "ranges")
+    few = first.count() <= BROADCAST_RANGES
+    heads = rows.join(F.broadcast(first) if few else first, (F.col("r") == F.col("of")) & F.col("id").eqNullSafe(F.col("i"))).groupBy("r").agg(F.min("t").alias("t"))
+    heads = tables.stored(of(heads).withColumn("cell", F.floor(F.col("r") / cuts)), "heads")
+    head = F.struct("t", "h", "s")
+    of_cells = heads.groupBy("cell").agg(F.min_by(head, "r").alias("x"))  # MOST_CELLS rows at most
+    of_cells = of_cells.select(F.col("cell").alias("c"), F.coalesce(F.lead("x").over(W.orderBy("cell")), F.first("x").over(W.orderBy("cell"))).alias("beyond"))
+    heads = heads.withColumn("x", F.lead(head).over(W.partitionBy("cell").orderBy("r"))).join(of_cells, F.col("cell") == F.col("c")).select(F.col("r").alias("of"), F.coalesce("x", "beyond").alias("after"))
+    within = W.partitionBy("r").orderBy(F.col("id").asc_nulls_first(), F.col("t"))
+    rows = of(rows).withColumn("x", F.lead(head).over(within)).join(heads, F.col("r") == F.col("of")).withColumn("next", F.coalesce("x", "after"))
+    k = F.floor(F.char_length("t") / 4).cast("int")
+    edited = F.concat(F.col("t").substr(F.lit(1), F.char_length("t") - k), F.col("next.t").substr(F.lit(1), k))
+    rows = rows.select("id", "t", "h", "s", "next", edited.alias("edited")).withColumn("ce", canonical(F.col("edited")))
+    return rows.withColumn("he", wide_hash(F.col("ce"))).withColumn("se", F.sha2("ce", 256) if wide else F.lit(""))
 
 
 def edit_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,30 +124,20 @@ def edit_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     fingerprints, and whether they equal each other's and the next document's, as 1.0 or 0.0.
 
     The next document is found inside ranges of ids, each a window of bounded size; the last document of a range continues with the first of
-    the next range that has rows (one row a range). Ties: documents of one id follow each other by the text's bytes."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    bucket, n = ranges(df, id_col)
-    rows = df.select(F.col(id_col), text.alias("t")).withColumn("_r", bucket)
-    least = F.min(F.struct(F.col(id_col).isNotNull().alias("k"), F.col(id_col).alias("i")))
-    first = rows.groupBy("_r").agg(least.alias("h")).select(F.col("_r").alias("_h"), F.col("h.i").alias("_i"))  # MAX_RANGES rows at most, so it may be broadcast
-    heads = rows.join(F.broadcast(first), (F.col("_r") == F.col("_h")) & F.col(id_col).eqNullSafe(F.col("_i"))).groupBy("_r").agg(F.min("t").alias("t"))
-    order = W.orderBy("_r")  # over one row a range
-    heads = heads.select("_r", F.lead("t").over(order).alias("after"), F.first("t").over(order).alias("first"))
-    heads = heads.select("_r", F.coalesce("after", "first").alias("after"))
-    within = W.partitionBy("_r").orderBy(F.col(id_col).asc_nulls_first(), F.col("t"))
-    rows = rows.withColumn("next", F.lead("t").over(within)).join(heads, "_r").withColumn("next", F.coalesce("next", "after")).drop("after", "_r")
-    k = F.floor(F.char_length("t") / 4).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.col("t").substr(F.lit(1), F.char_length("t") - k), F.col("next").substr(F.lit(1), k)))
-    rows = rows.select(id_col, "t", "edited", canonical(F.col("t")).alias("c"), canonical(F.col("edited")).alias("ce"), canonical(F.col("next")).alias("cn"))
-    out = rows.select(
-        id_col, F.char_length("t").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        wide_hash(F.col("c")).alias("fingerprint"), wide_hash(F.col("ce")).alias("edited_fingerprint"), wide_hash(F.col("cn")).alias("_next"),
-        F.sha2("c", 256).alias("_s"), F.sha2("ce", 256).alias("_se"), F.sha2("cn", 256).alias("_sn"),
+    the next range that has rows, found within a cell of ranges and then among cells. Ties: documents of one id follow each other by the text's bytes."""
+    tables = Tables(df.sparkSession)
+    texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+
+    def told(rows: DataFrame, *more: str) -> DataFrame:
+        alike = F.when((F.col("h") == F.col("he")) & (F.col("s") == F.col("se")), canonical(F.col("t")) == F.col("ce")).otherwise(F.lit(False))  # as bytes, where hashes are equal
+        next_alike = (F.col("h") == F.col("next.h")) & (F.col("s") == F.col("next.s"))
+        return rows.select("id", F.char_length("t").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "h", "he", alike.alias("alike"), next_alike.alias("next_alike"), *more)
+
+    out = tables.stored(told(_edited(texts, tables, wide=False)), "edits")
+    collided = tables.stored(_collided(texts, out.select("id", F.col("h").alias("hash"))), "collided")
+    if not collided.isEmpty():  # two unlike texts of one hash: expected never. All is made anew, with the SHA-256 of canonical texts
+        out = settled(told(_edited(texts, tables, wide=True), "s", "se"), collided, h=F.col("s"), he=F.col("se"))
+    return out.select(
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", F.col("h").alias("fingerprint"), F.col("he").alias("edited_fingerprint"),
+        F.col("alike").cast("double").alias("near_edited"), F.col("next_alike").cast("double").alias("near_next"),
     )
-    canon = canonical(F.col(text_col))
-    collided = collisions(df.select(canon.alias("canon")).select(wide_hash(F.col("canon")).alias("hash"), "canon"))
-    if not collided.isEmpty():
-        for column, sha in (("fingerprint", "_s"), ("edited_fingerprint", "_se"), ("_next", "_sn")):
-            out = settled(out, column, sha, collided)
-    same = lambda a, b: (F.col(a) == F.col(b)).cast("double")
-    return out.select(id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", same("fingerprint", "edited_fingerprint").alias("near_edited"), same("fingerprint", "_next").alias("near_next"))

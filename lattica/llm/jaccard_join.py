@@ -507,23 +507,31 @@ class _Join:
 
 
 def _grouped(docs, words, percent, id_col, text_col) -> DataFrame:
-    """(id, th, n, sid, root); root is null for empty sets."""
+    """(id, th, n, least): least is (o, i, t), the row of the component that comes first by id and text; null for empty sets.
+
+    The least of each set, then of each component, are aggregates that combine before the shuffle; written tables carry them back, so that no join sits on an aggregate's partitioning
+    and Spark can split a component or set that very many rows are in."""
     j = _Join(docs, words, percent, id_col, text_col)
-    return j.base.join(j.roots().select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    roots = j.roots()
+    order = F.struct(F.col("id").isNull().alias("o"), F.col("id").alias("i"), F.col("th").alias("t"))
+    sets = j.base.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(order).alias("own"))
+    sets = j.tables.stored(sets.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "sets")
+    least = j.tables.stored(sets.groupBy("root").agg(F.min("own").alias("least")), "least")
+    named = j.tables.stored(sets.join(least, "root").select("sid", "least"), "named")
+    j.tables.drop(j.scan, named)
+    return j.base.join(named, "sid", "left").select("id", "th", "n", "least")
 
 
 def component_report(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every document; component_id is the smallest id that links reach."""
     g = _grouped(docs, words, percent, id_col, text_col)
-    least = g.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least"))
-    return g.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    return g.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least.i", "id").alias("component_id"))
 
 
 def first_of_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with their columns, that come first by id in their component; all documents without grams; of rows with equal id and text all or none."""
-    g = _grouped(docs, words, percent, id_col, text_col).filter("root IS NOT NULL")
-    order = F.struct(F.col("id").isNull().alias("o"), F.col("id").alias("i"), F.col("th").alias("t"))
-    best = g.groupBy("root").agg(F.min(order).alias("best"))
-    gone = g.join(best, "root").filter(order > F.col("best")).select(F.col("id").alias("gone"), F.col("th").alias("gone_th")).distinct()
+    g = _grouped(docs, words, percent, id_col, text_col)
+    first = F.col("id").eqNullSafe(F.col("least.i")) & (F.col("th") == F.col("least.t"))
+    gone = g.filter(F.col("least").isNotNull() & ~first).select(F.col("id").alias("gone"), F.col("th").alias("gone_th")).distinct()
     rows = docs.select(whole_row(docs).alias("doc"), F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"))
     return rows.join(gone, F.col("id").eqNullSafe(F.col("gone")) & (F.col("th") == F.col("gone_th")), "left_anti").select("doc.*")

@@ -11,7 +11,7 @@ only while it has ``BROADCAST_LEAVES`` rows at most, else joined. Documents aren
 
 Defined results: null texts count as empty and have no tokens; null languages, domains or sources are values of their own; rows with equal order keys (one id repeated in a leaf) are taken
 together; a weight of 0 or null takes nothing; a leaf without tokens takes nothing; whole-number division leaves at most a token for each node unused; an empty table gives an
-empty mix; columns of the input stay as they are, and names that start with an underscore and ``_mix`` are reserved.
+empty mix; texts may be of any length; columns of the input, whatever their names, stay as they are, but that ``mix`` puts its four in the place of columns named like them.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.llm.util import stored
+from lattica.llm.util import Tables, quoted, whole_row
 
 BROADCAST_LEAVES = 50_000
 LEVELS = ("_mix_domain", "_mix_lang", "_mix_source")
@@ -68,30 +68,29 @@ def leaf_budgets(leaves: DataFrame, budget: int, weights: tuple[Column, Column,
     return dealt(low, [d, g], F.col("_gb"), "_w3", "_holds").select(d, g, s, "_tokens", F.col("_share").alias("_alloc"))
 
 
-def mix(docs: DataFrame, domain: Column, lang: Column, source: Column, weights: tuple[dict, dict, dict], fraction: tuple[int, int] = (1, 2), epochs: int = 2, seed: int = 17, tokens: Column | None = None, id_col: str = "doc_id") -> DataFrame:
-    """The documents taken, with their columns, _mix_domain, _mix_lang, _mix_source, _mix_tokens and _mix_copies (how often each is taken).
-
-    fraction: the budget as part of all tokens, (numerator, denominator). weights: {value: whole number} by level; values not named weigh 1."""
+def _mixed(docs: DataFrame, domain: Column, lang: Column, source: Column, weights: tuple[dict, dict, dict], fraction: tuple[int, int] = (1, 2), epochs: int = 2, seed: int = 17, tokens: Column | None = None, id_col: str = "doc_id") -> DataFrame:
+    """(doc, _mix_domain, _mix_lang, _mix_source, _mix_tokens, _mix_copies) of the documents taken; doc is the input's row."""
+    tables = Tables(docs.sparkSession)
     d, g, s = LEVELS
-    rows = docs.withColumn(d, domain).withColumn(g, lang).withColumn(s, source).withColumn("_mix_tokens", estimated_tokens(F.col("text")) if tokens is None else tokens)
-    leaves = stored(rows.groupBy(*LEVELS).agg(F.sum("_mix_tokens").cast("long").alias("_tokens")), "leaves")
+    rows = docs.select(whole_row(docs).alias("doc"), F.col(id_col).alias("id"), domain.alias(d), lang.alias(g), source.alias(s), (estimated_tokens(F.col("text")) if tokens is None else tokens).alias("_mix_tokens"))
+    leaves = tables.stored(rows.groupBy(*LEVELS).agg(F.sum("_mix_tokens").cast("long").alias("_tokens")), "leaves")
     supply = leaves.agg(F.sum("_tokens")).first()[0] or 0
     level_weights = tuple(weight_of(F.col(c), w) for c, w in zip(LEVELS, weights, strict=True))
     plan = leaf_budgets(leaves, supply * fraction[0] // fraction[1], level_weights, epochs)
     plan = plan.withColumn("_whole", F.expr("_alloc div _tokens")).withColumn("_part", F.expr("_alloc % _tokens"))
-    plan = stored(plan.select(*[F.col(c).alias(f"_p{c}") for c in LEVELS], "_whole", "_part"), "plan")
+    plan = tables.stored(plan.select(*[F.col(c).alias(f"_p{c}") for c in LEVELS], "_whole", "_part"), "plan")
     small = plan.count() <= BROADCAST_LEAVES
 
     def met(left: DataFrame, right: DataFrame) -> DataFrame:
         on = [left[c].eqNullSafe(right[f"_p{c}"]) for c in LEVELS]
         return left.join(F.broadcast(right) if small else right, on).drop(*[f"_p{c}" for c in LEVELS])
 
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_whole").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    slim = met(rows.select(F.col(id_col).alias(id_col), *LEVELS, "_mix_tokens"), plan).withColumn("_key", key).withColumn("_bucket", F.col("_key").substr(1, 3))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_whole").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
+    slim = met(rows.select("id", *LEVELS, "_mix_tokens"), plan).withColumn("_key", key).withColumn("_bucket", F.col("_key").substr(1, 3))
     sums = slim.groupBy(*LEVELS, "_bucket").agg(F.sum("_mix_tokens").alias("_t"), F.max("_part").alias("_part"))
     run = F.sum("_t").over(W.partitionBy(*LEVELS).orderBy("_bucket"))  # 4096 rows a leaf at most
     cut = sums.withColumn("_run", run).filter("_run > _part").groupBy(*LEVELS).agg(F.min(F.struct("_bucket", (F.col("_run") - F.col("_t")).alias("_before"))).alias("_c"))
-    cut = stored(cut.select(*[F.col(c).alias(f"_p{c}") for c in LEVELS], F.col("_c._bucket").alias("_cut"), F.col("_c._before").alias("_before")), "cut")
+    cut = tables.stored(cut.select(*[F.col(c).alias(f"_p{c}") for c in LEVELS], F.col("_c._bucket").alias("_cut"), F.col("_c._before").alias("_before")), "cut")
     edge = met(slim, cut).filter("_bucket = _cut")
     inside = F.sum("_mix_tokens").over(W.partitionBy(*LEVELS).orderBy("_key").rangeBetween(W.unboundedPreceding, W.currentRow))  # one bucket of each leaf
     last = edge.withColumn("_in", inside).filter("_before + _in <= _part").groupBy(*LEVELS).agg(F.max("_key").alias("_last"))
@@ -99,6 +98,21 @@ def mix(docs: DataFrame, domain: Column, lang: Column, source: Column, weights:
     bounds = plan.join(cut.select(*[F.col(f"_p{c}").alias(f"_r{c}") for c in LEVELS], "_cut"), [plan[f"_p{c}"].eqNullSafe(F.col(f"_r{c}")) for c in LEVELS], "left")
     bounds = bounds.join(last, [F.col(f"_p{c}").eqNullSafe(F.col(f"_q{c}")) for c in LEVELS], "left")
     # a prefix ends with the last key inside the cut bucket, or just before that bucket; without a cut the leaf is taken to its end
-    bounds = stored(bounds.select(*[f"_p{c}" for c in LEVELS], "_whole", F.coalesce("_last", "_cut", F.lit("g")).alias("_to")), "bounds")
+    bounds = tables.stored(bounds.select(*[f"_p{c}" for c in LEVELS], "_whole", F.coalesce("_last", "_cut", F.lit("g")).alias("_to")), "bounds")
     taken = met(rows, bounds).withColumn("_mix_copies", (F.col("_whole") + (key <= F.col("_to")).cast("long")).cast("int"))
-    return taken.filter("_mix_copies > 0").drop("_whole", "_to")
+    tables.drop(bounds)
+    return taken.filter("_mix_copies > 0").select("doc", *LEVELS, "_mix_tokens", "_mix_copies")
+
+
+def mix(docs: DataFrame, *args, **options) -> DataFrame:
+    """The documents taken, with their columns, _mix_domain, _mix_lang, _mix_source, _mix_tokens and _mix_copies (how often each is taken).
+
+    Takes docs, the levels' columns domain, lang and source, and weights: {value: whole number} by level; values not named weigh 1. Options: fraction, the budget as part of all
+    tokens (numerator, denominator), (1, 2); epochs, 2; seed, 17; tokens, a column, four bytes each if not given; id_col, doc_id."""
+    own = [*LEVELS, "_mix_tokens", "_mix_copies"]
+    return _mixed(docs, *args, **options).select(*[F.col(f"doc.{quoted(c)}") for c in docs.columns if c not in own], *own)
+
+
+def taken_once(docs: DataFrame, *args, **options) -> DataFrame:
+    """The documents taken, with their columns only. Options as of ``mix``."""
+    return _mixed(docs, *args, **options).select("doc.*")

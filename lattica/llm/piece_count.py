@@ -2,10 +2,10 @@
 
 The vocabulary is a trie. Where a word leaves it at node v, greedy longest match would have cut off some pieces of v's string; their number is
 stored with v, along with the node of what is left (the failure link). So a word is read once, byte by byte, and pieces are counted without
-being built.
+being built. Vocabularies may mark pieces that continue a word (``##ing``): these form a trie of their own, where reading goes on after the first cut.
 
 Defined results: null and empty texts have no words; a word that no sequence of pieces covers counts as one unknown piece; texts are counted
-whole; repeated rows stay; columns of the input other than the two named are not read.
+whole; repeated rows stay; columns of the input other than the two named, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,14 +20,18 @@ KEPT_WORDS = 400_000
 
 
 class PieceAutomaton:
-    """Nodes are integers, 0 the root. step: (node << 8 | byte) to node; link and popped by node, link -1 where nothing can be cut off."""
+    """Nodes are integers, 0 the root of pieces that begin a word, ``rest`` that of pieces that continue it: 0 as well without a mark.
+    step: (node << 8 | byte) to node; link and popped by node, link -1 where nothing can be cut off."""
 
-    def __init__(self, pieces):
+    def __init__(self, pieces, mark: bytes = b""):
         self.step: dict[int, int] = {}
-        depth_first: list[tuple[int, int]] = [(0, 0)]  # (parent, byte) by node
-        is_piece = [False]
-        for piece in sorted(p for p in pieces if p):
+        self.rest = 1 if mark else 0
+        depth_first: list[tuple[int, int]] = [(-1, 0)] * (1 + self.rest)  # (parent, byte) by node
+        is_piece = [False] * (1 + self.rest)
+        for piece in sorted(p for p in pieces if p and p != mark):
             at = 0
+            if mark and piece.startswith(mark):
+                at, piece = self.rest, piece[len(mark) :]
             for c in piece:
                 to = self.step.get(at << 8 | c)
                 if to is None:
@@ -38,13 +42,14 @@ class PieceAutomaton:
             is_piece[at] = True
         n = len(depth_first)
         depth = [0] * n
-        for v in range(1, n):  # a parent is made before its children
+        first = 1 + self.rest
+        for v in range(first, n):  # a parent is made before its children
             depth[v] = depth[depth_first[v][0]] + 1
         self.link, self.popped = [-1] * n, [0] * n
-        for v in sorted(range(1, n), key=depth.__getitem__):
+        for v in sorted(range(first, n), key=depth.__getitem__):
             u, c = depth_first[v]
             if is_piece[v]:
-                self.link[v], self.popped[v] = 0, 1
+                self.link[v], self.popped[v] = self.rest, 1
                 continue
             z, count = self.link[u], self.popped[u]
             while z >= 0 and (z << 8 | c) not in self.step:
@@ -66,22 +71,29 @@ class PieceAutomaton:
                     return -1
                 to = step.get(at << 8 | c)
             at = to
-        while at > 0:
+        last = self.rest  # a root: nothing is left to cut off
+        while at > last:
             n += popped[at]
             at = link[at]
-        return n if at == 0 else -1
+        return n if at >= 0 else -1
 
 
-def count_pieces(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_pieces, n_unknown). vocabulary: a rank file, of which the pieces are used; pattern: cuts texts into words."""
-    automaton = df.sparkSession.sparkContext.broadcast(PieceAutomaton(read_ranks(vocabulary)))
+_AUTOMATA: dict = {}
+
+
+def count_pieces(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", pieces=None, mark: bytes = b"") -> DataFrame:
+    """(id, n_words, n_pieces, n_unknown). vocabulary: a rank file, of which the pieces are used, or a name for ``pieces``; pattern: cuts texts into words; mark: begins pieces that continue a word."""
+    automaton = df.sparkSession.sparkContext.broadcast(PieceAutomaton(read_ranks(vocabulary) if pieces is None else pieces, mark))
     source = df.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
     schema = f"`{id_col}` {source.schema[0].dataType.simpleString()}, n_words long, n_pieces long, n_unknown long"
 
     def run(batches):
         import regex
 
-        own, words, kept = automaton.value, regex.compile(pattern), {}
+        if (vocabulary, pattern, mark) not in _AUTOMATA:  # one in a process: later tasks of a worker find its words warm
+            _AUTOMATA.clear()
+            _AUTOMATA[vocabulary, pattern, mark] = automaton.value, regex.compile(pattern), {}
+        own, words, kept = _AUTOMATA[vocabulary, pattern, mark]
 
         def length(word: str) -> int:
             got = kept.get(word)

@@ -9,7 +9,8 @@ The model is fitted on the driver from at most ``SAMPLE_ROWS`` labelled rows, th
 bound. Scoring covers every row.
 
 Defined results: null texts count as empty, and empty texts are scored like any other; labels other than 0 and 1 and null ids teach nothing; without
-labelled rows every score is 0.5; repeated rows get equal scores; columns of the input other than id and text are not read.
+labelled rows every score is 0.5; repeated rows get equal scores, and of several texts of a labelled id the least one teaches; texts may be of any length; columns of the input
+other than id and text are not read, whatever their names, and stay as they are in ``accepted``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lattica.llm.util import Rolling, chunks, flat
+from lattica.llm.util import Rolling, chunks, flat, whole_row
 
 #: At most so many labelled rows are gathered to fit a model (about 3 MB of features).
 SAMPLE_ROWS = 20_000
@@ -189,7 +190,7 @@ def held_out(id_column):
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _featured(batches, text: str = "_text"):
+def _featured(batches, text: str = "text"):
     for part in chunks(batches, text):
         yield part, features(*flat(part.column(part.schema.get_field_index(text))))
 
@@ -197,8 +198,9 @@ def _featured(batches, text: str = "_text"):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> GamModel:
     """Fits a model from the labelled rows that aren't held out, SAMPLE_ROWS at most."""
     usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    sample = usable.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id", "_y").limit(SAMPLE_ROWS)
-    known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(sample), "_id").select("_y", "_text")
+    sample = usable.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id", "y").limit(SAMPLE_ROWS)
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
+    known = known.groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text")  # one text for a label, however often its id is repeated
 
     def run(batches):
         for part, x in _featured(batches):
@@ -211,16 +213,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(x[order], y[order])
 
 
-def scored(docs: DataFrame, model: GamModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs and _score double."""
+def scored(docs: DataFrame, model: GamModel, text_col: str = "text") -> DataFrame:
+    """(doc, score): each row of docs as a struct, and its score."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.withColumn("_text", F.col(text_col).cast("string"))
-    out = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
+    source = docs.select(whole_row(docs).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    out = StructType([source.schema["doc"], StructField("score", DoubleType())])
 
     def run(batches):
         for part, x in _featured(batches):
-            kept = [part.column(i) for i, n in enumerate(part.schema.names) if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(held.value.score(x))], names=out.names)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held.value.score(x))], names=["doc", "score"])
 
     return source.mapInArrow(run, out)
 
@@ -228,9 +229,9 @@ def scored(docs: DataFrame, model: GamModel, id_col: str = "doc_id", text_col: s
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document."""
     s = scored(docs.select("doc_id", "text"), train(docs, labels))
-    return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return s.select("doc.doc_id", held_out(F.col("doc.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, at_least: float = 0.5) -> DataFrame:
     """The documents, with their columns, that score ``at_least``."""
-    return scored(docs, train(docs, labels)).filter(F.col("_score") >= at_least).drop("_score")
+    return scored(docs, train(docs, labels)).filter(F.col("score") >= at_least).select("doc.*")

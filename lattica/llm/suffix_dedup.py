@@ -4,20 +4,24 @@ A byte goes if a string of ``min_len`` bytes that covers it also starts earlier.
 
 1. Each string of ``min_len`` bytes names one of its grams, the one of least hash: its anchor. Equal strings name equal anchors, so they meet in the
    anchor's bucket. A document sends an anchor once for each place, with a hash of the neighbourhood that holds just the strings it
-   stands for. Anchors found once in the corpus end here. Of equal neighbourhoods all but the first repeat it whole: they are settled here too.
-2. Only anchors with several different neighbourhoods are left, one document's text for each neighbourhood. Their texts go to shards by anchor.
+   stands for. Anchors found once in the corpus end here.
+2. Of neighbourhoods with equal hashes all but the first are claimed to repeat it whole. Claims of a document that continue each other are one claim, so a copy of
+   a text makes one or a few. Each is verified on the bytes of both texts: a BLAKE2b digest of 256 bits of the stretch, made on either side. Anchors with a claim that fails
+   are taken up again in step 3, with all their neighbourhoods.
+3. Anchors with several different neighbourhoods are left, one document's text for each neighbourhood. Their texts go to shards by anchor.
    There, strings are told apart by their distance to the anchor in ``PARTS`` parts; those of a part share a stretch around the anchor, and where no other neighbourhood
    has that stretch they can't repeat and are cut off. Of the rest a shard's
    suffix array comes from induced sorting, its permuted common prefixes from the array; runs of suffixes with ``min_len`` bytes or more in common are
    equal strings, of which the earliest stays.
-3. Anchors with more than ``MOST_IN_A_SHARD`` neighbourhoods (edges of a passage that very many texts share) go the exact way for the rest:
-   their strings are grouped by value, with the least place combined before the shuffle, and joined back.
+4. Anchors with more than ``MOST_IN_A_SHARD`` neighbourhoods (edges of a passage that very many texts share) go the exact way for the rest:
+   their strings are grouped by value (128 bits of two unlike hashes), with the least place combined before the shuffle, and joined back.
 
-Buckets and shards have a fixed size, so their number grows with the input. Strings meet by 64-bit hashes of the anchor together with 64 bits of the neighbourhood.
+So whole copies are settled in step 2, which is most of the bytes where copies are common; what texts share in part is decided by the suffix arrays.
+Buckets and shards have a fixed size, so their number grows with the input.
 
-Defined results: null counts as empty; texts shorter than ``min_len`` bytes keep all; ids order the documents, rows of one id are ordered by a hash of their texts, and
-rows with equal id and text are one document (each gets its result, none removes the other); a null id is replaced by a hash of the text;
-an empty table gives an empty result. Names that start with an underscore are reserved in the input.
+Defined results: null counts as empty; texts shorter than ``min_len`` bytes keep all; ids order the documents, rows of one id with different texts are different documents,
+ordered by 60 bits of their texts' MD5, which tell them apart; rows with equal id and text are one document (each gets its result, none removes the other); a null id is
+replaced by a hash of the text, behind equal ids; columns of the input may have any names and stay as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,9 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.induced import permuted_prefixes, suffix_array
-from lattica.llm.util import Rolling, chunks, flat, mixed, partitions, stored, total_bytes
+from lattica.llm.util import Rolling, Tables, chunks, flat, mixed, partitions, quoted, slice_hashes, total_bytes, whole_row
 
 MOST_IN_A_SHARD = 20_000
+#: Bits of a neighbourhood's hash that are used.
+NEAR_BITS = 64
 #: Bytes of neighbourhoods in one suffix array.
 ARRAY_BYTES = 1 << 20
 #: Bytes of text for a bucket of anchors, and neighbourhoods for a shard.
@@ -87,56 +93,70 @@ def anchors(data: np.ndarray, off: np.ndarray, min_len: int):
             live = live[~smaller]
             step += 1
     a, b = first, last + min_len
-    return doc, at, a, b, gram[at], hashes(a, b) ^ mixed((at - a).astype(np.uint64))
+    return doc, at, a, b, gram[at], slice_hashes(data, a, b)[0] ^ mixed((at - a).astype(np.uint64))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The input with _d and _t, which name and order the documents, and _text."""
-    h = F.xxhash64("_text")
-    return docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumn("_d", F.coalesce(F.col(id_col).cast("long"), h)).withColumn("_t", F.when(F.col(id_col).isNull(), 65535).otherwise(F.pmod(h, F.lit(65535))).cast("int"))
+    """(doc, d, t, text): the input's row, the two numbers that name and order a document, and its text."""
+    rows = docs.select(whole_row(docs).alias("doc"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    h = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long")
+    return rows.select("doc", F.coalesce("id", F.xxhash64("text")).alias("d"), F.when(F.col("id").isNull(), h + F.lit(1 << 60)).otherwise(h).alias("t"), "text")
+
+
+_PACKED = {"g": np.uint64, "c": np.uint64, "d": np.int64, "t": np.int64, "s": np.int64, "n": np.int32, "i": np.int32}
 
 
 def _bucketed(rows: DataFrame, min_len: int, buckets: int) -> DataFrame:
-    """(_b, and columns of anchors packed as bytes): one row per chunk of texts and bucket."""
+    """(b, and columns of anchors packed as bytes): one row per chunk of texts and bucket."""
+    used = np.uint64((1 << NEAR_BITS) - 1)
 
     def run(batches):
-        for part in chunks(batches, "_text"):
-            data, off = flat(part.column(part.schema.get_field_index("_text")))
+        for part in chunks(batches, "text"):
+            data, off = flat(part.column(2))
             doc, at, a, b, gram, near = anchors(data, off, min_len)
             if not len(doc):
                 continue
-            d = np.asarray(part.column(part.schema.get_field_index("_d")), np.int64)[doc]
-            t = np.asarray(part.column(part.schema.get_field_index("_t")), np.int32)[doc]
+            d, t = (np.asarray(part.column(k), np.int64)[doc] for k in (0, 1))
             s, n, i = (a - off[doc]).astype(np.int64), (b - a).astype(np.int32), (at - a).astype(np.int32)
             bucket = (mixed(gram) % np.uint64(buckets)).astype(np.int32)
             o = np.argsort(bucket, kind="stable")
             cut = np.r_[np.flatnonzero(np.diff(bucket[o], prepend=-1)), len(o)]
-            packed = [[x[o[p:q]].tobytes() for p, q in zip(cut[:-1], cut[1:], strict=True)] for x in (gram, near, d, t, s, n, i)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[o[cut[:-1]]]), *(pa.array(x, pa.binary()) for x in packed)], names=["_b", "g", "c", "d", "t", "s", "n", "i"])
-
-    return rows.select("_d", "_t", "_text").mapInArrow(run, "_b int, g binary, c binary, d binary, t binary, s binary, n binary, i binary")
-
-
-def _met(table: pa.Table) -> pa.Table:
-    """A bucket: repeats of a whole neighbourhood (settled), and the neighbourhoods to be compared (g is their anchor)."""
-    kinds = {"g": np.uint64, "c": np.uint64, "d": np.int64, "t": np.int32, "s": np.int64, "n": np.int32, "i": np.int32}
-    held = [np.frombuffer(b"".join(table[k].to_pylist()), v) for k, v in kinds.items()]
-    o = np.argsort(held[0], kind="stable")
-    new = np.r_[True, held[0][o][1:] != held[0][o][:-1]][: len(o)]
-    size = np.diff(np.r_[np.flatnonzero(new), len(o)])
-    o = o[np.repeat(size > 1, size)]  # an anchor found once ends here
-    held = [x[o] for x in held]
-    o = np.lexsort((held[4], held[3], held[2], held[1], held[0]))
-    g, c, d, t, s, n, i = (x[o] for x in held)
-    same_g = np.r_[False, g[1:] == g[:-1]][: len(g)]
-    same = same_g & np.r_[False, c[1:] == c[:-1]][: len(g)]
-    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(g))))
-    own = (d == d[first]) & (t == t[first]) & (s == s[first])  # the first itself, or the same row again
-    group = np.cumsum(~same_g) - 1
-    several = np.bincount(group, ~same)[group] > 1 if len(g) else own
-    settled = ~own
-    keep = settled | (several & ~same)
-    return pa.table({"d": d[keep], "t": t[keep], "s": s[keep], "n": n[keep], "i": i[keep], "g": g[keep].view(np.int64), "settled": settled[keep]})
+            packed = [[x[o[p:q]].tobytes() for p, q in zip(cut[:-1], cut[1:], strict=True)] for x in (gram, near & used, d, t, s, n, i)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[o[cut[:-1]]]), *(pa.array(x, pa.binary()) for x in packed)], names=["b", *_PACKED])
+
+    return rows.select("d", "t", "text").mapInArrow(run, "b int, " + ", ".join(f"{k} binary" for k in _PACKED))
+
+
+_MET = "d long, t long, s long, n int, i int, g long, settled boolean, d0 long, t0 long, s0 long"
+
+
+def _met(only: np.ndarray | None = None):
+    """Of a bucket: claims that a neighbourhood repeats another, first one whole (settled), and the neighbourhoods to be compared (g is their anchor). With ``only`` all neighbourhoods of those anchors are to be compared."""
+
+    def run(table: pa.Table) -> pa.Table:
+        held = [np.frombuffer(b"".join(table[k].to_pylist()), v) for k, v in _PACKED.items()]
+        if only is not None:
+            of = np.isin(held[0], only)
+            held = [x[of] for x in held]
+        o = np.argsort(held[0], kind="stable")
+        new = np.r_[True, held[0][o][1:] != held[0][o][:-1]][: len(o)]
+        size = np.diff(np.r_[np.flatnonzero(new), len(o)])
+        o = o[np.repeat(size > 1, size)]  # an anchor found once ends here
+        held = [x[o] for x in held]
+        o = np.lexsort((held[4], held[3], held[2], held[1], held[0]))
+        g, c, d, t, s, n, i = (x[o] for x in held)
+        same_g = np.r_[False, g[1:] == g[:-1]][: len(g)]
+        same = same_g & np.r_[False, c[1:] == c[:-1]][: len(g)]
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(g))))
+        own = (d == d[first]) & (t == t[first]) & (s == s[first])  # the first itself, or the same row again
+        group = np.cumsum(~same_g) - 1
+        several = np.bincount(group, ~same)[group] > 1 if len(g) else own
+        settled = ~own if only is None else np.zeros(len(g), bool)
+        keep = settled | (several & ~same) if only is None else np.ones(len(g), bool)
+        refer = lambda x: pa.array(x[first][keep], pa.int64(), mask=~settled[keep])
+        return pa.table({"d": d[keep], "t": t[keep], "s": s[keep], "n": n[keep], "i": i[keep], "g": g[keep].view(np.int64), "settled": settled[keep], "d0": refer(d), "t0": refer(t), "s0": refer(s)})
+
+    return run
 
 
 #: Parts of the strings of a neighbourhood, by their distance to the anchor.
@@ -220,35 +240,78 @@ def _shard(min_len: int):
         if part:
             done()
         cols = list(zip(*out, strict=True)) if out else [[]] * 4
-        return pa.table({k: pa.array(np.array(c, np.int64), v) for k, c, v in zip(("d", "t", "s", "n"), cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)})
+        return pa.table({k: pa.array(np.array(c, np.int64), v) for k, c, v in zip(("d", "t", "s", "n"), cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)})
 
     return run
 
 
-def _neighbourhoods(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: (d, t, s, n, g, i). Adds x, the bytes: the texts meet their own list of places."""
-    lists = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("s", "n", "g", "i")).alias("_w"))
-    met = rows.select("_d", "_t", "_text").join(lists, (F.col("_d") == F.col("d")) & (F.col("_t") == F.col("t"))).select("d", "t", "_text", "_w")
+def _runs(doc, s, n, d0, t0, s0):
+    """Claims of documents that continue each other, as one: (document, start, first's d, t and start, length)."""
+    o = np.lexsort((s, s - s0, t0, d0, doc))
+    doc, s, n, d0, t0, s0 = (x[o] for x in (doc, s, n, d0, t0, s0))
+    new = np.ones(len(o), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (d0[1:] != d0[:-1]) | (t0[1:] != t0[:-1]) | (s[1:] - s0[1:] != s[:-1] - s0[:-1]) | (s[1:] > s[:-1] + n[:-1])
+    head = np.flatnonzero(new)
+    end = np.maximum.reduceat(s + n, head) if len(o) else s
+    return doc[head], s[head], d0[head], t0[head], s0[head], end - s[head]
+
+
+def _digest(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=32).digest()
+
+
+def _read(rows: DataFrame, met: DataFrame) -> DataFrame:
+    """The texts meet their own list of places. For neighbourhoods to be compared (g, d, t, s, x, i) with x their bytes, for claims (d, t, s, n, h): the first's stretch and the digest that it should have."""
+    claim, place = (F.struct(*names) for names in (("s", "n", "d0", "t0", "s0"), ("s", "n", "g", "i")))
+    lists = met.groupBy(F.col("d").alias("e"), F.col("t").alias("u")).agg(F.collect_list(F.when(~F.col("settled"), place)).alias("w"), F.collect_list(F.when(F.col("settled"), claim)).alias("k"))
+    joined = rows.select("d", "t", "text").join(lists, (F.col("d") == F.col("e")) & (F.col("t") == F.col("u"))).select("d", "t", "text", "w", "k")
+    names = ["g", "d", "t", "s", "x", "i", "n", "h"]
+    kinds = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.int64(), pa.binary()]
+
+    def listed(column, fields):
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        inner = column.flatten()
+        return np.repeat(np.arange(len(column)), np.diff(np.asarray(column.offsets))), *(np.asarray(inner.field(k)).astype(np.int64) for k in range(fields))
+
+    def made(**columns):
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in zip(names, kinds, strict=True)], names=names)
 
     def run(batches):
-        for part in chunks(batches, "_text"):
+        for part in chunks(batches, "text"):
             data, off = flat(part.column(2))
-            w = part.column(3)
-            w = w.combine_chunks() if isinstance(w, pa.ChunkedArray) else w
-            places = w.flatten()
-            s, n, g, near = (np.asarray(places.field(k)).astype(np.int64) for k in range(4))
-            doc = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(w.offsets)))
-            a = off[doc] + s
             raw = data.tobytes()
+            d, t = (np.asarray(part.column(k), np.int64) for k in (0, 1))
+            doc, s, n, g, i = listed(part.column(3), 4)
+            a = off[doc] + s
             for at in range(0, len(a), 8192):
-                i = slice(at, at + 8192)
-                x = [raw[p : p + q] for p, q in zip(a[i].tolist(), n[i].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(g[i]), part.column(0).take(pa.array(doc[i])), part.column(1).take(pa.array(doc[i])), pa.array(s[i]), pa.array(x, pa.binary()), pa.array(near[i].astype(np.int32))], names=["g", "d", "t", "s", "x", "i"])
+                k = slice(at, at + 8192)
+                yield made(g=g[k], d=d[doc[k]], t=t[doc[k]], s=s[k], x=[raw[p : p + q] for p, q in zip(a[k].tolist(), n[k].tolist(), strict=True)], i=i[k])
+            doc, s, d0, t0, s0, n = _runs(*listed(part.column(4), 5))
+            a = off[doc] + s
+            if len(a):
+                yield made(d=d0, t=t0, s=s0, n=n, h=[_digest(raw[p : p + q]) for p, q in zip(a.tolist(), n.tolist(), strict=True)])
+
+    return joined.mapInArrow(run, "g long, d long, t long, s long, x binary, i int, n long, h binary").dropDuplicates(["g", "d", "t", "s", "i", "n", "h"])
+
+
+def _failed(rows: DataFrame, claims: DataFrame) -> DataFrame:
+    """(d, t, s, n): stretches of first texts whose bytes aren't those that a claim says. claims: (d, t, s, n, h)."""
+    lists = claims.groupBy(F.col("d").alias("e"), F.col("t").alias("u")).agg(F.collect_list(F.struct("s", "n", "h")).alias("k"))
+    joined = rows.select("d", "t", "text").join(lists, (F.col("d") == F.col("e")) & (F.col("t") == F.col("u"))).select("d", "t", "text", "k")
+
+    def run(batches):
+        for part in chunks(batches, "text"):
+            out = []
+            for d, t, text, k in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3), strict=True):
+                raw = text.as_buffer()
+                out += [(d, t, c["s"], c["n"]) for c in k.as_py() if _digest(raw[c["s"] : c["s"] + c["n"]]) != c["h"]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(4)], names=["d", "t", "s", "n"])
 
-    return met.mapInArrow(run, "g long, d long, t int, s long, x binary, i int").dropDuplicates(["g", "d", "t", "s", "i"])
+    return joined.mapInArrow(run, "d long, t long, s long, n long").distinct()
 
 
-def _by_value(rows: DataFrame, min_len: int) -> DataFrame:
+def _by_value(texts: DataFrame, min_len: int, tables: Tables) -> DataFrame:
     """The exact way for anchors with very many neighbourhoods: strings grouped by value, the least place combined before the shuffle."""
 
     def run(batches):
@@ -260,36 +323,48 @@ def _by_value(rows: DataFrame, min_len: int) -> DataFrame:
             doc = np.repeat(np.arange(part.num_rows), size)
             o = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
             at = off[doc] + o
-            one = Rolling(data)(at, at + min_len)
-            two = Rolling(data[::-1])(len(data) - at - min_len, len(data) - at)
+            one, two = slice_hashes(data, at, at + min_len, wide=True)
             d, t = (part.column(k).take(pa.array(doc)) for k in (1, 2))
             yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), d, t, pa.array(np.asarray(part.column(3))[doc] + o)], names=["h", "k", "d", "t", "s"])
 
-    windows = stored(rows.mapInArrow(run, "h long, k long, d long, t int, s long"), "windows")
-    least = windows.groupBy("h", "k").agg(F.min(F.struct("d", "t", "s")).alias("_m"))
-    later = windows.join(least, ["h", "k"]).filter(F.struct("d", "t", "s") > F.col("_m"))
+    windows = tables.stored(texts.mapInArrow(run, "h long, k long, d long, t long, s long"), "windows")
+    least = windows.groupBy("h", "k").agg(F.min(F.struct("d", "t", "s")).alias("m"))
+    later = windows.join(least, ["h", "k"]).filter(F.struct("d", "t", "s") > F.col("m"))
     return later.select("d", "t", "s", F.lit(min_len).alias("n"))
 
 
-def repeats(rows: DataFrame, min_len: int, most_in_a_shard: int = MOST_IN_A_SHARD) -> DataFrame:
-    """(d, t, s, n): stretches to remove, n bytes from byte s; they may overlap. rows: from _keyed()."""
+def spans(rows: DataFrame, min_len: int, most_in_a_shard: int = MOST_IN_A_SHARD) -> DataFrame:
+    """(d, t, spans), a written table: stretches to remove, n bytes from byte s; they may overlap. rows: from _keyed()."""
     spark = rows.sparkSession
-    buckets = partitions(spark, total_bytes(rows, "_text"), BUCKET_TEXT)
-    met = _bucketed(rows, min_len, buckets).groupBy("_b").applyInArrow(_met, "d long, t int, s long, n int, i int, g long, settled boolean")
-    met = stored(met, "anchors")
-    open_ = met.filter("NOT settled").select("d", "t", "s", "n", "g", "i")
-    crowd = open_.groupBy("g").agg(F.count("*").alias("_k")).filter(F.col("_k") > most_in_a_shard).select("g")
-    crowd = stored(crowd, "crowded")  # rows / most_in_a_shard of them at most
-    crowded = crowd.count()
-    texts = stored(_neighbourhoods(rows, open_), "neighbourhoods")
-    out = met.filter("settled").select("d", "t", "s", "n")
-    few = texts.join(crowd, "g", "left_anti") if crowded else texts
-    shards = partitions(spark, open_.count(), SHARD_ROWS)
-    found = few.withColumn("_b", F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int")).groupBy("_b").applyInArrow(_shard(min_len), "d long, t int, s long, n int")
-    out = out.unionByName(found)
-    if crowded:
-        out = out.unionByName(_by_value(texts.join(crowd, "g", "left_semi").select("g", "d", "t", "s", "x"), min_len))
-    return out
+    tables = Tables(spark)
+    buckets = partitions(spark, total_bytes(rows, "text"), BUCKET_TEXT)
+    met = tables.stored(_bucketed(rows, min_len, buckets).groupBy("b").applyInArrow(_met(), _MET), "anchors")
+    read = tables.stored(_read(rows, met), "neighbourhoods")
+    failed = tables.stored(_failed(rows, read.filter("h IS NOT NULL").select("d", "t", "s", "n", "h")), "failed")
+    settled = met.filter("settled")
+    texts = read.filter("h IS NULL").select("g", "d", "t", "s", "x", "i")
+    if not failed.isEmpty():  # two neighbourhoods of one anchor with equal hashes: expected never
+        of = failed.select(*[F.col(c).alias(f"f_{c}") for c in failed.columns])
+        inside = (F.col("d0") == F.col("f_d")) & (F.col("t0") == F.col("f_t")) & (F.col("s0") >= F.col("f_s")) & (F.col("s0") + F.col("settled.n") <= F.col("f_s") + F.col("f_n"))
+        again = tables.stored(settled.alias("settled").join(of, inside).select("g").distinct(), "again")
+        only = np.asarray(again.toArrow()["g"], np.int64).view(np.uint64)
+        settled = settled.join(again, "g", "left_anti")
+        met = tables.stored(_bucketed(rows, min_len, buckets).groupBy("b").applyInArrow(_met(only), _MET), "anchors")
+        more = tables.stored(_read(rows, met), "neighbourhoods")
+        texts = texts.join(again, "g", "left_anti").unionByName(more.select(*texts.columns))
+    counts = texts.groupBy("g").agg(F.count("*").alias("k"))
+    n, most = counts.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.max("k"), F.lit(0))).first()
+    out = settled.select("d", "t", "s", "n")
+    few = texts
+    if most > most_in_a_shard:
+        crowd = tables.stored(counts.filter(F.col("k") > most_in_a_shard).select("g"), "crowded")  # rows / most_in_a_shard of them at most
+        few = texts.join(crowd, "g", "left_anti")
+        out = out.unionByName(_by_value(texts.join(crowd, "g", "left_semi").select("g", "d", "t", "s", "x"), min_len, tables))
+    shards = partitions(spark, n, SHARD_ROWS)
+    found = few.withColumn("b", F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int")).groupBy("b").applyInArrow(_shard(min_len), "d long, t long, s long, n int")
+    done = tables.stored(out.unionByName(found).groupBy("d", "t").agg(F.collect_list(F.struct("s", "n")).alias("spans")), "spans")
+    tables.drop(done)
+    return done
 
 
 def kept_spans(n_bytes: int, starts, sizes) -> tuple[list[tuple[int, int]], int]:
@@ -308,44 +383,48 @@ def kept_spans(n_bytes: int, starts, sizes) -> tuple[list[tuple[int, int]], int]
     return kept, runs
 
 
-def _with_repeats(rows: DataFrame, min_len: int, most_in_a_shard: int) -> DataFrame:
-    spans = repeats(rows, min_len, most_in_a_shard).groupBy("d", "t").agg(F.collect_list(F.struct("s", "n")).alias("_spans"))
-    return rows.join(spans, (F.col("_d") == F.col("d")) & (F.col("_t") == F.col("t")), "left").drop("d", "t")
+def _with_spans(docs: DataFrame, min_len: int, id_col: str, text_col: str, most_in_a_shard: int) -> DataFrame:
+    """(doc, text, spans)"""
+    rows = _keyed(docs, id_col, text_col)
+    found = spans(rows, min_len, most_in_a_shard).select(F.col("d").alias("e"), F.col("t").alias("u"), "spans")
+    return rows.join(found, (F.col("d") == F.col("e")) & (F.col("t") == F.col("u")), "left").select("doc", "text", "spans")
 
 
 def removal_report(docs: DataFrame, min_len: int = 100, id_col: str = "doc_id", text_col: str = "text", most_in_a_shard: int = MOST_IN_A_SHARD) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for every document."""
-    rows = _with_repeats(_keyed(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col), min_len, most_in_a_shard)
+    rows = _with_spans(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), min_len, "id", "text", most_in_a_shard)
     kind = docs.schema[id_col].dataType.simpleString()
+    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 out = []
-                for text, spans in zip(part.column(1), part.column(2), strict=True):
+                for text, places in zip(part.column(1), part.column(2), strict=True):
                     raw = (text.as_py() or "").encode()
-                    places = spans.as_py() or []
+                    places = places.as_py() or []
                     kept, runs = kept_spans(len(raw), [p["s"] for p in places], [p["n"] for p in places])
                     left = b"".join(raw[i:j] for i, j in kept)
                     out.append((len(raw), len(raw) - len(left), runs, hashlib.sha256(left).hexdigest()))
                 cols = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=names)
 
-    return rows.select(id_col, "_text", "_spans").mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.select("doc.id", "text", "spans").mapInArrow(run, f"{quoted(id_col)} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, min_len: int = 100, id_col: str = "doc_id", text_col: str = "text", most_in_a_shard: int = MOST_IN_A_SHARD) -> DataFrame:
     """The documents, with their columns, without the repeated bytes. A character of which a part was removed goes whole."""
-    rows = _with_repeats(_keyed(docs, id_col, text_col), min_len, most_in_a_shard).drop("_d", "_t", "_text")
     names = docs.columns
     at = names.index(text_col)
+    rows = _with_spans(docs, min_len, id_col, text_col, most_in_a_shard)
+    rows = rows.select(*[F.col("doc").getField(c).alias(f"c{k}") for k, c in enumerate(names)], "spans")  # by place: names of the input may be any
 
     def run(batches):
         for b in batches:
             texts = []
-            for text, spans in zip(b.column(at), b.column(b.num_columns - 1), strict=True):
-                places = spans.as_py()
+            for text, places in zip(b.column(at), b.column(b.num_columns - 1), strict=True):
+                places = places.as_py()
                 if not places:
                     texts.append(text.as_py())
                     continue

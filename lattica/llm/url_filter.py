@@ -3,22 +3,27 @@
 A host with its labels reversed (``www.example.net`` is ``net/example/www/``) starts with the reversed host of every
 rule that fits it, so a rule's host is an interval of keys: from its reversed host up to the last key that starts with it.
 Intervals either nest or don't meet. Each partition sorts its URLs by that key and merges them with the sorted rules; a stack
-holds the rules whose intervals are open, innermost on top. No row is shuffled: the rules' size is checked (``MAX_RULE_BYTES``)
-before they go to the tasks, so a sorted partition can be swept alone.
+holds the rules whose intervals are open, innermost on top. No row is shuffled: the rules are broadcast in parts of ``PART_BYTES`` at most, and a sorted partition is swept
+once for each part; the stronger of a row's rules is kept from part to part, so any number of rules is exact.
 
 Defined results: a URL that is null or has no ``://`` has empty host and path, fits no rule and gets the default verdict; an
 empty path fits only rules with an empty path; of rules that fit, the one with the longest host plus path wins, then the longer host, then ``block``;
-repeated rows stay, each judged alone; columns of the input other than the two named are not read.
+repeated rows stay, each judged alone; columns of the input other than the two named, whatever their names, are not read; URLs may be of any length; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.util import quoted
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_RULE_BYTES = 32 << 20
+#: Bytes of rules in one broadcast part.
+PART_BYTES = 32 << 20
 
 
 def host_and_path(url):
@@ -47,15 +52,41 @@ def _prepared(rules) -> list[tuple[str, str, str, str, tuple]]:
         host = host.translate(str.maketrans(UPPER, LOWER))
         if best.get((host, path)) != "block":
             best[host, path] = verdict
-    made = [(_key(h).encode(), p, h + p, v, (len(h) + len(p), len(h), v == "block")) for (h, p), v in best.items()]
-    if sum(len(k) + len(p) + len(r) for k, p, r, _, _ in made) > MAX_RULE_BYTES:
-        raise ValueError(f"rules hold more than {MAX_RULE_BYTES} bytes; split them and filter once for each part")
-    return sorted(made)
+    return sorted((_key(h).encode(), p, h + p, v, (len(h) + len(p), len(h), v == "block")) for (h, p), v in best.items())
+
+
+def _parts(rules: list) -> list[list]:
+    """Runs of the sorted rules, each of PART_BYTES at most; one at least."""
+    out, held = [[]], 0
+    for r in rules:
+        size = len(r[0]) + len(r[1]) + len(r[2])
+        if out[-1] and held + size > PART_BYTES:
+            out.append([])
+            held = 0
+        out[-1].append(r)
+        held += size
+    return out
 
 
-def sweep(keys: list[bytes], paths: list[str], rules: list) -> list[tuple[str | None, str | None]]:
-    """(rule, verdict) for each URL of a run sorted by key. The stack's depth is that of nested rule hosts."""
-    out, stack, at = [], [], 0
+def _open_at(rules: list, key: bytes) -> tuple[list, int]:
+    """The stack as a sweep has it when it reaches ``key``, and the place of the next rule: found by bisection for the key and each label's end before it."""
+    at = bisect.bisect_right(rules, key, key=lambda r: r[0])
+    stack, end = [], key.find(b"/")
+    while end >= 0:
+        own = key[: end + 1]
+        a, b = (f(rules, own, key=lambda r: r[0]) for f in (bisect.bisect_left, bisect.bisect_right))
+        if a < b:
+            stack.append(rules[a:b])
+        end = key.find(b"/", end + 1)
+    return stack, at
+
+
+def sweep(keys: list[bytes], paths: list[str], rules: list) -> list[tuple | None]:
+    """The strongest rule that fits, or None, for each URL of a run sorted by key. The stack's depth is that of nested rule hosts."""
+    if not keys:
+        return []
+    out = []
+    stack, at = _open_at(rules, keys[0])
     for key, path in zip(keys, paths, strict=True):
         while at < len(rules) and rules[at][0] <= key:
             while stack and not rules[at][0].startswith(stack[-1][0][0]):
@@ -67,22 +98,27 @@ def sweep(keys: list[bytes], paths: list[str], rules: list) -> list[tuple[str |
             at += 1
         while stack and not key.startswith(stack[-1][0][0]):
             stack.pop()
-        fit = max((r for level in stack for r in level if path.startswith(r[1])), key=lambda r: r[4], default=None)
-        out.append((fit[2], fit[3]) if fit else (None, None))
+        out.append(max((r for level in stack for r in level if path.startswith(r[1])), key=lambda r: r[4], default=None))
     return out
 
 
 def filter_urls(df: DataFrame, rules, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """``id_col``, host, path, rule, verdict for every row. rules: (host, path prefix, allow or block) triples."""
-    made = _prepared(rules)
+    spark = df.sparkSession
+    parts = [spark.sparkContext.broadcast(part) for part in _parts(_prepared(rules))]
     host, path = host_and_path(F.col(url_col))
-    keyed = df.select(F.col(id_col), host.alias("host"), path.alias("path")).withColumn("_key", reversed_host("host")).sortWithinPartitions("_key")
-    out_type = keyed.select(id_col, "host", "path").schema.add("rule", "string").add("verdict", "string")
+    keyed = df.select(F.col(id_col), host.alias("host"), path.alias("path"))
+    kind = keyed.schema[0].dataType.simpleString()
+    keyed = keyed.toDF("c0", "c1", "c2").withColumn("c3", reversed_host("c1")).sortWithinPartitions("c3")
+    out_type = f"{quoted(id_col)} {kind}, host string, path string, rule string, verdict string"
 
     def run(batches):
-        for b in batches:  # of a sorted partition, so each batch is a sorted run; a batch's sweep starts at its own first key
-            found = sweep([k.encode() for k in b.column(3).to_pylist()], b.column(2).to_pylist(), made)
-            rule, verdict = pa.array([x[0] for x in found], pa.string()), pa.array([x[1] or default for x in found], pa.string())
+        for b in batches:  # of a sorted partition, so each batch is a sorted run
+            keys, paths = [k.encode() for k in b.column(3).to_pylist()], b.column(2).to_pylist()
+            found = sweep(keys, paths, parts[0].value)
+            for part in parts[1:]:
+                found = [max((r for r in pair if r), key=lambda r: r[4], default=None) for pair in zip(found, sweep(keys, paths, part.value), strict=True)]
+            rule, verdict = pa.array([r and r[2] for r in found], pa.string()), pa.array([r[3] if r else default for r in found], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), rule, verdict], names=[id_col, "host", "path", "rule", "verdict"])
 
     return keyed.mapInArrow(run, out_type)

@@ -65,6 +65,40 @@ def test_repeats_of_odd_tables(spark):
     assert suffix_dedup.removal_report(df.limit(0), 100).count() == 0
 
 
+def test_many_texts_of_one_id_keep_their_own(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    shared = " ".join(word() for _ in range(30))
+    texts = [" ".join(word() for _ in range(40)) + (shared if k % 50 == 0 else "") for k in range(500)]
+    names = ["_text", "d", "t", "g", "spans", "doc", "n", "id", "s"]
+    df = spark.createDataFrame([(5, t) for t in texts] + [(1, texts[7])], "doc_id long, text string").select("*", *[F.lit(k).alias(k) for k in names])
+    rows = suffix_dedup.removal_report(df, 100).collect()
+    gone = sorted((r["n_removed"] for r in rows), reverse=True)
+    assert gone[0] == len(texts[7]) and sum(n > 0 for n in gone) == 10 and all(len(shared) <= n < len(shared) + 20 for n in gone[1:10])
+    kept = suffix_dedup.without_repeats(df, 100)
+    assert kept.columns == df.columns and kept.filter("doc <> 'doc' OR spans <> 'spans'").count() == 0
+    assert len({r["text"] for r in kept.collect()} & set(texts)) == 500 - 10 + 1
+
+
+@pytest.mark.parametrize("bits", [64, 2, 0])
+def test_claims_are_verified_on_bytes(spark, monkeypatch, bits):
+    monkeypatch.setattr(suffix_dedup, "NEAR_BITS", bits)
+    rng = random.Random(17)
+    piece = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    shared, edge = piece(60), [piece(45) for _ in range(4)]
+    rows = [(k, rng.choice(edge) + shared + rng.choice(edge)) for k in range(30)] + [(100 + k, piece(200)) for k in range(5)]
+    rows += [(200, rows[3][1]), (201, rows[32][1] + rows[33][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert {r[0]: tuple(r)[1:] for r in suffix_dedup.removal_report(df, 100).collect()} == brute_repeats(rows, 100)
+
+
+def test_regular_texts_are_told_apart(spark):
+    rows = [(1, thue_morse(2048)), (2, thue_morse(2048).translate(str.maketrans("ab", "ba"))), (3, thue_morse(4096)), (4, "x" * 3000), (5, "xy" * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for least, most in ((100, 20_000), (1100, 1)):
+        assert {r[0]: tuple(r)[1:] for r in suffix_dedup.removal_report(df, least, most_in_a_shard=most).collect()} == brute_repeats(rows, least)
+
+
 def grams(text, words):
     raw = bytes(x + 32 if 65 <= x <= 90 else x for x in (text or "").encode())
     found = [x for x in re.split(rb"[\x20\x09-\x0d]+", raw) if x]
@@ -228,8 +262,8 @@ def brute_top(rows, k, scale=64):
 
 @pytest.mark.parametrize("spread", [0.0, 2.0])
 def test_top_k_matches_brute_force(spark, monkeypatch, spread):
-    monkeypatch.setattr(top_k, "CANDIDATE_BLOCK", 150)
-    monkeypatch.setattr(top_k, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(top_k, "BLOCK_BYTES", 16 * 64)
+    monkeypatch.setattr(top_k, "LEAST_ROWS", 8)
     monkeypatch.setattr(top_k, "BUCKET", 16)
     rng = np.random.RandomState(5)
     rows = [(i, (v / np.linalg.norm(v) * np.exp(spread * rng.normal())).tolist()) for i, v in enumerate(rng.normal(size=(500, 8)))]
@@ -307,6 +341,18 @@ def test_mix_meets_hierarchical_budgets(spark, fraction, epochs):
             assert {i: c for i, c, _ in taken.get(k, [])} == {i: c for i, c in want.items() if c}
 
 
+def test_mix_keeps_clashing_columns(spark):
+    names = ["_whole", "_to", "_key", "_part", "_mix_tokens", "_cut", "id", "doc", "_pmix"]
+    _, df = mix_rows(spark, 60)
+    df = df.select("*", *[F.lit(k).alias(k) for k in names])
+    args = (F.col("dom"), F.col("lang"), F.col("source"), ({}, {}, {}))
+    kept = mixing.taken_once(df, *args, fraction=(1, 1), epochs=1)
+    assert kept.columns == df.columns and kept.filter("_mix_tokens <> '_mix_tokens' OR doc <> 'doc'").count() == 0 < kept.count()
+    long = spark.createDataFrame([(1, "a", None, "s", "w" * 3_000_000), (2, "a", None, "s", "w" * 400)], df.schema.simpleString()[7:-1].split(",_whole")[0].replace(":", " "))
+    got = {r["doc_id"]: r["_mix_copies"] for r in mixing.mix(long, *args, (1, 2), 2).collect()}
+    assert sum(c * (750_000 if d == 1 else 100) for d, c in got.items()) <= 375_050 and got.get(2, 0) <= 1
+
+
 def test_mix_of_nothing_and_joined_leaves(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 0)
     rows, df = mix_rows(spark, 60)

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import regex
 
 from lattica.llm import bpe, fingerprint, piece_count, quality
 from lattica.llm.queries import vocabulary
@@ -101,6 +102,33 @@ def test_piece_counts_of_documents(spark, ranks):
         assert (r["n_words"], r["n_pieces"], r["n_unknown"]) == (len(words), sum(greedy(w.encode(), ranks) for w in words), 0)
 
 
+def test_marked_pieces_by_brute_force():
+    rng = random.Random(14)
+    for _ in range(60):
+        first = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 4))) for _ in range(8)}
+        rest = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 4))) for _ in range(8)}
+        own = piece_count.PieceAutomaton([*(x.encode() for x in first), *(b"##" + x.encode() for x in rest)], b"##")
+        for _ in range(60):
+            word, at, n = "".join(rng.choice("ab") for _ in range(rng.randint(1, 12))), 0, 0
+            while at < len(word):
+                fit = [x for x in (rest if at else first) if word.startswith(x, at)]
+                if not fit:
+                    n = -1
+                    break
+                at, n = at + len(max(fit, key=len)), n + 1
+            assert own.count(word.encode()) == n
+
+
+def test_encoding_and_counting_odd_tables(spark):
+    df = spark.createDataFrame([(1, "a b", 1, 2, 3, 4), (1, "a b", 1, 2, 3, 4), (None, None, 1, 2, 3, 4), (2, "ab " * 200_000, 1, 2, 3, 4)], "doc_id long, text string, _text int, n_words int, n_tokens int, ids int")
+    for f in (bpe.digest_documents, piece_count.count_pieces):
+        rows = f(df, *vocabulary()).collect()
+        assert len(rows) == 4 and rows[0] == rows[1] and f(df.limit(0), *vocabulary()).count() == 0
+    assert bpe.with_ids(df.limit(0), *vocabulary()).columns == ["doc_id", "text", "_text", "n_words", "n_tokens", "ids"]
+    marked = piece_count.count_pieces(spark.createDataFrame([(1, "aab ba x")], "doc_id long, text string"), "own", r"[^ ]+", pieces=[b"a", b"##ab", b"b", b"##a"], mark=b"##").first()
+    assert tuple(marked)[1:] == (3, 5, 1)
+
+
 def test_fingerprints(spark):
     texts = ["Caf\u00e9  x", "cafe\u0301 X\n", "other", None, "", "  ", "abcdefgh", "\u6f22\u5b57\u6f22\u5b57", "abcdefgh"]
     ids = [5, 3, 9, 1, 2, 4, 20, 11, 30]
@@ -118,21 +146,71 @@ def test_fingerprints(spark):
     assert rows[1]["fingerprint"] == rows[2]["fingerprint"] == rows[4]["fingerprint"] and rows[20]["fingerprint"] == rows[30]["fingerprint"]
 
 
-def test_many_ranges_and_ties(spark, monkeypatch):
+def plain_canonical(t):
+    import unicodedata
+
+    t = unicodedata.normalize("NFC", unicodedata.normalize("NFC", t or "").casefold())
+    return regex.sub(r"[ \t\n\x0b\f\r\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " ", t).strip(" ")
+
+
+def test_canonical_form_of_random_texts(spark):
+    rng = random.Random(12)
+    pool = [*"aBcZ  \t\n\x0b\x1c", "ß", "ẞ", "Σ", "ς", "İ", "ı", "ﬁ", "e\u0301", "A\u030a", "\u0344", "\u1fb3", "\u1f80", "Ω", "Å", "\u0130", "\u0085", "\u00a0", "\u3000", "\u2028", "漢", "😀", "ǰ", "\u1e9b\u0323", "\u0345", "ͅΑ", "\u1100\u1161\u11a8", "가"]
+    pool += [chr(c) for c in rng.sample([*range(0xA1, 0x250), *range(0x370, 0x378), *range(0x388, 0x52F), *range(0x1E00, 0x1F00)], 300)]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("i", fingerprint.canonical(F.col("t")).alias("c")).collect():
+        assert r["c"] == plain_canonical(texts[r["i"]]), ascii(texts[r["i"]])
+
+
+def check_edits(got, rows):
+    """rows: (id, text); ids may repeat."""
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0], r[1].encode()))
+    want, prints = [], {}
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        c = plain_canonical(t)
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), float(c == plain_canonical(edited)), float(c == plain_canonical(after))))
+    assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in got) == sorted(want)
+    held = dict(rows)
+    for r in got:
+        prints.setdefault(r["fingerprint"], set()).add(plain_canonical(held[r["doc_id"]]))
+    if len(held) == len(rows):
+        assert all(len(c) == 1 for c in prints.values()) and len(prints) == len({plain_canonical(t) for t in held.values()})
+
+
+@pytest.mark.parametrize("cells", [4096, 3])
+def test_many_ranges_and_ties(spark, monkeypatch, cells):
     monkeypatch.setattr(fingerprint, "ROWS_PER_RANGE", 5)
-    rows = [(i // 2, f"text {i} " * 3) for i in range(300)]
-    got = fingerprint.edit_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
-    order = sorted(rows)
-    want = sorted((i, hashlib.sha256((t[: len(t) - len(t) // 4] + order[(k + 1) % len(order)][1][: len(t) // 4]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
-    assert sorted((r["doc_id"], r["edited_sha256"]) for r in got) == want
-
-
-def test_collisions_are_settled(spark):
-    df = spark.createDataFrame([("h", "a"), ("h", "a"), ("h", "b"), ("g", "c"), ("g", "c"), ("f", "d")], "hash string, canon string")
-    collided = fingerprint.collisions(df)
-    assert [r["hash"] for r in collided.collect()] == ["h"]
-    out = fingerprint.settled(df.select("hash", F.sha2("canon", 256).alias("s")), "hash", "s", collided)
-    assert out.select("hash").distinct().count() == 4
+    monkeypatch.setattr(fingerprint, "MOST_CELLS", cells)
+    monkeypatch.setattr(fingerprint, "BROADCAST_RANGES", cells)
+    rng = random.Random(3)
+    rows = [(i // 2, f"text {i} " * 3) for i in range(200)] + [(int(10 ** rng.uniform(3, 17)), "x" * rng.randint(0, 9)) for _ in range(100)]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, id int, t int, h int, next int").repartition(4)
+    check_edits(fingerprint.edit_report(df).collect(), rows)
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_collisions_are_settled(spark, monkeypatch, weak):
+    if weak:  # hashes that say nothing but the length
+        monkeypatch.setattr(fingerprint, "wide_hash", lambda c: F.lpad(F.hex(F.char_length(c).cast("long") % 4), 32, "0"))
+    texts = ["abcdefgh", "ABCDEFGH", "abcdefgx", "abcd", "x", "", None, "aaaaaaaa", "aaaa aaaa", "abcdabcd", "b" * 300_000]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_edits(fingerprint.edit_report(df).collect(), rows)
+    prints = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(df).collect()}
+    assert len(set(prints.values())) == 8 and prints[0] == prints[1] and prints[5] == prints[6]
+    assert fingerprint.edit_report(df.limit(0)).count() == 0 == fingerprint.fingerprints(df.limit(0)).count()
+
+
+def test_quality_of_odd_tables(spark):
+    names = ["_text", "_score", "doc", "score", "id", "y"]
+    docs = spark.createDataFrame([(k % 40, f"text {k} of words " * (1 + k % 5)) for k in range(80)] + [(100, None), (101, ""), (102, "long text. " * 200_000)], "doc_id long, text string").select("*", *[F.lit(k).alias(k) for k in names])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)] + [(1, 0), (5, None), (None, 1), (7, 3)], "doc_id long, quality int")
+    kept = quality.accepted(docs, labels, 0.0)
+    assert kept.columns == docs.columns and kept.count() == 83 and kept.filter("_score <> '_score' OR score <> 'score'").count() == 0
+    assert quality.quality_report(docs.limit(0), labels).count() == 0 and quality.quality_report(docs, labels.limit(0)).filter("score <> 0.5").count() == 0
 
 
 def test_quality_model_learns_and_scores(spark):

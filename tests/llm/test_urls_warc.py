@@ -1,3 +1,6 @@
+import base64
+import gzip
+import hashlib
 import random
 
 import pytest
@@ -34,6 +37,21 @@ def test_urls_match_brute_force(spark):
         assert got == {i: brute(u, r) for i, u in enumerate(urls)}
 
 
+def test_rules_in_parts_and_odd_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    labels = ["a", "b", "net", "org", "x"]
+    host = lambda: ".".join(rng.choice(labels) for _ in range(rng.randint(1, 4)))
+    rules = [(host(), rng.choice(["", "/", "/a", "/a/b"]), rng.choice(["allow", "block"])) for _ in range(200)]
+    urls = [f"http://{host()}{rng.choice(['', '/', '/a', '/a/b/c', '?/a'])}" for _ in range(500)] + ["http://" + "x." * 3000 + "net/" + "a" * 100_000]
+    df = spark.createDataFrame([(i, u, 1, 2, 3, 4) for i, u in enumerate(urls)], "page_id long, url string, path int, rule int, c0 int, _key int").repartition(3)
+    for size in (1 << 20, 100):
+        monkeypatch.setattr(url_filter, "PART_BYTES", size)
+        assert len(url_filter._parts(url_filter._prepared(rules))) > 1 or size > 100
+        got = {x["page_id"]: (x["host"], x["path"], x["verdict"]) for x in url_filter.filter_urls(df, rules).collect()}
+        want = {i: brute(u, dict.fromkeys(rules)) for i, u in enumerate(urls)}
+        assert got == {i: (h, p, v) for i, (h, p, _, v) in want.items()}
+
+
 def test_hosts_with_commas_and_rules_with_slashes(spark):
     urls = ["http://a.net,b/", "http://net,example/en/", "http://x.net,/", "http://a,b.net/", "http://b.a/"]
     rules = [*RULES, ("b.net,x", "/", "block"), ("a/b", "/", "block")]
@@ -56,24 +74,53 @@ def test_bad_verdict():
         url_filter._prepared([("a", "/", "maybe")])
 
 
-def test_archives_round_trip(spark):
-    import base64
-    import hashlib
+def sha(html):
+    return base64.b32encode(hashlib.sha1((html or "").encode()).digest()).decode()
+
 
-    pages = [(1, "http://a/", "x"), (2, "http://b/\r\nX: 1", "x"), (3, None, None), (4, "u", "WARC/1.1\r\n\r\n\r\n\r\nContent-Length: 3\r\n"), (5, "u", "é" * 9000), (6, "v", ""), (7, "w", "x"), (7, "w", "x"), (None, "n", "null id")]
-    df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, n string")
-    for least in (0, 1, 2):
+def test_archives_round_trip(spark, monkeypatch):
+    monkeypatch.setattr(warc, "REPEATS", 2)
+    pages = [(1, "http://a/", "x"), (2, "http://b/\r\nX: 1", "x"), (3, None, None), (4, "u", "WARC/1.1\r\n\r\n\r\n\r\nContent-Length: 3\r\n"), (5, "u", "é" * 9000), (6, "v", ""), (None, "n", "null id")]
+    pages += [(7, "w", "x")] * 5 + [(7, "other", "x"), (8, None, None), (8, None, None), (9, "z", "unlike"), (9, "z", "texts of one id")]
+    df = spark.createDataFrame([(*p, "clash", 1, 2) for p in pages], "page_id long, url string, html string, n string, digest int, winner int").repartition(3)
+    for least, size in ((0, 8 << 20), (1, 200), (2, 8 << 20)):
+        monkeypatch.setattr(warc, "FILE_BYTES", size)
         path = scratch(spark, "warc")
         warc.write(warc.captures(df, min_payload=least), path)
-        rows = {r["page_id"]: r for r in warc.page_report(spark, path).collect()}
-        assert len(rows) == 8
+        got = sorted(tuple(map(str, r)) for r in warc.page_report(spark, path).collect())
+        want = []
         for i, _, html in pages:
             raw = (html or "").encode()
             same = [j for j, _, h in pages if (h or "").encode() == raw and j is not None] if len(raw) >= least else [i]
             last = max(same, default=None)
-            r = rows[i]
-            assert (r["payload_bytes"], r["payload_digest"]) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
-            assert (r["record_type"], r["refers_to"]) == (("response", None) if i == last or i is None else ("revisit", last))
+            want.append((i, len(raw), sha(html), *(("response", None) if i == last or i is None else ("revisit", last))))
+        assert got == sorted(tuple(map(str, r)) for r in want)
+        records = warc.read(spark, path)
+        assert records.count() == records.select("record_id").distinct().count() == 3 * len(pages)
+
+
+def test_reports_measure_the_payload_read(spark, tmp_path):
+    path = str(tmp_path / "warc")
+    warc.write(warc.captures(spark.createDataFrame([(1, "u", "some body"), (2, "v", "some body")], "page_id long, url string, html string")).coalesce(1), path)
+    (file,) = tmp_path.glob("warc/*.txt")
+    raw = gzip.decompress(file.read_bytes())  # an archive of members is one gzip file to any reader
+    assert file.read_bytes().count(gzip.compress(b"", mtime=0)) == 1 and raw.count(b"WARC/1.1\r\n") == 6
+    (tmp_path / "damaged").mkdir()
+    (tmp_path / "damaged/whole.warc.gz").write_bytes(gzip.compress(raw.replace(b"some body", b"SOME body")))
+    rows = sorted(tuple(r) for r in warc.page_report(spark, str(tmp_path / "damaged")).collect())
+    assert rows == [(1, 9, sha("SOME body"), "revisit", 2), (2, 9, sha("SOME body"), "response", None)]
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut/a.warc").write_bytes(raw[:-30])
+    with pytest.raises(Exception, match="broken"):
+        warc.page_report(spark, str(tmp_path / "cut")).count()
+
+
+def test_long_records_in_pieces(monkeypatch):
+    monkeypatch.setattr(warc, "PIECE", 64)
+    blocks = [bytes([65 + k]) * n for k, n in enumerate((0, 1, 63, 5000, 64))]
+    raw = b"".join(b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(x), x) for x in blocks)
+    cut = [b"".join(gzip.compress(raw[i : i + 100]) for i in range(0, len(raw), 100)), gzip.compress(raw), raw]
+    assert all([b for _, b in warc.parse(x)] == blocks for x in cut)
 
 
 def test_assembled_captures_hold_payloads(spark):
@@ -81,7 +128,7 @@ def test_assembled_captures_hold_payloads(spark):
     path = scratch(spark, "warc")
     warc.write(warc.captures(df), path)
     rows = {r["metadata"]["fields"]["page-id"]: r for r in warc.assemble(warc.read(spark, path)).collect()}
-    assert bytes(rows["2"]["response"]["payload"]) == b"body\r\n\r\nend" and rows["1"]["response"]["payload"] is None
+    assert rows["2"]["response"]["payload_bytes"] == 11 and bytes(rows["2"]["response"]["payload"]) == b"body\r\n\r\nend" and rows["1"]["response"]["payload"] is None
     assert rows["1"]["response"]["refers_to"] == rows["2"]["capture_id"] and rows["1"]["request"]["record_id"]
 
 

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
+from lattica.llm.util import quoted
+
 #: Distinct pieces whose ids a task keeps; then it starts anew, so memory is bounded.
 KEPT_PIECES = 500_000
 #: Pairs of tokens whose verdict a task keeps.
@@ -189,7 +191,7 @@ def encoder(bpe: PrefixBPE, vocabulary: str, pattern: str) -> TextEncoder:
 def with_ids(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
     """The input's columns, then n_tokens long and ids binary (little-endian unsigned 32-bit integers), which replace columns of those names."""
     bpe = df.sparkSession.sparkContext.broadcast(PrefixBPE(read_ranks(vocabulary)))
-    df = df.drop("n_tokens", "ids")
+    df = df.select(*[F.col(quoted(c)) for c in df.columns if c not in ("n_tokens", "ids")])
     out = StructType([*df.schema.fields, StructField("n_tokens", LongType()), StructField("ids", BinaryType())])
     at = df.columns.index(text_col)
 
@@ -201,7 +203,7 @@ def with_ids(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
                 ids = [encode(t.as_py() or "") for t in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=out.names)
 
-    return df.mapInArrow(run, out)
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(run, out)  # by place: names of the input may be any
 
 
 def digest_documents(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

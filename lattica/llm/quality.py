@@ -68,8 +68,9 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     cut = np.flatnonzero((kind == NEWLINE) | last)
     line_start = np.r_[0, cut[:-1] + 1][: len(cut)]
     line_start = np.maximum(line_start, off[:-1][doc[cut]]) if len(cut) else line_start
-    line_hash, line_doc = hashes(line_start, cut + (kind[cut] != NEWLINE)), doc[cut]
-    filled = cut - line_start > 1
+    line_end = cut + (kind[cut] != NEWLINE)
+    line_hash, line_doc = hashes(line_start, line_end), doc[cut]
+    filled = line_end - line_start > 1
     line_hash, line_doc = line_hash[filled], line_doc[filled]
     lines = np.bincount(line_doc, minlength=n).astype(np.float64)
     o = np.lexsort((line_hash, line_doc))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -75,11 +76,12 @@ def plain_features(text):
     """The features of one text, by loops."""
     raw = (text or "").encode()
     kinds = [int(quality._CLASS[c]) for c in raw]
-    n = lambda *k: sum(x in k for x in kinds)
+    of_kind = Counter(kinds)
+    n = lambda *k: sum(of_kind[x] for x in k)
     words = regex.findall(rb"[^ \t\r\x0b\x0c\n]+", raw)
     lines = [x for x in raw.split(b"\n") if len(x) > 1]
     # a line counts by its text; the newline itself isn't part of it
-    held = {w: words.count(w) for w in words}
+    held = Counter(words)
     per = lambda a, b: a / max(b, 1)
     Q = quality
     size, letters = len(raw), n(Q.LOWER, Q.UPPER)

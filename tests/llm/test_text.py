@@ -200,7 +200,7 @@ def test_collisions_are_settled(spark, monkeypatch, weak):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     check_edits(fingerprint.edit_report(df).collect(), rows)
     prints = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(df).collect()}
-    assert len(set(prints.values())) == 8 and prints[0] == prints[1] and prints[5] == prints[6]
+    assert len(set(prints.values())) == 9 and prints[0] == prints[1] and prints[5] == prints[6]
     assert fingerprint.edit_report(df.limit(0)).count() == 0 == fingerprint.fingerprints(df.limit(0)).count()
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lattica.functions.ranks import quantile_bucket
+
 D = "double"
 
 
@@ -76,22 +78,29 @@ def class_scores(df: DataFrame, by: list[str]) -> DataFrame:
     return long.groupBy(*by, "cls", "score").agg(F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg"))
 
 
-def auc_by_class(df: DataFrame, by: list[str], buckets: int = 1024) -> DataFrame:
-    """(by, cls, auc, pos, neg) by rank sums with mid-ranks for ties.
+def counted_below(s: DataFrame, keys: list[str], score: str, *counts: str) -> DataFrame:
+    """s, a row for each score within ``keys``, with ``<count>_below`` and ``<count>_all``: sums over lower scores, and over all, of the same keys.
+
+    A sum is that of lower buckets (cut at quantiles, summed over one row a bucket) plus that of lower scores of the own bucket, so no family is sorted in one task."""
+    s = s.withColumn("_b", quantile_bucket(s, score))
+    family = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))  # rows here are buckets
+    below = s.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_n_{c}") for c in counts])
+    below = below.select(
+        *[F.col(c).alias(f"_k_{c}") for c in [*keys, "_b"]],
+        *[(F.sum(f"_n_{c}").over(family.orderBy("_b")) - F.col(f"_n_{c}")).alias(f"_w_{c}") for c in counts], *[F.sum(f"_n_{c}").over(family).alias(f"{c}_all") for c in counts],
+    )
+    inner = W.partitionBy(*keys, "_b").orderBy(score).rowsBetween(W.unboundedPreceding, -1)
+    s = s.select("*", *[F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(f"_i_{c}") for c in counts])
+    s = s.join(below, [s[c].eqNullSafe(below[f"_k_{c}"]) for c in [*keys, "_b"]])
+    s = s.select("*", *[(F.col(f"_w_{c}") + F.col(f"_i_{c}")).alias(f"{c}_below") for c in counts])
+    return s.drop("_b", *[f"_k_{c}" for c in [*keys, "_b"]], *[f"_{k}_{c}" for c in counts for k in "wi"])
+
 
-    Equal scores are counted first; negatives below a score are those of lower buckets (equal widths, summed over one row a bucket) plus those below it in its
-    own bucket, so no class is sorted in one task. auc is null for a class without positives or without negatives."""
-    s = class_scores(df, by)
-    lo, hi = s.agg(F.min("score"), F.max("score")).first()
-    width = ((hi - lo) / buckets if hi is not None and hi > lo else 1.0) or 1.0
+def auc_by_class(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by, cls, auc, pos, neg) by rank sums with mid-ranks for ties; equal scores are counted first. auc is null for a class without positives or without negatives."""
     keys = [*by, "cls"]
-    s = s.withColumn("_b", F.floor((F.col("score") - F.lit(lo or 0.0)) / F.lit(width)))
-    below = s.groupBy(*keys, "_b").agg(F.sum("neg").alias("_n"))
-    below = below.withColumn("_below", F.sum("_n").over(W.partitionBy(*keys).orderBy("_b")) - F.col("_n")).drop("_n")
-    below = below.select(*[F.col(c).alias(f"_{c}") for c in [*keys, "_b"]], "_below")
-    inner = F.coalesce(F.sum("neg").over(W.partitionBy(*keys, "_b").orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    s = s.withColumn("_inner", inner).join(below, [s[c].eqNullSafe(below[f"_{c}"]) for c in [*keys, "_b"]])
-    wins = F.col("pos") * (F.col("_below") + F.col("_inner") + F.col("neg") / 2.0)
+    s = counted_below(class_scores(df, by), keys, "score", "neg")
+    wins = F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)
     g = s.groupBy(*keys).agg(F.sum(wins).alias("wins"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return g.select(*keys, (F.col("wins") / F.nullif(F.col("pos").cast(D) * F.col("neg").cast(D), F.lit(0.0))).alias("auc"), "pos", "neg")
 

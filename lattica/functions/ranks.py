@@ -13,6 +13,20 @@ from pyspark.sql import functions as F
 BUCKETS = 1024
 
 
+def quantile_bucket(df: DataFrame, column: str, buckets: int = BUCKETS) -> Column:
+    """An expression that numbers a number's bucket, in order: about as many rows in each, whatever the distribution; rows with equal numbers share one. A bounded number of borders goes to the driver."""
+    bounds = df.agg(F.percentile_approx(F.col(column).cast("double"), [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0]
+    bounds = sorted(set(bounds or []))
+    step = max(1, int(len(bounds) ** 0.5))
+    x = F.col(column).cast("double")
+    upto = lambda held: F.array_size(F.filter(held, lambda b: b <= x))
+    array = lambda held: F.array(*[F.lit(b) for b in held])
+    if not bounds:
+        return F.lit(0)
+    coarse = upto(array(bounds[step - 1 :: step]))
+    return coarse * step + upto(F.slice(array(bounds), coarse * step + 1, step))
+
+
 def seeded(seed: int, *ids: str) -> Column:
     """A reproducible order key: the MD5 of ``seed:id[:id...]``."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in ids]))
@@ -38,11 +52,8 @@ def hash_rank(df: DataFrame, key: str, name: str, by: list[str] = (), total: str
 
 
 def value_rank(df: DataFrame, column: str, name: str, by: list[str] = (), ties: list[str] = (), total: str | None = None, ascending: bool = True) -> DataFrame:
-    """1-based rank by a number within ``by``; ``ties`` decide between equal numbers. Buckets are BUCKETS equal widths between least and most."""
-    lo, hi = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
-    width = ((hi - lo) / BUCKETS if hi is not None and hi > lo else 1.0) or 1.0
-    bucket = F.floor((F.col(column).cast("double") - F.lit(lo or 0.0)) / F.lit(width))
-    key = F.col(column)
+    """1-based rank by a number within ``by``; ``ties`` decide between equal numbers. Buckets are cut at quantiles."""
+    bucket, key = quantile_bucket(df, column), F.col(column)
     if not ascending:
         bucket, key = -bucket, key.desc()
     return _with_rank(df, list(by), bucket, [key, *ties], name, total)

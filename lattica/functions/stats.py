@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from lattica.functions.metrics import counted_below
+
 #: Pairs up to which all sign patterns are counted.
 EXACT_PAIRS = 20
 
@@ -115,13 +117,20 @@ def paired_t(pairs: DataFrame, by: list[str] = ()) -> DataFrame:
     return e.withColumn("p_value", t_tail_udf("t_stat", (F.col("n") - 1).cast("double")))
 
 
+#: Pairs up to which all sign patterns are counted for Wilcoxon's test, by sums of ranks.
+EXACT_RANKS = 50
+
+
 def signed_ranks(pairs: DataFrame, by: list[str] = ()) -> DataFrame:
-    """(n, w_plus, w_minus, ranks) over pairs that differ; equal distances share their mean rank."""
+    """(n, w_plus, w_minus, ranks) over pairs that differ; equal distances share their mean rank. ranks is null beyond EXACT_RANKS pairs."""
+    family = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))  # a row for each distance
     d = pairs.withColumn("_d", F.col("v2") - F.col("v1")).filter("_d <> 0").withColumn("_a", F.abs("_d"))
     c = d.groupBy(*by, "_a").agg(F.count("*").alias("_k"), F.count(F.when(F.col("_d") > 0, 1)).alias("_p"))
-    before = F.sum("_k").over((W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("_a")) - F.col("_k")
-    c = c.withColumn("_r", before + (F.col("_k") + 1) / 2.0)
-    return c.groupBy(*by).agg(F.sum("_k").alias("n"), F.sum(F.col("_r") * F.col("_p")).alias("w_plus"), F.sum(F.col("_r") * (F.col("_k") - F.col("_p"))).alias("w_minus"), F.flatten(F.collect_list(F.array_repeat("_r", F.col("_k").cast("int")))).alias("ranks"))
+    before = F.sum("_k").over(family.orderBy("_a")) - F.col("_k")
+    c = c.withColumn("_r", before + (F.col("_k") + 1) / 2.0).withColumn("_n", F.sum("_k").over(family))
+    few = F.when(F.col("_n") <= EXACT_RANKS, F.array_repeat("_r", F.col("_k").cast("int")))
+    g = c.groupBy(*by).agg(F.sum("_k").alias("n"), F.sum(F.col("_r") * F.col("_p")).alias("w_plus"), F.sum(F.col("_r") * (F.col("_k") - F.col("_p"))).alias("w_minus"), F.flatten(F.collect_list(few)).alias("ranks"))
+    return g.withColumn("ranks", F.when(F.col("n") <= EXACT_RANKS, F.col("ranks")))
 
 
 def wilcoxon(pairs: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -129,7 +138,7 @@ def wilcoxon(pairs: DataFrame, by: list[str] = ()) -> DataFrame:
     r = signed_ranks(pairs, by).withColumn("statistic", F.least("w_plus", "w_minus"))
     n = F.col("n").cast("double")
     z = (F.col("statistic") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
-    return r.withColumn("p_value", F.when(F.col("n") <= 50, wilcoxon_tail_udf(F.when(F.col("n") <= 50, F.col("ranks")).otherwise(F.array().cast("array<double>")), "statistic")).otherwise(normal_tail_udf(z))).drop("ranks")
+    return r.withColumn("p_value", F.when(F.col("n") <= EXACT_RANKS, wilcoxon_tail_udf(F.coalesce("ranks", F.array().cast("array<double>")), "statistic")).otherwise(normal_tail_udf(z))).drop("ranks")
 
 
 def permutation_exact(pairs: DataFrame, key: str, by: list[str] = ()) -> DataFrame:
@@ -150,17 +159,31 @@ def permutation_exact(pairs: DataFrame, key: str, by: list[str] = ()) -> DataFra
 
 
 def permutation(pairs: DataFrame, key: str, by: list[str] = (), n_perm: int = 10_000, seed: int = 42) -> DataFrame:
-    """Monte Carlo with hashed signs: (k + 1) / (n_perm + 1). Each pair's signs come from (seed, permutation, key); sums combine before the shuffle."""
+    """Monte Carlo with hashed signs: (k + 1) / (n_perm + 1). Each pair's signs come from the MD5 of seed:permutation:key; sums combine before the shuffle."""
     d = pairs.select(*by, F.col(key).cast("string").alias("_k"), (F.col("v2") - F.col("v1")).alias("_d"))
     obs = d.groupBy(*by).agg(F.abs(F.sum("_d")).alias("_o"), F.count("*").alias("n"))
     m = d.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-    sign = F.when(F.pmod(F.xxhash64(F.lit(seed), "_p", "_k"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    digit = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_p").cast("string"), "_k")), 1, 1), 16, 10).cast("int")
+    sign = F.when(digit % 2 == 0, 1.0).otherwise(-1.0)
     s = m.groupBy(*by, "_p").agg(F.abs(F.sum(sign * F.col("_d"))).alias("_s"))
     s = s.join(obs, by) if by else s.crossJoin(obs)
     g = s.groupBy(*by).agg(F.max("n").alias("n"), F.count(F.when(F.col("_s") >= F.col("_o") - 1e-12, 1)).alias("_k"))
     return g.withColumn("p_value", (F.col("_k") + 1.0) / (n_perm + 1)).drop("_k")
 
 
+def paired_permutation(pairs: DataFrame, key: str, by: list[str] = (), n_perm: int = 10_000, seed: int = 42) -> DataFrame:
+    """(n, observed, p_value) for families of any size: all sign patterns up to EXACT_PAIRS pairs, ``n_perm`` hashed ones beyond."""
+    g = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col("v2") - F.col("v1")).alias("observed"))
+    named = lambda df: df.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("p_value"))
+    of = lambda p: [g[c].eqNullSafe(p[f"_k_{c}"]) for c in by] if by else F.lit(True)  # noqa: E731  without families one row meets one row
+    many = g.filter(F.col("n") > EXACT_PAIRS).select(*[F.col(c).alias(f"_m_{c}") for c in by], F.lit(True).alias("_many"))
+    large = pairs.join(many, [pairs[c].eqNullSafe(many[f"_m_{c}"]) for c in by] if by else F.lit(True)).select(*pairs.columns)
+    exact, drawn = named(permutation_exact(pairs, key, by)), named(permutation(large, key, by, n_perm, seed)).withColumnRenamed("p_value", "_p")
+    g = g.join(exact, of(exact), "left").drop(*[f"_k_{c}" for c in by])
+    g = g.join(drawn, of(drawn), "left").drop(*[f"_k_{c}" for c in by])
+    return g.select(*by, "n", "observed", F.coalesce("p_value", "_p").alias("p_value"))
+
+
 def hashed_index(seed: int, replicate: Column, place: Column, n: Column) -> Column:
     """A reproducible draw from 0..n-1: the first seven hex digits of MD5 of seed:replicate:place."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), place.cast("string"))), 1, 7), 16, 10).cast("long") % n
@@ -176,8 +199,45 @@ def bootstrap_ci(pairs: DataFrame, key: str, by: list[str] = (), replicates: int
     return means.groupBy(*by).agg(F.max("_n").alias("n"), F.percentile("_m", lo).alias("ci_low"), F.percentile("_m", 1 - lo).alias("ci_high"))
 
 
-def compare(a: DataFrame, b: DataFrame, key: str, metrics: list[str], test: str = "permutation", round_to: int = 6) -> DataFrame:
-    """One row per metric: both means and deviations, delta, statistic, p, effect size, interval. Metrics with fewer than two pairs have an error instead."""
+#: The chances that a Poisson number of mean 1 is at most 0, 1, 2, ...
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402)
+BOOTSTRAP_METRICS = ("roc_auc", "average_precision", "accuracy", "precision", "recall", "f1")
+
+
+def bootstrap_metric(df: DataFrame, score: str, label: str, key: str, metric: str = "roc_auc", by: list[str] = (), replicates: int = 1000, seed: int = 0, level: float = 0.95, threshold: float = 0.5) -> DataFrame:
+    """(original_score, ci_low, ci_high) of a metric of scores against a 0/1 label, by family.
+
+    A row counts a Poisson number of times in a replicate, drawn by the MD5 of seed:replicate:key, so rows need no numbers and no join; sums combine before the shuffle.
+    Threshold metrics take one pass; ranking metrics count by distinct score. Replicates without a value (one class only) don't count."""
+    if metric not in BOOTSTRAP_METRICS:
+        raise ValueError(f"no metric {metric!r}")
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_rep").cast("string"), F.col("_key"))), 1, 7), 16, 10).cast("long") / float(16**7)
+    drawn = F.array_size(F.filter(F.array(*[F.lit(p) for p in POISSON]), lambda p: p <= u))
+    rows = df.filter(F.col(label).isin(0, 1) & F.col(score).isNotNull()).select(*by, F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("_y"), F.col(key).cast("string").alias("_key"))
+    rows = rows.withColumn("_rep", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1)))).withColumn("_w", F.when(F.col("_rep") < 0, 1).otherwise(drawn)).filter("_w > 0")
+    keys = [*by, "_rep"]
+    if metric in ("roc_auc", "average_precision"):
+        s = rows.groupBy(*keys, "score").agg(F.sum(F.col("_w") * F.col("_y")).alias("pos"), F.sum(F.col("_w") * (1 - F.col("_y"))).alias("neg"))
+        s = counted_below(s, keys, "score", "pos", "neg")
+        if metric == "roc_auc":
+            value = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)) / F.nullif((F.max("pos_all") * F.max("neg_all")).cast("double"), F.lit(0.0))
+        else:
+            hits, shown = F.col("pos_all") - F.col("pos_below"), F.col("pos_all") - F.col("pos_below") + F.col("neg_all") - F.col("neg_below")
+            value = F.sum(F.col("pos") * hits / shown) / F.nullif(F.max("pos_all").cast("double"), F.lit(0.0))
+        m = s.groupBy(*keys).agg(value.alias("v"))
+    else:
+        said = F.when(F.col("score") >= threshold, 1).otherwise(0)
+        g = rows.groupBy(*keys).agg(F.sum(F.col("_w") * said * F.col("_y")).alias("tp"), F.sum(F.col("_w") * said).alias("p"), F.sum(F.col("_w") * F.col("_y")).alias("t"), F.sum("_w").alias("n"))
+        tp, p, t, n = (F.col(c).cast("double") for c in ("tp", "p", "t", "n"))
+        over = lambda a, b: a / F.nullif(b, F.lit(0.0))
+        value = {"accuracy": over(n - p - t + 2 * tp, n), "precision": over(tp, p), "recall": over(tp, t), "f1": over(2 * tp, p + t)}[metric]
+        m = g.select(*keys, value.alias("v"))
+    lo, drawn = (1 - level) / 2, F.when(F.col("_rep") >= 0, F.col("v"))
+    return m.groupBy(*by).agg(F.max(F.when(F.col("_rep") < 0, F.col("v"))).alias("original_score"), F.percentile(drawn, lo).alias("ci_low"), F.percentile(drawn, 1 - lo).alias("ci_high"))
+
+
+def compare(a: DataFrame, b: DataFrame, key: str, metrics: list[str], test: str = "permutation", round_to: int = 6, n_perm: int = 10_000, replicates: int = 2000, names: tuple[str, str] = ("Pipeline_A", "Pipeline_B")) -> DataFrame:
+    """One row per metric: both means and deviations, delta, statistic, p, effect size, interval. Metrics with fewer than two pairs have an error instead of a p."""
     long = lambda df: df.select(key, F.expr("stack({}, {}) as (metric, value)".format(len(metrics), ", ".join(f"'{m}', cast({m} as double)" for m in metrics)))).filter("value IS NOT NULL").groupBy(key, "metric").agg(F.max("value").alias("value"))
     pairs = long(a).withColumnRenamed("value", "v1").join(long(b).withColumnRenamed("value", "v2"), [key, "metric"])
     by = ["metric"]
@@ -187,35 +247,33 @@ def compare(a: DataFrame, b: DataFrame, key: str, metrics: list[str], test: str
     elif test == "wilcoxon":
         p = wilcoxon(pairs, by).select("metric", "statistic", "p_value")
     else:
-        p = permutation_exact(pairs, key, by).select("metric", F.col("observed").alias("statistic"), "p_value")
-    out = out.join(p, by, "left").join(bootstrap_ci(pairs, key, by).drop("n"), by, "left")
-    names = pairs.sparkSession.createDataFrame([(m,) for m in metrics], "metric string")
-    out = names.join(out, "metric", "left").withColumn("error", F.when(F.coalesce("n", F.lit(0)) < 2, "fewer than two pairs"))
+        p = paired_permutation(pairs, key, by, n_perm).select("metric", F.col("observed").alias("statistic"), "p_value")
+    out = out.join(p, by, "left").join(bootstrap_ci(pairs, key, by, replicates).drop("n"), by, "left")
+    asked = pairs.sparkSession.createDataFrame([(m,) for m in metrics], "metric string")
+    few = F.coalesce("n", F.lit(0)) < 2
+    out = asked.join(out, "metric", "left").withColumn("error", F.when(few, "fewer than two pairs")).withColumn("p_value", F.when(~few, F.col("p_value"))).withColumn("statistic", F.when(~few, F.col("statistic")))
     cols = [F.round(c, round_to).alias(c) for c in ("mean_1", "mean_2", "std_1", "std_2", "mean_delta", "std_delta", "statistic", "p_value", "cohens_d", "ci_low", "ci_high")]
-    return out.select("metric", F.lit(test).alias("test_used"), F.coalesce("n", F.lit(0)).alias("n_subjects"), *cols, (F.col("p_value") < 0.05).alias("significant"), "error")
+    return out.select("metric", F.lit(names[0]).alias("name_1"), F.lit(names[1]).alias("name_2"), F.lit(test).alias("test_used"), F.coalesce("n", F.lit(0)).alias("n_subjects"), *cols, F.coalesce(F.col("p_value") < 0.05, F.lit(False)).alias("significant"), "error")
 
 
 def delong(df: DataFrame, by: list[str], score_1: str, score_2: str, label: str) -> DataFrame:
-    """(auc_1, auc_2, z, p_value) for two scores of the same rows against a 0/1 label, by structural components from mid-ranks.
-
-    Ranks are within a family (``by``); its rows are sorted once for each score."""
-    fam = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-
-    def mid(col, part):
-        w = part.orderBy(col)
-        ties = F.count(F.lit(1)).over(W.partitionBy(*by, *([label] if part is not fam else []), col))
-        return F.rank().over(w) + (ties - 1) / 2.0
-
-    own = W.partitionBy(*by, label)
-    r = df.filter(F.col(label).isin(0, 1)).withColumn("_m", F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).over(fam)).withColumn("_k", F.count(F.lit(1)).over(fam)).withColumn("_n", F.col("_k") - F.col("_m"))
-    for s, name in ((score_1, "_v1"), (score_2, "_v2")):
-        r = r.withColumn(name, F.when(F.col(label) == 1, (mid(s, fam) - mid(s, own)) / F.col("_n")).otherwise(1.0 - (mid(s, fam) - mid(s, own)) / F.col("_m")))
-    pos, neg = F.col(label) == 1, F.col(label) == 0
-    g = r.groupBy(*by).agg(
-        F.max("_m").alias("m"), F.max("_n").alias("n"), F.avg(F.when(pos, F.col("_v1"))).alias("auc_1"), F.avg(F.when(pos, F.col("_v2"))).alias("auc_2"),
-        F.var_samp(F.when(pos, F.col("_v1") - F.col("_v2"))).alias("_p"), F.var_samp(F.when(neg, F.col("_v1") - F.col("_v2"))).alias("_q"),
+    """(auc_1, auc_2, z, p_value) for two scores of the same rows against a 0/1 label, by structural components.
+
+    A positive's component is the share of negatives below its score, a negative's that of positives above, ties by half; counted by distinct score, so no family is sorted in one task."""
+    rows = df.filter(F.col(label).isin(0, 1)).select(*by, F.col(label).alias("_y"), F.col(score_1).alias("_s1"), F.col(score_2).alias("_s2"))
+    for k in (1, 2):
+        s = rows.groupBy(*by, F.col(f"_s{k}").alias("score")).agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))
+        s = counted_below(s, by, "score", "pos", "neg")
+        of_pos = (F.col("neg_below") + F.col("neg") / 2.0) / F.nullif("neg_all", F.lit(0))
+        of_neg = 1.0 - (F.col("pos_below") + F.col("pos") / 2.0) / F.nullif("pos_all", F.lit(0))
+        s = s.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("score").alias("_score"), of_pos.alias(f"_p{k}"), of_neg.alias(f"_n{k}"))
+        rows = rows.join(s, [*[rows[c].eqNullSafe(s[f"_k_{c}"]) for c in by], rows[f"_s{k}"].eqNullSafe(s["_score"])]).drop("_score", *[f"_k_{c}" for c in by])
+    pos, neg = F.col("_y") == 1, F.col("_y") == 0
+    g = rows.groupBy(*by).agg(
+        F.sum("_y").cast("long").alias("m"), F.sum(1 - F.col("_y")).cast("long").alias("n"), F.avg(F.when(pos, F.col("_p1"))).alias("auc_1"), F.avg(F.when(pos, F.col("_p2"))).alias("auc_2"),
+        F.var_samp(F.when(pos, F.col("_p1") - F.col("_p2"))).alias("_p"), F.var_samp(F.when(neg, F.col("_n1") - F.col("_n2"))).alias("_q"),
     )
-    z = (F.col("auc_1") - F.col("auc_2")) / F.nullif(F.sqrt(F.col("_p") / F.col("m") + F.col("_q") / F.col("n")), F.lit(0.0))
+    z = (F.col("auc_1") - F.col("auc_2")) / F.nullif(F.sqrt(F.col("_p") / F.nullif("m", F.lit(0)) + F.col("_q") / F.nullif("n", F.lit(0))), F.lit(0.0))
     return g.withColumn("z", z).withColumn("p_value", F.coalesce(normal_tail_udf("z"), F.lit(1.0))).drop("_p", "_q")
 
 

@@ -8,12 +8,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from lattica.functions import linalg
 from lattica.functions.metrics import argmax
@@ -121,7 +122,8 @@ class MlModel:
 
         rows = df.filter(F.col(label).isNotNull()).withColumn("_x", array_to_vector(column)).withColumn("_y", F.col(label).cast("double"))
         if kind == "logistic":
-            c = kw.pop("C", 1.0)
+            grid = kw.pop("C_grid", None)
+            c = kw.pop("C", 1.0) if grid is None else best_c(df, grid, label=label, column=column, **kw)
             est = C.LogisticRegression(featuresCol="_x", labelCol="_y", family="multinomial", regParam=1 / (c * max(1, rows.count())), **kw)
         elif kind == "random_forest":
             est = C.RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=kw.pop("trees", 200), maxDepth=kw.pop("depth", 10), minInstancesPerNode=kw.pop("leaf", 5), seed=kw.pop("seed", 42), **kw)
@@ -129,6 +131,8 @@ class MlModel:
             k = int(rows.agg(F.max("_y")).first()[0]) + 1
             n = rows.select(F.size(column)).first()[0]
             est = C.MultilayerPerceptronClassifier(featuresCol="_x", labelCol="_y", layers=[n, *kw.pop("hidden", [256, 64]), k], seed=kw.pop("seed", 42), **kw)
+        elif kind == "svm_rbf":  # support vectors under a Gaussian kernel, by random Fourier features of it
+            return RbfSvm.fit(df, label, column, **kw)
         elif kind == "svm":
             est = C.OneVsRest(classifier=C.LinearSVC(maxIter=50, **kw), featuresCol="_x", labelCol="_y")
         else:
@@ -149,6 +153,60 @@ class MlModel:
         self.model.write().overwrite().save(path)
 
 
+@dataclass
+class RbfSvm:
+    """Linear support vectors over random Fourier features, whose products approach the Gaussian kernel exp(-gamma |a - b|**2)."""
+
+    waves: np.ndarray
+    shift: np.ndarray
+    model: MlModel
+
+    @staticmethod
+    def _mapped(df: DataFrame, waves, shift, column: str) -> DataFrame:
+        rest = [f for f in df.schema.fields if f.name != column]
+        at, kept = df.columns.index(column), [i for i, c in enumerate(df.columns) if c != column]
+
+        def run(batches):
+            for b in batches:
+                x = np.array(b.column(at).to_pylist(), np.float64).reshape(b.num_rows, -1)
+                z = np.sqrt(2.0 / len(shift)) * np.cos(x @ waves + shift) if b.num_rows else np.zeros((0, len(shift)))
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), b.column(at), pa.array(z.tolist(), pa.list_(pa.float64()))], names=[*(f.name for f in rest), column, "_rff"])
+
+        return df.mapInArrow(run, StructType([*rest, df.schema[column], StructField("_rff", ArrayType(DoubleType()))]))
+
+    @staticmethod
+    def fit(df: DataFrame, label: str = "label", column: str = "features", gamma: float | None = None, n: int = 256, seed: int = 42, **kw) -> RbfSvm:
+        """gamma: 1 / (length of a vector times the variance of all its values) if not given."""
+        rows = df.filter(F.col(label).isNotNull())
+        size = rows.select(F.size(column)).first()[0]
+        variance = rows.select(F.explode(column).alias("v")).agg(F.var_pop("v")).first()[0]
+        gamma = gamma or 1.0 / (size * (variance or 1.0))
+        rng = np.random.RandomState(seed)
+        waves, shift = rng.normal(size=(size, n)) * np.sqrt(2 * gamma), rng.uniform(0, 2 * np.pi, n)
+        return RbfSvm(waves, shift, MlModel.fit(RbfSvm._mapped(rows, waves, shift, column), "svm", label, "_rff", **kw))
+
+    def transform(self, df: DataFrame, column: str = "features") -> DataFrame:
+        return self.model.transform(RbfSvm._mapped(df, self.waves, self.shift, column), "_rff").drop("_rff")
+
+
+def best_c(df: DataFrame, grid: list[float] = (0.01, 0.1, 1.0, 10.0), k: int = 5, seed: int = 42, id_col: str = "trial_id", label: str = "label", column: str = "features", **kw) -> float:
+    """The C of the best mean accuracy over stratified folds of these rows only (those of the sources); the first of equals. Folds: k, but no more than classes or half the rows, two at least."""
+    from lattica.operators.splits import stratified_kfold
+
+    rows = df.filter(F.col(label).isNotNull())
+    n, classes = rows.agg(F.count("*"), F.count_distinct(label)).first()
+    k = max(2, min(k, n // 2, classes))
+    folded, best = stratified_kfold(rows, id_col, label, k, seed), (-1.0, None)
+    for c in grid:
+        scores = []
+        for fold in range(k):
+            train, test = folded.filter(F.col("fold") != fold).drop("fold"), folded.filter(F.col("fold") == fold).drop("fold")
+            p = MlModel.fit(train, "logistic", label, column, C=c, **kw).transform(test, column)
+            scores.append(p.agg(F.avg(F.when(F.col("y_pred") == F.col(label), 1.0).otherwise(0.0))).first()[0] or 0.0)
+        best = max(best, (float(np.mean(scores)), c), key=lambda s: s[0])
+    return best[1]
+
+
 def platt(df: DataFrame, label: str = "label") -> DataFrame:
     """Per class a sigmoid of the class's probability fitted on the labelled rows, renormalised."""
     from pyspark.ml.classification import LogisticRegression
@@ -171,10 +229,12 @@ def ensemble(df: DataFrame, by: list[str]) -> DataFrame:
     return g.withColumn("y_pred", argmax(F.col("proba")))
 
 
-CLASSIFIERS = {"lda": Lda, "mdm": Mdm, "logistic": MlModel, "random_forest": MlModel, "mlp": MlModel, "svm": MlModel, "transformer": Lda}
+CLASSIFIERS = {"lda": Lda, "mdm": Mdm, "logistic": MlModel, "random_forest": MlModel, "mlp": MlModel, "svm": MlModel, "svm_rbf": MlModel, "transformer": Lda}
 
 
 def fitted(name: str, df: DataFrame, **kw):
+    if name not in CLASSIFIERS:
+        raise ValueError(f"no classifier {name!r}")
     cls = CLASSIFIERS[name]
     return cls.fit(df, kind=name, **kw) if cls is MlModel else cls.fit(df, **kw)
 

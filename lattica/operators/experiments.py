@@ -7,19 +7,21 @@ from __future__ import annotations
 
 import time
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
-from functools import reduce
+from dataclasses import dataclass, field, replace
 from itertools import product
 
 import numpy as np
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import linalg
 from lattica.functions import metrics as M
+from lattica.functions import ranks
 from lattica.functions.ranks import seeded
 from lattica.operators import adapters, classifiers, features, kernels, selection, splits
 from lattica.operators.kernels import gathered
+from lattica.session import shared_path
 
 
 @dataclass(frozen=True)
@@ -41,6 +43,7 @@ class Spec:
 #: Named presets.
 PRESETS = {
     "csp_lda": Spec("csp", "lda"), "riemann_mdm": Spec("covariance", "mdm"), "tangent_lr": Spec("riemann_tangent", "logistic"), "filter_bank_lr": Spec("filter_bank_riemann", "logistic"), "ea_tangent_lr": Spec("ea_tangent", "logistic"),
+    "rsa_lr": Spec("filter_bank_riemann", "logistic", options={"feature": {"rsa": True}}),
 }
 
 
@@ -67,9 +70,11 @@ class Pipeline:
         if spec.feature == "ea_tangent":
             self.align = features.EuclideanAlignment.fit(t)
             t = self.align.transform(t)
+        if kind not in features.FEATURES:
+            raise ValueError(f"no feature {kind!r}")
         made = features.FEATURES[kind]
         if hasattr(made, "fit"):
-            self.feature = made.fit(t, spec.fs) if kind == "filter_bank_riemann" else made.fit(t, **spec.options.get("feature", {}))
+            self.feature = made.fit(t, spec.fs, **spec.options.get("feature", {})) if kind == "filter_bank_riemann" else made.fit(t, **spec.options.get("feature", {}))
         else:
             self.feature = made(spec.fs) if kind in ("psd", "band_powers", "temporal") else made()
         x = self.feature.transform(t) if hasattr(self.feature, "transform") else kernels.extracted(t, self.feature)
@@ -91,17 +96,24 @@ FITS_AT_ONCE = 4
 
 
 def loso(trials: DataFrame, specs: list[Spec], subject: str = "subject_id", label: str = "label") -> DataFrame:
-    """(pipeline, holdout, trial_id, y_true, y_pred, proba) for every spec and every subject held out. All source rows are fitted on."""
+    """(pipeline, holdout, trial_id, y_true, y_pred, proba) for every spec and every subject held out. All source rows are fitted on.
+
+    Each fold's predictions are written as it is fitted, so the result's plan is a scan, however many folds there are."""
+    spark = trials.sparkSession
     subjects = [r[0] for r in trials.select(subject).distinct().orderBy(subject).collect()]
 
     def held_out(at):
         spec, s = at
         train, test = trials.filter(F.col(subject) != s), trials.filter(F.col(subject) == s)
         p = Pipeline(spec).fit(train, test).predict(test)
-        return p.select(F.lit(spec.name).alias("pipeline"), F.col(subject).alias("holdout"), "trial_id", F.col(label).alias("y_true"), "y_pred", "proba")
+        p = p.select(F.lit(spec.name).alias("pipeline"), F.col(subject).alias("holdout"), "trial_id", F.col(label).alias("y_true"), "y_pred", "proba")
+        path = shared_path(spark, "fold")
+        p.write.parquet(path)
+        return path, p.schema
 
     with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        return reduce(DataFrame.unionByName, pool.map(held_out, list(product(specs, subjects))))
+        written = list(pool.map(held_out, list(product(specs, subjects))))
+    return spark.read.schema(written[0][1]).parquet(*[path for path, _ in written])
 
 
 def subject_table(predictions: DataFrame, classes: int, seconds: float) -> DataFrame:
@@ -124,7 +136,7 @@ def cross_validated(trials: DataFrame, spec: Spec, k: int = 5, seed: int = 42, l
     return out
 
 
-METRIC_SCHEMA = "pipeline string, accuracy double, kappa double, stability double, latency_ms double, confidence double, train_accuracy double, cv_accuracy double, cv_score_std double, failed boolean, error string"
+METRIC_SCHEMA = "pipeline string, accuracy double, kappa double, stability double, latency_ms double, confidence double, train_accuracy double, cv_accuracy double, cv_score_std double, folds_done int, failed boolean, error string"
 
 
 def calibrate(trials: DataFrame, specs: list[Spec], k: int = 5, seed: int = 42, label: str = "label", stop_early: bool = False) -> DataFrame:
@@ -138,19 +150,94 @@ def calibrate(trials: DataFrame, specs: list[Spec], k: int = 5, seed: int = 42,
             cv = cross_validated(trials, spec, k, seed, label, best if stop_early else None)
             model = Pipeline(spec).fit(trials, trials)
             at = time.perf_counter()
-            p = model.predict(trials).select("trial_id", F.col(label).alias("y_true"), "y_pred", "proba").withColumn("run", F.lit(1)).cache()
-            p.count()
-            ms = 1000 * (time.perf_counter() - at) / n
+            p = model.predict(trials).select("trial_id", F.col(label).alias("y_true"), "y_pred", "proba").withColumn("run", F.lit(1))
+            path = shared_path(trials.sparkSession, "calibration")
+            p.write.parquet(path)
+            ms = 1000 * (time.perf_counter() - at) / n  # of the pass that predicts and writes
+            p = trials.sparkSession.read.schema(p.schema).parquet(path)
             r = M.accuracy(p, ["run"]).join(M.kappa(p, ["run"]), "run").join(M.confidence(p, ["run"]), "run").join(chunk_stability(p, ["run"], ["trial_id"]), "run", "left").first()
-            p.unpersist()
             mean = float(np.mean(cv))
             best = mean if best is None or (len(cv) == k and mean > best) else best
-            rows.append((spec.name, r["accuracy"], r["kappa"], r["stability"], ms, r["confidence"], r["accuracy"], mean, float(np.std(cv)), False, None))
-        except Exception as e:  # recorded in the table: a spec that doesn't suit the data mustn't end the search
-            rows.append((spec.name, None, None, None, None, None, None, None, None, True, str(e)[:300]))
+            rows.append((spec.name, r["accuracy"], r["kappa"], r["stability"], ms, r["confidence"], r["accuracy"], mean, float(np.std(cv)), len(cv), False, None))
+        except FAILURES as e:  # recorded in the table: a spec that doesn't suit the data mustn't end the search
+            rows.append((spec.name, None, None, None, None, None, None, None, None, None, True, str(e)[:300]))
     return trials.sparkSession.createDataFrame(rows, METRIC_SCHEMA)
 
 
+#: What a spec that fails at runtime may raise; anything else is an error of the program.
+FAILURES = (ValueError, np.linalg.LinAlgError, PySparkException)
+
+
+def _held_out_score(train: DataFrame, test: DataFrame, spec: Spec, metric: str, label: str) -> float:
+    """A screening metric of a fit without adapters; 0 for a spec that fails."""
+    try:
+        p = Pipeline(replace(spec, adapter="none")).fit(train).predict(test).select(F.col(label).alias("y_true"), "y_pred").withColumn("run", F.lit(1))
+        return float(M.screening_metric(p, ["run"], metric).first()[metric] or 0.0)
+    except FAILURES:
+        return 0.0
+
+
+def quick_screen(trials: DataFrame, specs: list[Spec], share: float = 0.3, repeats: int = 1, metric: str = "balanced_accuracy", least: int = 3, most: int = 5, exclude: tuple = (), seed: int = 42, label: str = "label") -> DataFrame:
+    """(pipeline, score, score_std, excluded, kept): each spec fitted on four fifths of a stratified share of the trials and scored on the rest, ``repeats`` times.
+
+    The better half is kept, ``least`` at least and ``most`` at most; specs whose name holds one of ``exclude`` aren't scored and stay. Trials, not windows, are dealt, so none is on both sides."""
+    subset = splits.stratified_split(trials.filter(F.col(label).isNotNull()), "trial_id", label, share, seed).filter("role = 'cal'").drop("role")
+    rows = []
+    for at, spec in enumerate(specs):
+        if any(x in spec.name.lower() for x in exclude):
+            rows.append((at, spec.name, None, None, True))
+            continue
+        scores = []
+        for k in range(repeats):
+            s = splits.stratified_split(subset, "trial_id", label, 0.8, seed + 1 + k)
+            scores.append(_held_out_score(s.filter("role = 'cal'").drop("role"), s.filter("role = 'test'").drop("role"), spec, metric, label))
+        rows.append((at, spec.name, float(np.mean(scores)), float(np.std(scores)), False))
+    scored = sorted((r for r in rows if not r[4]), key=lambda r: (-r[2], r[0]))
+    keep = {r[0] for r in scored[: max(1, min(most, max(least, len(scored) // 2)))]}
+    out = [(name, score, std, excluded, excluded or at in keep) for at, name, score, std, excluded in rows]
+    return trials.sparkSession.createDataFrame(out, "pipeline string, score double, score_std double, excluded boolean, kept boolean")
+
+
+def progressive_halving(trials: DataFrame, specs: list[Spec], factor: int = 2, seed: int = 42, label: str = "label") -> tuple[list[Spec], DataFrame]:
+    """The best 1 / factor of the specs by accuracy on one half of the trials when fitted on the other, and (pipeline, score, kept)."""
+    halves = splits.trial_split(trials.filter(F.col(label).isNotNull()), "trial_id", 0.5, seed)
+    train, test = halves.filter("role = 'train'").drop("role"), halves.filter("role = 'test'").drop("role")
+    scored = sorted(((-_held_out_score(train, test, s, "accuracy", label), at) for at, s in enumerate(specs)))
+    keep = [at for _, at in scored[: max(1, len(specs) // factor)]]
+    rows = [(specs[at].name, -score, at in keep) for score, at in scored]
+    return [specs[at] for at in keep], trials.sparkSession.createDataFrame(rows, "pipeline string, score double, kept boolean")
+
+
+def pruning_info(screening: DataFrame | None, metrics: DataFrame, folds: int, halved: bool = False, seconds: dict | None = None) -> dict:
+    """What was pruned and why, as a metrics file holds it: screening scores, who was rejected and who remained, who stopped early, and how well the screening ranked."""
+    held = [r.asDict() for r in screening.collect()] if screening is not None else []  # a row a pipeline
+    cv = metrics.filter("cv_accuracy IS NOT NULL").select("pipeline", F.col("cv_accuracy").alias("score"))
+    correlation = None
+    if held:
+        correlation = selection.rank_correlation(screening.filter("score IS NOT NULL AND kept").select("pipeline", "score"), cv, "pipeline", "score").first()[0]
+    early = [r["pipeline"] for r in metrics.filter("folds_done < %d" % folds).select("pipeline").collect()] if "folds_done" in metrics.columns else []
+    remaining = [r["pipeline"] for r in metrics.filter("NOT failed").select("pipeline").collect()]
+    of_screening = {"enabled": bool(held), "scores": {r["pipeline"]: r["score"] for r in held if not r["excluded"]}, "std": {r["pipeline"]: r["score_std"] for r in held if not r["excluded"]}}
+    return {
+        "quick_screening": of_screening | {"rejected": [r["pipeline"] for r in held if not r["kept"]], "remaining": remaining}, "early_stopped_pipelines": early, "progressive_halving_used": halved,
+        "adaptive_pruning": {"quick_screening": of_screening | {"correlation_with_full_cv": correlation}, "runtime_stats": seconds or {}, "early_stopped_pipelines": early, "progressive_halving_used": halved},
+    }
+
+
+def re_evaluation_ticks(df: DataFrame, interval: int, by: list[str], order: str) -> DataFrame:
+    """The rows after which an agent evaluates anew: every ``interval``-th trial of a stream."""
+    return ranks.value_rank(df, order, "_n", by=by).filter(F.col("_n") % interval == 0).drop("_n")
+
+
+def denoising_comparison(trials: DataFrame, specs: list[Spec], steps: dict[str, tuple], k: int = 5, seed: int = 42, label: str = "label") -> DataFrame:
+    """(condition, pipeline, accuracy, accuracy_std): cross-validated accuracy of each spec behind each chain of steps; condition names the chain."""
+    rows = []
+    for (condition, chain), spec in product(steps.items(), specs):
+        cv = cross_validated(trials, replace(spec, steps=tuple(chain)), k, seed, label)
+        rows.append((condition, spec.name, float(np.mean(cv)), float(np.std(cv))))
+    return trials.sparkSession.createDataFrame(rows, "condition string, pipeline string, accuracy double, accuracy_std double")
+
+
 def grid_search(trials: DataFrame, spec: Spec, grid: dict[str, list], k: int = 3, seed: int = 42) -> DataFrame:
     """(params, score) for each combination of classifier options, best first."""
     rows = []
@@ -228,7 +315,7 @@ def class_spread(trials: DataFrame) -> dict:
 
 
 def outlier_weights(distance: DataFrame) -> DataFrame:
-    """(subject_id, distance) to weights: 1 / (1 + d), a quarter of it beyond mean + 2 deviations, summing to 1."""
+    """(subject_id, distance) to weights, as ``features.subject_weights`` has them, for a table of subjects."""
     m = distance.agg(F.avg("distance").alias("m"), F.stddev_pop("distance").alias("s"))
     w = F.when(F.col("distance") > F.col("m") + 2 * F.col("s"), 0.25).otherwise(1.0) / (1 + F.col("distance"))
     r = distance.crossJoin(m).withColumn("_w", w)  # one row joined to one row a subject
@@ -236,11 +323,4 @@ def outlier_weights(distance: DataFrame) -> DataFrame:
     return r.crossJoin(total).select("subject_id", "distance", (F.col("_w") / F.col("_t")).alias("weight"))
 
 
-def band_weights(df: DataFrame, bands: int, label: str = "label", column: str = "features", bins: int = 8) -> DataFrame:
-    """(band, weight): mean mutual information of a band's components, cut into bins of equal width, with the label."""
-    n = df.select(F.size(column)).first()[0]
-    long = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("y"), F.posexplode(column).alias("dim", "x"))
-    edges = long.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    b = long.join(F.broadcast(edges) if n <= 100_000 else edges, "dim").withColumn("bin", F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins).cast("int"))).withColumn("bin", F.coalesce("bin", F.lit(0)))
-    mi = M.mutual_information(b, ["dim"], "bin", "y").withColumn("band", F.floor(F.col("dim") * bands / n).cast("int"))
-    return mi.groupBy("band").agg(F.avg("mutual_information").alias("weight"))
+band_weights = features.band_weights

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from lattica.functions import dsp, linalg
 
@@ -63,13 +64,21 @@ def ica_clean(x: np.ndarray, n: int = 15, drop: tuple = (), seed: int = 42) -> K
     return lambda s: back @ (s - mean[:, None]) + mean[:, None]
 
 
+def lead_field_denoise(lead: np.ndarray | None = None, share: float = 0.8) -> Kernel:
+    """Components of a trial least like a forward model's covariance go: generalised eigenvectors against lead @ lead.T. A lead field must be given: without one there is nothing to compare with."""
+    if lead is None:
+        raise ValueError("a lead field is needed")
+    model = lead @ lead.T
+    return lambda x: linalg.gevd_denoise(x, model, share)
+
+
 def mandatory(fs: float, reference: Kernel | None = None, causal: bool = False, low: float = 8, high: float = 30) -> list[Kernel]:
     """Notch, bandpass, reference, in that order."""
     return [notch(fs, causal=causal), bandpass(fs, low, high, causal=causal), reference or car()]
 
 
 #: Steps that may be enabled by name after the mandatory ones; the second value says whether a step works one window at a time.
-STEPS: dict[str, tuple[Callable[..., Kernel], bool]] = {"wavelet": (wavelet_denoise, True), "motor_band": (motor_band, True), "ica": (ica_clean, False), "project": (project, True)}
+STEPS: dict[str, tuple[Callable[..., Kernel], bool]] = {"wavelet": (wavelet_denoise, True), "motor_band": (motor_band, True), "ica": (ica_clean, False), "project": (project, True), "lead_field": (lead_field_denoise, True)}
 
 
 def chain(fs: float, enabled: list[tuple[str, dict]] = (), reference: Kernel | None = None, online: bool = False) -> list[Kernel]:
@@ -97,6 +106,18 @@ def mapped(trials: DataFrame, kernels: list[Kernel], signal: str = "signal") ->
     return trials.mapInArrow(run, StructType([StructField(f.name, SIGNAL if f.name == signal else f.dataType) for f in schema.fields]))
 
 
+def mapped_by(trials: DataFrame, kernel: Callable, key: str, signal: str = "signal") -> DataFrame:
+    """The same columns, with kernel(signal, the row's key) as the signal: one pass for all keys."""
+    at, key_at, names = trials.columns.index(signal), trials.columns.index(key), trials.columns
+
+    def run(batches):
+        for b in batches:
+            out = [kernel(x, k).tolist() for x, k in zip(_arrays(b.column(at)), b.column(key_at).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.list_(pa.float64()))) if i == at else c for i, c in enumerate(b.columns)], names=names)
+
+    return trials.mapInArrow(run, StructType([StructField(f.name, SIGNAL if f.name == signal else f.dataType) for f in trials.schema.fields]))
+
+
 def extracted(trials: DataFrame, feature: Kernel, signal: str = "signal", name: str = "features", kernels: list[Kernel] = ()) -> DataFrame:
     """The columns without the signal, and a vector per trial. Preprocessing kernels run in the same pass."""
     at = trials.columns.index(signal)
@@ -115,10 +136,26 @@ def extracted(trials: DataFrame, feature: Kernel, signal: str = "signal", name:
     return trials.mapInArrow(run, StructType([*fields, StructField(name, VECTOR)]))
 
 
-def gathered(df: DataFrame, column: str, start: Callable[[], object], add: Callable, label: str | None = None):
-    """Sums an array statistic over all rows: partial sums per task (one row each, per label), added on the driver. For small matrices only."""
+def extracted_by(trials: DataFrame, feature: Callable, key: str, signal: str = "signal", name: str = "features", drop: tuple | None = None) -> DataFrame:
+    """The columns without the signal, and feature(signal, the row's key) as a vector; the key column goes too unless ``drop`` says else."""
+    gone = {signal, *((key,) if drop is None else drop), name}
+    at, key_at, kept = trials.columns.index(signal), trials.columns.index(key), [i for i, c in enumerate(trials.columns) if c not in gone]
+    fields = [trials.schema.fields[i] for i in kept]
+
+    def run(batches):
+        for b in batches:
+            out = [np.asarray(feature(x, k), np.float64).ravel().tolist() for x, k in zip(_arrays(b.column(at)), b.column(key_at).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(out, pa.list_(pa.float64()))], names=[*(f.name for f in fields), name])
+
+    return trials.mapInArrow(run, StructType([*fields, StructField(name, VECTOR)]))
+
+
+def gathered(df: DataFrame, column: str, start: Callable[[], object], add: Callable, label: str | None = None, given: dict | None = None):
+    """Sums an array statistic over all rows: partial sums per task (one row each, per label), added on the driver. For small matrices only. With ``given`` the statistic also gets the row's label and that table."""
     at = df.columns.index(column)
     label_at = df.columns.index(label) if label else None
+    key_type = df.schema[label].dataType if label else LongType()
+    kind = to_arrow_type(key_type)
 
     def run(batches):
         held: dict = {}
@@ -127,13 +164,13 @@ def gathered(df: DataFrame, column: str, start: Callable[[], object], add: Calla
             for key, x in zip(keys, b.column(at).to_pylist(), strict=True):
                 if key is not None and x is not None:
                     n, total = held.get(key, (0, None))
-                    v = np.asarray(add(np.array(x, np.float64)), np.float64)
+                    v = np.asarray(add(np.array(x, np.float64)) if given is None else add(np.array(x, np.float64), key, given), np.float64)
                     held[key] = n + 1, v if total is None else total + v
         for key, (n, total) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([n], pa.int64()), pa.array([list(total.shape)], pa.list_(pa.int64())), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["key", "n", "shape", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([n], pa.int64()), pa.array([list(total.shape)], pa.list_(pa.int64())), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["key", "n", "shape", "total"])
 
     out: dict = {}
-    for r in df.mapInArrow(run, "key long, n long, shape array<long>, total array<double>").collect():  # one job: toLocalIterator runs its tasks one after another
+    for r in df.mapInArrow(run, f"key {key_type.simpleString()}, n long, shape array<long>, total array<double>").collect():  # one job: toLocalIterator runs its tasks one after another
         n, total = out.get(r["key"], (0, 0.0))
         out[r["key"]] = n + r["n"], total + np.array(r["total"]).reshape(r["shape"])
     return out if label else out.get(0, (0, None))

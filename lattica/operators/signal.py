@@ -64,11 +64,11 @@ def quality_statistics(samples: DataFrame) -> DataFrame:
 
 
 def signal_quality(samples: DataFrame, limit: float = 5.0) -> DataFrame:
-    """(trial, channel, var, kurt, bad): bad where either is more than ``limit`` deviations from the channel's mean over trials."""
+    """(trial, channel, var, kurt, bad): bad where either is more than ``limit`` deviations above the channel's mean over trials; quiet channels stay."""
     st = quality_statistics(samples)
     m = st.groupBy("channel").agg(*[f(k).alias(f"{n}_{k}") for k in ("var", "kurt") for n, f in (("m", F.avg), ("s", F.stddev_pop))])
     j = st.join(F.broadcast(m) if m.count() <= 100_000 else m, "channel")
-    z = lambda k: F.abs(F.col(k) - F.col(f"m_{k}")) > limit * (F.col(f"s_{k}") + 1e-12)
+    z = lambda k: (F.col(k) - F.col(f"m_{k}")) / (F.col(f"s_{k}") + 1e-9) > limit
     return j.select(*TRIAL, "channel", "var", "kurt", (z("var") | z("kurt")).alias("bad"))
 
 

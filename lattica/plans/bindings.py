@@ -28,6 +28,14 @@ def trials(spark, sf) -> DataFrame:
     return f.select("subject_id", "trial_id", "label", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: F.slice("features", c * 8 + 1, 8)).alias("signal"))
 
 
+def long_trials(spark, sf, n: int = 32) -> DataFrame:
+    """Runs of n trials of a subject end to end, by id: 8 channels by 8 n samples. The last run of a subject, if shorter, is left out."""
+    t = trials(spark, sf).withColumn("run", F.floor(F.col("trial_id") / (SUBJECTS * n)))
+    g = t.groupBy("subject_id", "run").agg(F.array_sort(F.collect_list(F.struct("trial_id", "label", "signal"))).alias("r")).filter(F.size("r") == n)  # n rows
+    whole = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: F.flatten(F.transform("r", lambda x: F.element_at(x["signal"], (c + 1).cast("int")))))
+    return g.select("subject_id", (F.col("run") * SUBJECTS + F.col("subject_id")).alias("trial_id"), F.col("r")[0]["label"].alias("label"), whole.alias("signal"))
+
+
 def samples(spark, sf) -> DataFrame:
     """(subject_id, trial_id, channel, sample_idx, value)."""
     f = features(spark, sf).select("subject_id", "trial_id", F.posexplode("features").alias("_i", "value"))

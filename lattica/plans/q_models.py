@@ -7,6 +7,7 @@ import os
 import numpy as np
 from pyspark.sql import functions as F
 
+from lattica.functions.dsp import DB4
 from lattica.functions.metrics import accuracy, kappa
 from lattica.operators import adapters as D
 from lattica.operators import classifiers as C
@@ -24,14 +25,18 @@ def _scored(model, train, test, column="features"):
     return accuracy(p, ["run"]).join(kappa(p, ["run"]), "run")
 
 
+def _by_dim(df):
+    """A row for each component of each vector, rounded."""
+    return df.select("trial_id", F.posexplode("features").alias("dim", "value")).withColumn("value", F.round("value", 7))
+
+
 def _halves(df):
     return df.filter("trial_id % 2 = 0"), df.filter("trial_id % 2 = 1")
 
 
 def q_bandpass_power(spark, sf):
-    """Long trials (four subjects' noise and sines) through notch, bandpass and reference, then band powers: one Arrow pass."""
-    t = S.synthetic(spark, 4, 25, 8, 250)
-    return K.extracted(t, E.band_powers(250.0), kernels=K.chain(250.0))
+    """The table's trials, 32 of a subject end to end, through notch, bandpass and reference, then band powers: one Arrow pass."""
+    return K.extracted(B.long_trials(spark, sf), E.band_powers(250.0), kernels=K.chain(250.0))
 
 
 def q_denoised(spark, sf):
@@ -40,15 +45,15 @@ def q_denoised(spark, sf):
 
 
 def q_psd(spark, sf):
-    return K.extracted(B.trials(spark, sf), E.psd(8.0, 8))
+    return _by_dim(K.extracted(B.trials(spark, sf), E.psd(8.0, 8)))
 
 
 def q_wavelet(spark, sf):
-    return K.extracted(B.trials(spark, sf), E.wavelet_energy(1))
+    return _by_dim(K.extracted(B.trials(spark, sf), E.wavelet_energy(1)))
 
 
 def q_oas(spark, sf):
-    return K.extracted(B.trials(spark, sf), E.covariance_features("oas"))
+    return _by_dim(K.extracted(B.trials(spark, sf), E.covariance_features("oas")))
 
 
 def q_csp_lda(spark, sf):
@@ -82,7 +87,7 @@ def q_lda(spark, sf):
 
 def q_forest(spark, sf):
     train, test = _halves(B.features(spark, sf))
-    return _scored(C.MlModel.fit(train, "random_forest", trees=20, depth=5), None, test)
+    return _scored(C.MlModel.fit(train, "random_forest"), None, test)
 
 
 def q_coral(spark, sf):
@@ -98,8 +103,8 @@ def q_transport(spark, sf):
 
 
 def q_filter_bank(spark, sf):
-    t = S.synthetic(spark, 3, 12, 6, 300)
-    return E.FilterBankRiemann.fit(t, 250.0).transform(t)
+    t = B.long_trials(spark, sf)
+    return E.FilterBankRiemann.fit(t, 250.0, with_temporal=True).transform(t)
 
 
 def _events(spark, sf):
@@ -136,8 +141,9 @@ def q_synthetic(spark, sf):
 
 
 def q_ica(spark, sf):
-    x = np.concatenate([np.array(r["signal"]).T for r in S.synthetic(spark, 1, 8, 4, 200).collect()])  # a fit on one subject's few trials
-    return K.mapped(S.synthetic(spark, 1, 8, 4, 200), [K.ica_clean(x, 4, (0,))]).select("trial_id", F.size("signal").alias("channels"))
+    t = B.long_trials(spark, sf)
+    x = np.concatenate([np.array(r["signal"]).T for r in t.filter("subject_id = 0").orderBy("trial_id").limit(8).collect()])  # fitted on eight runs of a subject, applied to all
+    return K.mapped(t, [K.ica_clean(x, 4, (0,))]).select("trial_id", F.size("signal").alias("channels"), F.size(F.col("signal")[0]).alias("samples"))
 
 
 def q_loso_evaluation(spark, sf):
@@ -151,15 +157,14 @@ def q_loso_evaluation(spark, sf):
 
     t = B.trials(spark, sf)
     t = stored(t.repartition(max(t.rdd.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism)), "loso-trials")  # every fit reads them, in as many tasks as there are cores
-    p = X.loso(t, [X.PRESETS["csp_lda"], X.PRESETS["riemann_mdm"]])
-    return X.subject_table(stored(p, "loso"), B.CLASSES, 3.0)
+    return X.subject_table(X.loso(t, [X.PRESETS["csp_lda"], X.PRESETS["riemann_mdm"]]), B.CLASSES, 3.0)
 
 
 def q_calibrate(spark, sf):
     """Cross-validated metrics of two pipelines on the table's trials."""
     from lattica.operators import experiments as X
 
-    return X.calibrate(B.trials(spark, sf), [X.PRESETS["csp_lda"], X.PRESETS["riemann_mdm"]], k=2)
+    return X.calibrate(B.trials(spark, sf), [X.PRESETS["csp_lda"], X.PRESETS["riemann_mdm"]])
 
 
 def q_diagnostics(spark, sf):
@@ -173,7 +178,7 @@ def q_diagnostics(spark, sf):
 def q_band_weights(spark, sf):
     from lattica.operators import experiments as X
 
-    return X.band_weights(B.features(spark, sf), 8)
+    return B.rounded(X.band_weights(B.features(spark, sf), 8), 7)
 
 
 QUERIES = {
@@ -206,10 +211,25 @@ ROLL = "(PARTITION BY subject_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND
 DRIFT = f"""WITH o AS (SELECT user_id AS subject_id, event_id, CASE WHEN event_type <> 'error' THEN 1.0::DOUBLE ELSE 0 END AS correct FROM events),
 r AS (SELECT *, CASE WHEN count(*) OVER {ROLL} >= 10 THEN avg(correct) OVER {ROLL} END AS accuracy FROM o)
 SELECT subject_id, event_id, round(accuracy, 9) AS accuracy, 0.8::DOUBLE AS baseline,
- coalesce((count(accuracy) OVER w = 3 AND max(accuracy) OVER w < 0.5) OR accuracy < 0.8::DOUBLE - 0.25::DOUBLE, false) AS drift
-FROM r WINDOW w AS (PARTITION BY subject_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"""
+ coalesce((count(accuracy) OVER w = 2 AND max(accuracy) OVER w < 0.35::DOUBLE) OR 0.8::DOUBLE - accuracy >= 0.15::DOUBLE, false) AS drift
+FROM r WINDOW w AS (PARTITION BY subject_id ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)"""
 
 WINDOWS = """WITH w AS (SELECT event_type, time_bucket(INTERVAL '12 hours', ts, TIMESTAMP '1970-01-01') - k * INTERVAL '12 hours' AS s FROM events, range(2) t(k))
 SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, strftime(s + INTERVAL '1 day', '%Y-%m-%d %H:%M') AS "end", event_type, count(*) AS n FROM w GROUP BY ALL"""
 
-ORACLES = {"window_stream": WINDOWS, "drift_table": DRIFT, "drift_stream": DRIFT.replace("round(accuracy, 9)", "accuracy")}
+#: The scaling filter of the wavelet, as SQL.
+_LOW = "[" + ", ".join(f"{v!r}::DOUBLE" for v in DB4.tolist()) + "]"
+_HIGH_SQL = "[" + ", ".join(f"{v!r}::DOUBLE" for v in (DB4[::-1] * ([1, -1] * 4)).tolist()) + "]"
+#: Trials' channels as lists, and a border that is mirrored: place p of eight samples, from -7 to 14.
+CHANNELS = B.EMB + ", ch AS (SELECT trial_id, c, list_slice(f, 8 * c + 1, 8 * c + 8) AS x FROM emb, range(8) t(c))"
+MIRROR = "x[1 + CASE WHEN 2 * k + j - 6 < 0 THEN 5 - 2 * k - j WHEN 2 * k + j - 6 > 7 THEN 21 - 2 * k - j ELSE 2 * k + j - 6 END]"
+
+ORACLES = {
+    "window_stream": WINDOWS, "drift_table": DRIFT, "drift_stream": DRIFT.replace("round(accuracy, 9)", "accuracy"),
+    "synthetic_trials": "SELECT 1 + k // 20 AS subject_id, k AS trial_id, CAST(k % 20 % 4 AS INTEGER) AS label, CAST(4 AS INTEGER) AS channels FROM range(40) t(k)",
+    "ica": "WITH g AS (SELECT vec_id % 9 AS s, vec_id // 288 AS r FROM embeddings GROUP BY ALL HAVING count(*) = 32) SELECT r * 9 + s AS trial_id, CAST(8 AS INTEGER) AS channels, CAST(256 AS INTEGER) AS samples FROM g",
+    "psd_bins": f"WITH {CHANNELS}, d AS (SELECT trial_id, c, k, sum(x[i + 1] * cos(2 * pi() * k * i / 8)) AS re, sum(x[i + 1] * sin(2 * pi() * k * i / 8)) AS im FROM ch, range(1, 5) t(k), range(8) u(i) GROUP BY ALL) SELECT trial_id, CAST(4 * c + k - 1 AS INTEGER) AS dim, round(re * re + im * im, 7) AS value FROM d",
+    "wavelet_energy": f"WITH {CHANNELS}, w AS (SELECT trial_id, c, h, k, sum({MIRROR} * (CASE WHEN h = 0 THEN {_LOW} ELSE {_HIGH_SQL} END)[j + 1]) AS y FROM ch, range(2) t(h), range(7) u(k), range(8) v(j) GROUP BY ALL) SELECT trial_id, CAST(2 * c + h AS INTEGER) AS dim, round(sum(y * y), 7) AS value FROM w GROUP BY ALL",
+    "oas_covariance": f"WITH {CHANNELS}, z AS (SELECT trial_id, c, list_transform(x, lambda v: v - list_avg(x)) AS z FROM ch), s AS (SELECT a.trial_id, a.c AS i, b.c AS j, list_dot_product(a.z, b.z) / 8 AS s FROM z a JOIN z b USING (trial_id)), m AS (SELECT trial_id, sum(CASE WHEN i = j THEN s END) / 8 AS mu, avg(s * s) AS p FROM s GROUP BY 1), q AS (SELECT *, CASE WHEN 9 * (p - mu * mu / 8) = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, (p + mu * mu) / (9 * (p - mu * mu / 8))) END AS q FROM m) SELECT trial_id, CAST(8 * i - i * (i - 1) // 2 + j - i AS INTEGER) AS dim, round((1 - q) * s + CASE WHEN i = j THEN q * mu ELSE 0 END, 7) AS value FROM s JOIN q USING (trial_id) WHERE i <= j",
+    "band_weights": f"WITH {B.EMB}, l AS (SELECT label AS y, i AS dim, f[i + 1] AS x FROM emb, range(64) t(i) WHERE label IS NOT NULL), e AS (SELECT dim, min(x) AS lo, max(x) AS hi FROM l GROUP BY 1), b AS (SELECT dim, y, coalesce(least(7, CAST(floor((x - lo) / nullif(hi - lo, 0) * 8) AS INTEGER)), 0) AS bin FROM l JOIN e USING (dim)), c AS (SELECT dim, bin, y, count(*)::DOUBLE AS n FROM b GROUP BY ALL), d AS (SELECT *, sum(n) OVER (PARTITION BY dim, bin) AS nx, sum(n) OVER (PARTITION BY dim, y) AS ny, sum(n) OVER (PARTITION BY dim) AS t FROM c), m AS (SELECT dim, sum(n / t * ln(n * t / (nx * ny))) AS mi FROM d GROUP BY 1), w AS (SELECT CAST(dim // 8 AS INTEGER) AS band, avg(mi) + 1e-12::DOUBLE AS w FROM m GROUP BY 1) SELECT band, round(w / sum(w) OVER (), 7) AS weight FROM w",
+}

@@ -88,6 +88,12 @@ def q_acceptance(spark, sf):
     return B.rounded(e.select("n", "mean_delta", "cohens_d", "t_stat"), 6)
 
 
+def q_bootstrap_metric(spark, sf):
+    """F1 and its interval: a component of each vector as score of odd labels."""
+    f = B.features(spark, sf).select("trial_id", (F.col("label") % 2).alias("y"), (F.col("features")[0] + 0.5).alias("s"))
+    return B.rounded(X.bootstrap_metric(f, "s", "y", "trial_id", "f1"))
+
+
 def q_config_hash(spark, sf):
     r = B.table(spark, sf, "region")
     return r.select("r_regionkey", F.substring(F.sha2(F.concat_ws("|", F.col("r_regionkey").cast("string"), "r_name"), 256), 1, 16).alias("config_hash"), L.pipeline_name(F.col("r_name"), F.lit("lda")).alias("pipeline"))
@@ -108,10 +114,11 @@ QUERIES = {
     "cohens_d": lambda spark, sf: B.rounded(X.effect(pairs(spark, sf)).select("n", "cohens_d")),
     "wilcoxon_stat": q_wilcoxon,
     "permutation_exact": lambda spark, sf: B.rounded(X.permutation_exact(pairs(spark, sf), "subject_id")),
-    "permutation_hashed": lambda spark, sf: X.permutation(pairs(spark, sf), "subject_id", n_perm=2000),
-    "bootstrap_ci": lambda spark, sf: B.rounded(X.bootstrap_ci(pairs(spark, sf), "subject_id", replicates=500)),
+    "permutation_hashed": lambda spark, sf: B.rounded(X.permutation(pairs(spark, sf), "subject_id")),
+    "bootstrap_ci": lambda spark, sf: B.rounded(X.bootstrap_ci(pairs(spark, sf), "subject_id")),
     "pairwise_compare": q_pairwise,
-    "compare_tables": lambda spark, sf: X.compare(B.pipeline_metrics(spark, sf), B.pipeline_metrics(spark, sf).withColumn("accuracy", F.col("train_accuracy")), "pipeline", ["accuracy", "kappa"], "t"),
+    "compare_tables": lambda spark, sf: X.compare(B.pipeline_metrics(spark, sf), B.pipeline_metrics(spark, sf).withColumn("accuracy", F.col("train_accuracy")), "pipeline", ["accuracy", "kappa"]),
+    "bootstrap_metric": q_bootstrap_metric,
     "leaderboard": q_board,
     "top_n_composite": lambda spark, sf: B.rounded(L.top_n(B.pipeline_metrics(spark, sf), 10).select("pipeline", "score")),
     "best_pipeline": lambda spark, sf: L.best(B.pipeline_metrics(spark, sf)).select("pipeline", "accuracy"),
@@ -139,7 +146,19 @@ ORACLES = {
     "cohens_d": f"{EFFECT} SELECT n, round(mean_delta / std_delta, 9) AS cohens_d FROM ef",
     "wilcoxon_stat": f"{PAIRS}, q AS (SELECT *, abs(d) AS a FROM pr WHERE d <> 0), k AS (SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS r FROM q), w AS (SELECT count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (d < 0), 0) AS w_minus FROM k) SELECT n, w_plus, w_minus, least(w_plus, w_minus) AS statistic FROM w",
     "permutation_exact": f"{PAIRS}, i AS (SELECT d, row_number() OVER (ORDER BY subject_id) - 1 AS k, count(*) OVER () AS n FROM pr), m AS (SELECT mask, abs(sum(CASE WHEN (mask >> k) & 1 = 1 THEN -d ELSE d END)) AS s, abs(sum(d)) AS o FROM i, range(512) t(mask) GROUP BY mask) SELECT CAST((SELECT max(n) FROM i) AS INTEGER) AS n, (SELECT round(avg(d), 9) FROM pr) AS observed, round(avg(CASE WHEN s >= o - 1e-12 THEN 1.0::DOUBLE ELSE 0 END), 9) AS p_value FROM m",
-    "bootstrap_ci": f"{PAIRS}, i AS (SELECT d, row_number() OVER (ORDER BY subject_id) - 1 AS k, count(*) OVER () AS n FROM pr), b AS (SELECT rep, CAST('0x' || substr(md5('42:' || rep || ':' || k), 1, 7) AS BIGINT) % n AS pick FROM i, range(500) t(rep)), g AS (SELECT rep, avg(i.d) AS m FROM b JOIN i ON i.k = b.pick GROUP BY 1) SELECT (SELECT max(n) FROM i) AS n, round(quantile_cont(m, 0.025), 9) AS ci_low, round(quantile_cont(m, 0.975), 9) AS ci_high FROM g",
+    "bootstrap_ci": f"{PAIRS}, i AS (SELECT d, row_number() OVER (ORDER BY subject_id) - 1 AS k, count(*) OVER () AS n FROM pr), b AS (SELECT rep, CAST('0x' || substr(md5('42:' || rep || ':' || k), 1, 7) AS BIGINT) % n AS pick FROM i, range(2000) t(rep)), g AS (SELECT rep, avg(i.d) AS m FROM b JOIN i ON i.k = b.pick GROUP BY 1) SELECT (SELECT max(n) FROM i) AS n, round(quantile_cont(m, 0.025), 9) + 0.0 AS ci_low, round(quantile_cont(m, 0.975), 9) + 0.0 AS ci_high FROM g",
+    "permutation_hashed": f"{PAIRS}, m AS (SELECT p, abs(sum(CASE WHEN CAST('0x' || substr(md5('42:' || p || ':' || subject_id), 1, 1) AS INTEGER) % 2 = 0 THEN d ELSE -d END)) AS s FROM pr, range(10000) t(p) GROUP BY p) SELECT (SELECT count(*) FROM pr) AS n, round((count(*) FILTER (s >= (SELECT abs(sum(d)) FROM pr) - 1e-12) + 1.0::DOUBLE) / 10001, 9) AS p_value FROM m",
+    "bootstrap_metric": f"WITH {B.EMB}, r AS (SELECT trial_id, label % 2 AS y, f[1] + 0.5 AS s FROM emb WHERE label IS NOT NULL), u AS (SELECT rep, y, s, CASE WHEN rep < 0 THEN 1 ELSE len(list_filter([{', '.join(f'{p!r}::DOUBLE' for p in X.POISSON)}], lambda p: p <= CAST('0x' || substr(md5('0:' || rep || ':' || trial_id), 1, 7) AS BIGINT) / 268435456.0::DOUBLE)) END AS w FROM r, range(-1, 1000) t(rep)), g AS (SELECT rep, sum(CASE WHEN s >= 0.5 THEN w * y END) AS tp, sum(CASE WHEN s >= 0.5 THEN w ELSE 0 END) AS p, sum(w * y) AS t FROM u GROUP BY 1), v AS (SELECT rep, 2.0::DOUBLE * coalesce(tp, 0) / nullif(p + t, 0) AS v FROM g) SELECT round(max(v) FILTER (rep < 0), 9) AS original_score, round(quantile_cont(v, 0.025) FILTER (rep >= 0), 9) AS ci_low, round(quantile_cont(v, 0.975) FILTER (rep >= 0), 9) AS ci_high FROM v",
+    "compare_tables": f"""WITH {B.PIPES}, pr AS (SELECT pipeline, metric, CASE metric WHEN 'accuracy' THEN accuracy ELSE kappa END AS v1, CASE metric WHEN 'accuracy' THEN train_accuracy ELSE kappa END AS v2 FROM pm, (VALUES ('accuracy'), ('kappa')) t(metric)),
+d AS (SELECT *, v2 - v1 AS d, row_number() OVER (PARTITION BY metric ORDER BY pipeline) - 1 AS i, count(*) OVER (PARTITION BY metric) AS n FROM pr),
+e AS (SELECT metric, count(*) AS n, avg(v1) AS m1, avg(v2) AS m2, stddev_pop(v1) AS s1, stddev_pop(v2) AS s2, avg(d) AS md, stddev_pop(d) AS sd, abs(sum(d)) AS o FROM d GROUP BY 1),
+s AS (SELECT metric, p, abs(sum(CASE WHEN CAST('0x' || substr(md5('42:' || p || ':' || pipeline), 1, 1) AS INTEGER) % 2 = 0 THEN d ELSE -d END)) AS s FROM d, range(10000) t(p) WHERE n > 20 GROUP BY ALL),
+x AS (SELECT metric, p, abs(sum(CASE WHEN (p >> i) & 1 = 1 THEN -d ELSE d END)) AS s FROM d, range(1048576) t(p) WHERE n <= 20 AND p < (1 << n) GROUP BY ALL),
+p AS (SELECT metric, (count(*) FILTER (s >= o - 1e-12) + 1.0::DOUBLE) / 10001 AS p FROM s JOIN e USING (metric) GROUP BY 1 UNION ALL SELECT metric, avg(CASE WHEN s >= o - 1e-12 THEN 1.0::DOUBLE ELSE 0 END) FROM x JOIN e USING (metric) GROUP BY 1),
+b AS (SELECT metric, rep, avg(o.d) AS m FROM (SELECT metric, rep, CAST('0x' || substr(md5('42:' || rep || ':' || i), 1, 7) AS BIGINT) % n AS pick FROM d, range(2000) t(rep)) k JOIN d o USING (metric) WHERE o.i = k.pick GROUP BY ALL),
+c AS (SELECT metric, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM b GROUP BY 1)
+SELECT metric, 'Pipeline_A' AS name_1, 'Pipeline_B' AS name_2, 'permutation' AS test_used, n AS n_subjects, round(m1, 6) AS mean_1, round(m2, 6) AS mean_2, round(s1, 6) AS std_1, round(s2, 6) AS std_2, round(md, 6) AS mean_delta, round(sd, 6) AS std_delta,
+round(md, 6) AS statistic, round(p, 6) AS p_value, round(CASE WHEN sd = 0 THEN 0 ELSE md / sd END, 6) AS cohens_d, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, p < 0.05 AS significant, CAST(NULL AS VARCHAR) AS error FROM e JOIN p USING (metric) JOIN c USING (metric)""",
     "pairwise_compare": f"{ACC} SELECT x.pipeline AS a, y.pipeline AS b, count(*) AS n, round(avg(x.accuracy), 9) AS mean_1, round(avg(y.accuracy), 9) AS mean_2, round(avg(y.accuracy - x.accuracy), 9) AS mean_delta, round(avg(y.accuracy - x.accuracy) / stddev_pop(y.accuracy - x.accuracy), 9) AS cohens_d FROM acc x JOIN acc y USING (subject_id) WHERE x.pipeline < y.pipeline GROUP BY ALL",
     "leaderboard": f"WITH {B.PIPES}, r AS (SELECT *, CAST(row_number() OVER (ORDER BY accuracy DESC, pipeline) AS INTEGER) AS rank FROM pm) SELECT rank, pipeline, accuracy, latency_ms, NOT (accuracy >= 0.45 AND latency_ms <= 300 AND 1 - stability <= 0.05) AS pruned, pipeline = 'pipe_7' AS selected FROM r WHERE rank <= 15",
     "top_n_composite": f"WITH {B.PIPES} SELECT pipeline, round({COMP}, 9) AS score FROM pm ORDER BY {COMP} DESC, latency_ms, pipeline LIMIT 10",

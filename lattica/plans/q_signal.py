@@ -138,8 +138,8 @@ ORACLES = {
     "car": f"{SMP} SELECT {T}, channel, sample_idx, round(value - avg(value) OVER (PARTITION BY {T}, sample_idx), 9) AS value FROM smp",
     "laplacian": f"{SMP}, {RING}, m AS (SELECT s.subject_id, s.trial_id, s.channel, s.sample_idx, avg(n.value) AS near FROM smp s JOIN ring r USING (channel) JOIN smp n ON n.trial_id = s.trial_id AND n.sample_idx = s.sample_idx AND n.channel = r.neighbour GROUP BY ALL), c AS (SELECT *, avg(value) OVER (PARTITION BY {T}, sample_idx) AS car FROM smp) SELECT c.subject_id, c.trial_id, c.channel, c.sample_idx, round(c.value - coalesce(m.near, c.car), 9) AS value FROM c LEFT JOIN m USING (trial_id, channel, sample_idx)",
     "asr": f"{SMP}, b AS (SELECT channel, stddev_pop(value) AS base FROM smp GROUP BY 1), t AS (SELECT smp.*, base, stddev_pop(value) OVER (PARTITION BY {T}, channel, sample_idx // 3) AS sd FROM smp JOIN b USING (channel)) SELECT {T}, channel, sample_idx, round(CASE WHEN sd > base * 1.5 THEN value * (base * 1.5) / sd ELSE value END, 9) AS value FROM t",
-    "signal_quality": f"{SMP}, s AS (SELECT {T}, channel, var_pop(value) AS var, coalesce(kurtosis_pop(value), 0) AS kurt FROM smp GROUP BY ALL), m AS (SELECT channel, avg(var) AS mv, stddev_pop(var) AS sv, avg(kurt) AS mk, stddev_pop(kurt) AS sk FROM s GROUP BY 1) SELECT {T}, channel, round(var, 9) AS var, round(kurt, 9) AS kurt, abs(var - mv) > 2.0 * (sv + 1e-12) OR abs(kurt - mk) > 2.0 * (sk + 1e-12) AS bad FROM s JOIN m USING (channel)",
-    "signal_repair": f"{SMP}, s AS (SELECT {T}, channel, var_pop(value) AS var, coalesce(kurtosis_pop(value), 0) AS kurt FROM smp GROUP BY ALL), m AS (SELECT channel, avg(var) AS mv, stddev_pop(var) AS sv, avg(kurt) AS mk, stddev_pop(kurt) AS sk FROM s GROUP BY 1), q AS (SELECT {T}, channel, abs(var - mv) > 2.0 * (sv + 1e-12) OR abs(kurt - mk) > 2.0 * (sk + 1e-12) AS bad FROM s JOIN m USING (channel)) SELECT {T}, channel, sample_idx, round(CASE WHEN bad THEN (sum(value) OVER w - value) / 7 ELSE value END, 9) AS value FROM smp JOIN q USING (subject_id, trial_id, channel) WINDOW w AS (PARTITION BY {T}, sample_idx)",
+    "signal_quality": f"{SMP}, s AS (SELECT {T}, channel, var_pop(value) AS var, coalesce(kurtosis_pop(value), 0) AS kurt FROM smp GROUP BY ALL), m AS (SELECT channel, avg(var) AS mv, stddev_pop(var) AS sv, avg(kurt) AS mk, stddev_pop(kurt) AS sk FROM s GROUP BY 1) SELECT {T}, channel, round(var, 9) AS var, round(kurt, 9) AS kurt, (var - mv) / (sv + 1e-9::DOUBLE) > 2.0 OR (kurt - mk) / (sk + 1e-9::DOUBLE) > 2.0 AS bad FROM s JOIN m USING (channel)",
+    "signal_repair": f"{SMP}, s AS (SELECT {T}, channel, var_pop(value) AS var, coalesce(kurtosis_pop(value), 0) AS kurt FROM smp GROUP BY ALL), m AS (SELECT channel, avg(var) AS mv, stddev_pop(var) AS sv, avg(kurt) AS mk, stddev_pop(kurt) AS sk FROM s GROUP BY 1), q AS (SELECT {T}, channel, (var - mv) / (sv + 1e-9::DOUBLE) > 2.0 OR (kurt - mk) / (sk + 1e-9::DOUBLE) > 2.0 AS bad FROM s JOIN m USING (channel)) SELECT {T}, channel, sample_idx, round(CASE WHEN bad THEN (sum(value) OVER w - value) / 7 ELSE value END, 9) AS value FROM smp JOIN q USING (subject_id, trial_id, channel) WINDOW w AS (PARTITION BY {T}, sample_idx)",
     "subject_zscore": f"{SMP}, m AS (SELECT subject_id, channel, avg(value) AS m, stddev_pop(value) AS s FROM smp GROUP BY ALL) SELECT subject_id, trial_id, channel, sample_idx, round((value - m) / (s + 1e-8), 9) AS value FROM smp JOIN m USING (subject_id, channel)",
     "covariance_upper": f"{SMP} SELECT a.subject_id, a.trial_id, a.channel AS i, b.channel AS j, round(covar_samp(a.value, b.value), 9) AS cov FROM smp a JOIN smp b ON a.trial_id = b.trial_id AND a.sample_idx = b.sample_idx AND a.channel <= b.channel GROUP BY ALL",
     "psd_dft": f"{SMP}, d AS (SELECT {T}, channel, CAST(k AS INTEGER) AS k, sum(value * cos(2 * 3.141592653589793::DOUBLE * k * sample_idx / 8.0)) AS re, sum(value * sin(2 * 3.141592653589793::DOUBLE * k * sample_idx / 8.0)) AS im FROM smp, range(1, 4) t(k) GROUP BY ALL) SELECT {T}, channel, k, round(re * re + im * im, 9) AS power FROM d",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,6 +24,10 @@ def session(name: str = "lattica", master: str | None = None, shuffle_partitions
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); a local one only where the session names none."""
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``). A session without one gets a local folder where they are one process; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(base or tempfile.mkdtemp(prefix='lattica-')).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="lattica-")
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"

@@ -106,6 +106,8 @@ def load(name: str, spark: SparkSession, **options) -> DataFrame:
     """A source by name; options that it doesn't know are left out."""
     import inspect
 
+    import lattica.sources.biosignal  # noqa: F401  registers its formats
+
     f = REGISTRY[name]
     known = inspect.signature(f).parameters
     open_ended = any(p.kind is p.VAR_KEYWORD for p in known.values())
@@ -194,6 +196,20 @@ def write_metrics(df: DataFrame, path: str, by: list[str]) -> None:
     df.write.mode("append").partitionBy(*by).parquet(path)
 
 
+def write_selected(spark: SparkSession, path: str, pipeline: str, run_id: str, metrics: dict[str, float], arrays: dict[str, np.ndarray] | None = None) -> None:
+    """The pipeline chosen: one row with its metrics, and its fitted arrays beside it."""
+    spark.createDataFrame([(run_id, pipeline, {k: float(v) for k, v in metrics.items() if v is not None})], "run_id string, pipeline string, metrics map<string,double>").coalesce(1).write.mode("overwrite").json(f"{path}/selected")
+    if arrays:
+        write_model(spark, f"{path}/model", arrays)
+
+
+def write_online(metrics: DataFrame, predictions: DataFrame, path: str) -> None:
+    """What an online session leaves: a row of metrics a pipeline as JSON, a row a trial as CSV (trial_index, true_label, predicted, correct)."""
+    metrics.coalesce(1).write.mode("overwrite").json(f"{path}/pipeline_metrics")
+    rows = predictions.select(F.col("trial_id").alias("trial_index"), F.col("label").alias("true_label"), "predicted", (F.col("label") == F.col("predicted")).alias("correct"))
+    rows.write.mode("overwrite").option("header", True).csv(f"{path}/live_predictions")
+
+
 def latex_rows(df: DataFrame, columns: list[str], digits: int = 3) -> DataFrame:
     """A text column with one table row each."""
     cells = [F.format_string(f"%.{digits}f", F.col(c)) if t == "double" else F.coalesce(F.col(c).cast("string"), F.lit("--")) for c, t in df.select(*columns).dtypes]

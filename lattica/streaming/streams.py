@@ -66,7 +66,7 @@ def drift_kernel(window: int, at_least: int, run: int, floor: float, drop: float
             drift = False
             if mean is not None:
                 rolling = [*rolling, mean][-run:]
-                drift = (len(rolling) == run and max(rolling) < floor) or mean < baseline - drop
+                drift = (len(rolling) == run and max(rolling) < floor) or baseline - mean >= drop
             out.append((key[0], last, mean, baseline, drift))
         state.update((outcomes, rolling, last))
         yield pd.DataFrame(out, columns=["subject_id", "event_id", "accuracy", "baseline", "drift"])
@@ -74,13 +74,13 @@ def drift_kernel(window: int, at_least: int, run: int, floor: float, drop: float
     return kernel
 
 
-def drift(df: DataFrame, window: int = 20, at_least: int = 10, run: int = 3, floor: float = 0.5, drop: float = 0.25, baseline: float = 0.8) -> DataFrame:
+def drift(df: DataFrame, window: int = 20, at_least: int = 10, run: int = 2, floor: float = 0.35, drop: float = 0.15, baseline: float = 0.8) -> DataFrame:
     """df: a stream of (subject_id, event_id, correct)."""
     k = drift_kernel(window, at_least, run, floor, drop, baseline)
     return df.select("subject_id", "event_id", "correct").groupBy("subject_id").applyInPandasWithState(k, DRIFT_SCHEMA, DRIFT_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def drift_table(df: DataFrame, window: int = 20, at_least: int = 10, run: int = 3, floor: float = 0.5, drop: float = 0.25, baseline: float = 0.8) -> DataFrame:
+def drift_table(df: DataFrame, window: int = 20, at_least: int = 10, run: int = 2, floor: float = 0.35, drop: float = 0.15, baseline: float = 0.8) -> DataFrame:
     """The same rows from a table, in SQL windows: what the stream must equal."""
     from pyspark.sql import Window as W
 
@@ -89,7 +89,7 @@ def drift_table(df: DataFrame, window: int = 20, at_least: int = 10, run: int =
     r = df.select("subject_id", "event_id", "correct").withColumn("accuracy", F.when(F.count(F.lit(1)).over(last) >= at_least, F.avg("correct").over(last)))
     means = w.rowsBetween(-(run - 1), 0)
     low = (F.count("accuracy").over(means) == run) & (F.max("accuracy").over(means) < floor)
-    return r.select("subject_id", "event_id", "accuracy", F.lit(baseline).alias("baseline"), F.coalesce(low | (F.col("accuracy") < baseline - drop), F.lit(False)).alias("drift"))
+    return r.select("subject_id", "event_id", "accuracy", F.lit(baseline).alias("baseline"), F.coalesce(low | (F.lit(baseline) - F.col("accuracy") >= drop), F.lit(False)).alias("drift"))
 
 
 RING_SCHEMA = "subject_id long, start long, stop long, total double"

@@ -35,7 +35,7 @@ def test_queries_equal_their_sql(spark, name):
     cols = sorted(got.columns)
     want = con.execute(e.oracle_sql()[name])
     order = [[d[0] for d in want.description].index(c) for c in cols]
-    held = lambda rows: sorted(repr([round(v, 7) if isinstance(v, float) else v for v in r]) for r in rows)
+    held = lambda rows: sorted(repr([round(v, 7) + 0.0 if isinstance(v, float) else v for v in r]) for r in rows)
     assert held(map(tuple, got.select(*cols).collect())) == held([r[i] for i in order] for r in want.fetchall())
 
 

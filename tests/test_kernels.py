@@ -35,10 +35,23 @@ def test_filter_state_continues_a_stream():
     assert np.allclose(np.concatenate((first, dsp.lfilter(b, a, x[:, 120:], z)[0]), 1), whole)
 
 
-def test_wavelets_invert_and_keep_energy():
-    x = np.random.RandomState(1).normal(size=(3, 128))
-    parts = dsp.dwt(x, 3)
-    assert np.allclose(dsp.idwt(parts, 128), x) and np.isclose(sum((p**2).sum() for p in parts), (x**2).sum())
+def test_wavelets_invert_and_mirror_borders():
+    rng = np.random.RandomState(1)
+    for n, levels in ((128, 3), (127, 3), (50, 4)):
+        x = rng.normal(size=(3, n))
+        parts = dsp.dwt(x, levels)
+        sizes = [n]
+        for _ in range(levels):
+            sizes.append((sizes[-1] + 7) // 2)
+        assert [p.shape[-1] for p in parts] == [sizes[-1], *sizes[:0:-1]] and np.allclose(dsp.idwt(parts, n), x)
+    quiet = np.zeros(256)  # silent borders: mirroring adds nothing, so the transform is orthogonal
+    quiet[100:156] = rng.normal(size=56)
+    assert np.isclose(sum((p**2).sum() for p in dsp.dwt(quiet, 3)), (quiet**2).sum())
+    flat = dsp.dwt(np.full(32, 3.0), 1)  # a mirrored constant stays one
+    assert np.allclose(flat[0], 3.0 * np.sqrt(2)) and np.allclose(flat[1], 0)
+
+
+def test_wavelets_remove_noise():
     noisy = np.sin(2 * np.pi * 3 * np.arange(512) / 512) + 0.2 * np.random.RandomState(2).normal(size=512)
     clean = np.sin(2 * np.pi * 3 * np.arange(512) / 512)
     assert ((dsp.wavelet_denoise(noisy) - clean) ** 2).mean() < ((noisy - clean) ** 2).mean()

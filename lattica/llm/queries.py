@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, fingerprint, jaccard_join, mixing, piece_count, quality, suffix_dedup, top_k, url_filter, warc
+from lattica.llm import bpe, fill_middle, fingerprint, jaccard_join, mixing, personal_data, piece_count, quality, suffix_dedup, tandem_runs, top_k, url_filter, warc
 from lattica.llm.util import scratch
 
 
@@ -76,6 +78,29 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.component_report(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op11_fill_middle(spark, sf_dir):
+    return fill_middle.report(table(spark, sf_dir, "documents"), fill_middle.Transform(seed=7, rate=100, spm=50))
+
+
+def repeated_tail(doc_id: bytes, words: list[bytes]) -> list[bytes]:
+    """Of every tenth id (by crc32) the words from a place on repeat a piece of them; a null id counts as no digits."""
+    h, n = zlib.crc32(doc_id), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * -(-(n - a) // p))[: n - a]
+
+
+def op12_tandem_runs(spark, sf_dir):
+    return tandem_runs.report(table(spark, sf_dir, "documents"), least=24, exponent=3, edit=repeated_tail)
+
+
+def op13_personal_data(spark, sf_dir):
+    return personal_data.report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -176,6 +201,9 @@ QUERIES = {
     "op8_fingerprint": op8_fingerprint,
     "op9_url_filter": op9_url_filter,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_tandem_runs": op12_tandem_runs,
+    "op13_personal_data": op13_personal_data,
     "pipeline": pipeline,
 }
 

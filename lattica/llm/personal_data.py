@@ -5,7 +5,7 @@
 3. A boosted ensemble a kind scores a candidate by its format (form, checks, digits, groups) and context (characters at its sides, words before it). Nothing is labelled, so the corpus labels itself: base spans
    are examples, each also as if written in the other forms of its kind, in its own context; what generators propose in the wild counts against, as do base spans of another kind. A form that is common in the wild without looking like the base spans is
    so not believed. Trees are grown from sums of gradients by (node, feature, value), in whole millionths, so results don't depend on the order of rows.
-4. On documents held out of the fit, the least score at which ``PRECISION`` of the examples and candidates in other forms are examples is the kind's threshold; a kind without enough examples adds nothing.
+4. On documents held out of the fit, the least score at which ``SHARE`` of the examples and candidates in other forms are examples is the kind's threshold; a kind without enough examples adds nothing.
    A selected candidate passes its kind's check and has digits grouped as some examples have. Of overlapping selected candidates of different kinds the better one stays.
 
 Texts are scanned once; candidates with whole-number features are a small table in the shared folder. The fit reads distinct patterns of features, at most ``PATTERNS`` of them.
@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 
 from lattica.llm.util import Tables, quoted
 
-#: Bounds of the fit: distinct patterns read (those of the least hashes), rounds, levels of a tree, step, weight a leaf holds at least.
-PATTERNS, ROUNDS, DEPTH, RATE, LEAST_LEAF = 50_000, 12, 2, 0.5, 8
-#: Share of examples among what a threshold lets pass on held-out documents, and how many it needs to be believed.
-PRECISION, LEAST_EXAMPLES = 0.98, 20
+#: Bounds of the fit: distinct patterns read (those of the least hashes), rounds, levels of a tree, step, weight a leaf holds at least, gain of a split.
+PATTERNS, ROUNDS, DEPTH, RATE, LEAST_LEAF, LEAST_GAIN = 50_000, 8, 2, 0.7, 8, 1.0
+#: Share of examples among what a threshold lets pass on held-out documents, and how many it needs to be believed. What passes in the wild may be real, so the share is no precision: it bounds how common
+#: a form may be beside the base spans.
+SHARE, LEAST_EXAMPLES = 0.8, 20
 #: One in so many documents is held out of the fit.
 HELD_OUT = 4
 #: Characters of context on either side.
@@ -110,7 +111,7 @@ KINDS = (
     ),
 )
 #: Features in order; each is a small whole number.
-FEATURES = ("form", "sound", "n_digits", "groups", "longest", "lead", "left", "right", "cue", "separators")
+FEATURES = ("form", "sound", "n_digits", "groups", "longest", "lead", "left", "right", "cue")
 
 
 def running(values: Column) -> Column:
@@ -159,11 +160,10 @@ def features(kind: Kind, s: Column, base: bool) -> list[Column]:
         F.least(F.length(digits_of(m)), F.lit(20)),
         F.least(F.size(groups), F.lit(6)),
         F.least(F.array_max(F.transform(groups, F.length)), F.lit(20)),
-        F.coalesce(F.regexp_extract(m, "([0-9])", 1).try_cast("int"), F.lit(-1)),
+        F.coalesce(F.regexp_extract(m, "([0-9])", 1).try_cast("int"), F.lit(-1)) if kind.name == "card" else F.lit(-1),
         side(F.right(s["before"], F.lit(1))),
         side(F.left(s["after"], F.lit(1))),
         F.when(near.rlike(f"(?:{kind.cues})[^.!?]*$"), 1).when(near.rlike(f"(?:{others})[^.!?]*$"), 2).otherwise(0),
-        F.least(F.size(F.array_distinct(F.split(F.regexp_replace(m, "[A-Za-z0-9]+", ""), ""))), F.lit(4)),
     ]
 
 
@@ -227,23 +227,20 @@ class Model:
     threshold: dict[int, float | None] = field(default_factory=dict)
     shapes: dict[int, list[int]] = field(default_factory=dict)
 
-    def score(self, kind: Column, f: Column) -> Column:
-        out = F.lit(0.0)
-        for k, at in self.start.items():
-            total = F.lit(at)
-            for levels, leaves in self.trees[k]:
-                total = total + _leaf(levels, leaves, f)
-            out = F.when(kind == k, total).otherwise(out)
-        return out
-
-    def selects(self, kind: Column, f: Column) -> Column:
-        """The score where it reaches the kind's threshold, the kind's check is passed and examples have such a shape, else null: trees don't speak of shapes they haven't seen."""
-        out = F.lit(None).cast("double")
+    def score(self) -> Column:
+        """Of the columns kind and f. As SQL text: a tree has many small parts, and text reaches the engine in one piece."""
+        held = [f"WHEN {k} THEN {' + '.join([repr(at) + 'D', *[_leaf(*tree) for tree in self.trees[k]]])}" for k, at in self.start.items()]
+        if not held:
+            return F.lit(0.0)
+        return F.expr(f"CASE kind {' '.join(held)} ELSE 0D END")
+
+    def selects(self) -> Column:
+        """Of the columns kind, f and score: whether the score reaches the kind's threshold, the kind's check is passed and examples have such a shape. Trees don't speak of shapes they haven't seen."""
+        out = F.lit(False)
         for k, least in self.threshold.items():
             if least is not None:
-                known = F.array_contains(F.array(*[F.lit(x) for x in self.shapes[k]]), shape(f))
-                out = F.when((kind == k) & (F.get(f, F.lit(FEATURES.index("sound"))) == 1) & known, let(self.score(kind, f), lambda s, least=least: F.when(s >= least, s))).otherwise(out)
-        return out
+                out = out | ((F.col("kind") == k) & (F.col("score") >= least) & shape(F.col("f")).isin(self.shapes[k]))
+        return out & (F.get("f", F.lit(FEATURES.index("sound"))) == 1)
 
 
 def shape(f: Column) -> Column:
@@ -252,37 +249,46 @@ def shape(f: Column) -> Column:
     return at[0] * 1000 + at[1] * 100 + at[2]
 
 
-def _goes_right(split: Split, f: Column) -> Column:
-    return F.get(f, F.lit(split[0])) > split[1]
+def _goes_right(split: Split) -> str:
+    return f"get(f, {split[0]}) > {split[1]}"
 
 
-def _node(levels: list[list[Split]], f: Column) -> Column:
+def _node(levels: list[list[Split]]) -> str:
     """The number of the node that a candidate reaches below the levels so far."""
-    at = F.lit(0)
+    at = "0"
     for splits in levels:
-        turn = F.lit(0)
-        for k, split in enumerate(splits):
-            turn = F.when(at == k, _goes_right(split, f).cast("int")).otherwise(turn)
-        at = at * 2 + turn
+        turns = " ".join(f"WHEN {k} THEN int({_goes_right(split)})" for k, split in enumerate(splits))
+        at = f"(2 * {at} + CASE {at} {turns} END)"
     return at
 
 
-def _leaf(levels: list[list[Split]], leaves: list[float], f: Column) -> Column:
-    def below(level: int, k: int) -> Column:
-        if level == len(levels):
-            return F.lit(leaves[k])
-        return F.when(_goes_right(levels[level][k], f), below(level + 1, 2 * k + 1)).otherwise(below(level + 1, 2 * k))
+def _leaf(levels: list[list[Split]], leaves: list[float], level: int = 0, k: int = 0) -> str:
+    if level == len(levels):
+        return f"{leaves[k]!r}D"
+    return f"IF({_goes_right(levels[level][k])}, {_leaf(levels, leaves, level + 1, 2 * k + 1)}, {_leaf(levels, leaves, level + 1, 2 * k)})"
+
+
+def _as(f: Column, **new: Column) -> Column:
+    """Features with some of them replaced."""
+    return F.array(*[new.get(name, F.get(f, F.lit(k))).cast("int") for k, name in enumerate(FEATURES)])
 
-    return below(0, 0)
+
+def _written(kind: Column, f: Column) -> Column:
+    """A base span's features as it stands, and as if written in the other forms of its kind: digits in fours for a card, without the country's number for a phone."""
+    n, groups = F.get(f, F.lit(FEATURES.index("n_digits"))), F.get(f, F.lit(FEATURES.index("groups")))
+    also = {"card": _as(f, form=F.lit(1), groups=F.ceil(n / 4), longest=F.lit(4)), "phone": _as(f, form=F.lit(1), n_digits=n - 1, groups=F.greatest(groups - 1, F.lit(1)))}
+    out = F.array(f)
+    for k, held in enumerate(KINDS):
+        forms = [_as(f, form=F.lit(v)) for v in held.forms] + ([also[held.name]] if held.name in also else [])
+        out = F.when(kind == k, F.array(f, *forms)).otherwise(out)
+    return out
 
 
 def examples(rows: DataFrame) -> DataFrame:
     """(kind, f, held, yes, no): distinct patterns of features with counts. A base span is an example in its own form and in each other form of its kind."""
-    forms = F.create_map(*[x for k, kind in enumerate(KINDS) for x in (F.lit(k), F.array(*[F.lit(v) for v in (0, *kind.forms)]))])
-    shown = F.explode(F.when(F.col("base"), forms[F.col("kind")]).otherwise(F.array(F.get("f", F.lit(0)))))
-    f = F.concat(F.array("form"), F.slice("f", 2, len(FEATURES) - 1))
     held = F.pmod(F.xxhash64("n", F.lit("held")), F.lit(HELD_OUT)) == 0
-    named = rows.select("kind", "f", "base", held.alias("held"), shown.alias("form")).select("kind", f.alias("f"), "base", "held")
+    shown = F.explode(F.when(F.col("base"), _written(F.col("kind"), F.col("f"))).otherwise(F.array("f")))
+    named = rows.select("kind", shown.alias("f"), "base", held.alias("held"))
     return named.groupBy("kind", "f", "held").agg(F.sum(F.col("base").cast("long")).alias("yes"), F.sum((~F.col("base")).cast("long")).alias("no"))
 
 
@@ -305,17 +311,14 @@ def fit(rows: DataFrame, tables: Tables) -> Model:
 
 def _grow(train: DataFrame, model: Model, kinds: list[int]) -> list[int]:
     """One more tree for each of the kinds, a level a job: sums of gradients by node, feature and value, of which the driver sees a few thousand at most. Returns the kinds whose tree splits."""
-    kind, f = F.col("kind"), F.col("f")
-    p = 1 / (1 + F.exp(-model.score(kind, f)))
+    p = 1 / (1 + F.exp(-model.score()))
     weight = F.col("yes") + F.col("no")
     millionths = lambda x: F.round(x * 1_000_000).cast("long")
-    base = train.filter(kind.isin(kinds)).withColumn("p", p).select("kind", "f", weight.alias("w"), millionths(F.col("yes") - weight * F.col("p")).alias("g"), millionths(weight * F.col("p") * (1 - F.col("p"))).alias("h"))
+    base = train.filter(F.col("kind").isin(kinds)).withColumn("p", p).select("kind", "f", weight.alias("w"), millionths(F.col("yes") - weight * F.col("p")).alias("g"), millionths(weight * F.col("p") * (1 - F.col("p"))).alias("h"))
     levels: dict[int, list[list[Split]]] = {k: [] for k in kinds}
     leaves: dict[int, list[float]] = {}
     for depth in range(DEPTH):
-        node = F.lit(0)
-        for k, held in levels.items():
-            node = F.when(kind == k, _node(held, f)).otherwise(node)
+        node = F.expr(f"CASE kind {' '.join(f'WHEN {k} THEN {_node(held)}' for k, held in levels.items())} END")
         sums = base.select("kind", node.alias("node"), F.posexplode("f").alias("feature", "value"), "w", "g", "h").groupBy("kind", "node", "feature", "value").agg(F.sum("w").alias("w"), F.sum("g").alias("g"), F.sum("h").alias("h"))
         held = defaultdict(list)
         for r in sums.collect():
@@ -340,7 +343,7 @@ def _best(kind: int, node: int, held: dict) -> tuple[Split, list[float]]:
     value = lambda g, h: round(RATE * g / (h + 1), 9)
     whole = held.get((kind, node, 0), [])
     w, g, h = (sum(x[i] for x in whole) for i in (1, 2, 3))
-    best, gain, sides = UNSPLIT, 1e-6, [value(g, h), 0.0]
+    best, gain, sides = UNSPLIT, LEAST_GAIN, [value(g, h), 0.0]
     for feature in range(len(FEATURES)):
         left = [0, 0.0, 0.0]
         for v, dw, dg, dh in sorted(held.get((kind, node, feature), [])):
@@ -357,19 +360,19 @@ def _calibrate(patterns: DataFrame, model: Model) -> None:
     if not model.start:
         return
     other = patterns.filter(F.col("held") & (F.get("f", F.lit(0)) > 0) & F.col("kind").isin(list(model.start)))
-    curve = other.groupBy("kind", F.floor(16 * model.score(F.col("kind"), F.col("f"))).alias("step")).agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect()
+    curve = other.groupBy("kind", F.floor(16 * model.score()).alias("step")).agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect()
     for k in model.start:
         yes = no = 0
         model.threshold[k] = None
         for r in sorted((r for r in curve if r["kind"] == k), key=lambda r: -r["step"]):
             yes, no = yes + r["yes"], no + r["no"]
-            if yes >= LEAST_EXAMPLES and yes >= PRECISION * (yes + no) and r["step"] > 0 and k in model.shapes:
+            if yes >= LEAST_EXAMPLES and yes >= SHARE * (yes + no) and r["step"] > 0 and k in model.shapes:
                 model.threshold[k] = r["step"] / 16
 
 
-def added(rows: DataFrame, model: Model) -> DataFrame:
-    """(n, added): the proposed spans that the model selects. Beside the nearest overlapping one of another kind on either side only the better one stays (ties: the kind listed first)."""
-    picked = rows.filter(~F.col("base") & F.col("free")).select("n", "kind", "start", "stop", model.selects(F.col("kind"), F.col("f")).alias("score")).filter(F.col("score").isNotNull())
+def added(scored: DataFrame, model: Model) -> DataFrame:
+    """Of proposed spans with scores: (n, added): the proposed spans that the model selects. Beside the nearest overlapping one of another kind on either side only the better one stays (ties: the kind listed first)."""
+    picked = scored.filter(model.selects()).select("n", "kind", "start", "stop", "score")
     here = F.struct("start", "stop", "score", (-F.col("kind")).alias("first"))
     forward = W.partitionBy("n").orderBy("start", "kind").rowsBetween(W.unboundedPreceding, -1)
     backward = W.partitionBy("n").orderBy(F.col("start").desc(), F.col("kind").desc()).rowsBetween(W.unboundedPreceding, -1)
@@ -386,13 +389,15 @@ def added(rows: DataFrame, model: Model) -> DataFrame:
 def detected(df: DataFrame, text: Column, *keep: Column) -> DataFrame:
     """(keep.., base, spans): a row's base spans, and all spans, as (kind, start, stop) in order of kind and start; places are code points, the end exclusive."""
     tables = Tables(df.sparkSession)
-    table = tables.stored(proposed(df, text, *keep), "proposed")
-    rows = tables.stored(candidates(table), "candidates")
+    table = held = tables.stored(proposed(df, text, *keep), "proposed")
+    rows = tables.stored(candidates(held), "candidates")
     model = fit(rows, tables)
     plain = lambda a: F.transform(a, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
     table = table.withColumn("base", plain(F.col("base")))
-    more = tables.stored(added(rows, model), "added").withColumnRenamed("n", "of")
-    tables.drop(*[t for t in tables.paths.values() if t.columns[:1] == ["n"] and "kind" not in t.columns])
+    scored = tables.stored(rows.filter(~F.col("base") & F.col("free")).select("n", "kind", "start", "stop", "f", model.score().alias("score")), "scored")
+    more = tables.stored(added(scored, model), "added")
+    tables.drop(held, more)
+    more = more.withColumnRenamed("n", "of")
     none = F.array().cast("array<struct<kind:int,start:bigint,stop:bigint>>")
     out = table.join(more, F.col("n") == F.col("of"), "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("added", none))))
     return out.drop("n", "wide", "of", "added")
@@ -404,10 +409,14 @@ def listed(spans_: Column) -> Column:
     return F.array_join(F.transform(spans_, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def _of_kind(k: int) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == k
+
+
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans): numbers and digest of the base spans, and all spans listed."""
     out = detected(df, F.col(quoted(text_col)), F.col(quoted(id_col)).alias("id"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind.name}") for k, kind in enumerate(KINDS)]
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{kind.name}") for k, kind in enumerate(KINDS)]
     return out.select(F.col("id").alias(id_col), *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 

@@ -61,7 +61,16 @@ class Lda:
 
     @staticmethod
     def fit(df: DataFrame, shrinkage: float = 0.0, label: str = "label", column: str = "features") -> Lda:
-        sums = gathered(df.filter(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("long")), column, dict, lambda v: np.vstack((np.outer(v, v), v)), label)
+        return Lda.of_sums(gathered(df.filter(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("long")), column, dict, Lda.statistic, label), shrinkage)
+
+    @staticmethod
+    def statistic(v: np.ndarray) -> np.ndarray:
+        """What is added over the rows of a class: the outer product, and the vector."""
+        return np.vstack((np.outer(v, v), v))
+
+    @staticmethod
+    def of_sums(sums: dict, shrinkage: float = 0.0) -> Lda:
+        """From (rows, sum of statistics) by class."""
         classes = sorted(sums)
         n = sum(sums[k][0] for k in classes)
         means = np.stack([sums[k][1][-1] / sums[k][0] for k in classes])
@@ -72,6 +81,12 @@ class Lda:
         prior = np.array([sums[k][0] / n for k in classes])
         return Lda(classes, w, np.log(prior) - 0.5 * (w * means).sum(1))
 
+    def probabilities(self, v: np.ndarray) -> np.ndarray:
+        """Of one vector, by class in order."""
+        s = self.weights @ v + self.biases
+        e = np.exp(s - s.max())
+        return e / e.sum()
+
     def transform(self, df: DataFrame, column: str = "features") -> DataFrame:
         """Dot products in SQL."""
         dots = [F.aggregate(F.zip_with(column, F.array(*[F.lit(float(x)) for x in w]), lambda a, b: a * b), F.lit(float(b)), lambda s, v: s + v) for w, b in zip(self.weights, self.biases, strict=True)]
@@ -90,10 +105,33 @@ class Mdm:
     means: list
 
     @staticmethod
-    def fit(df: DataFrame, label: str = "label", column: str = "features") -> Mdm:
-        sums = gathered(df.filter(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("long")), column, dict, lambda v: linalg.logm(linalg.unpack(v)), label)
+    def fit(df: DataFrame, label: str = "label", column: str = "features", mean: str = "log_euclidean") -> Mdm:
+        """mean: of a class, log_euclidean or riemann."""
+        rows = df.filter(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("long"))
+        if mean == "riemann":
+            from lattica.operators.features import riemann_means
+
+            means = riemann_means(rows, linalg.unpack, column, label)
+            return Mdm(sorted(means), [means[k][1] for k in sorted(means)])
+        return Mdm.of_sums(gathered(rows, column, dict, Mdm.statistic, label))
+
+    @staticmethod
+    def statistic(v: np.ndarray) -> np.ndarray:
+        """What is added over the rows of a class: the logarithm of the matrix."""
+        return linalg.logm(linalg.unpack(v))
+
+    @staticmethod
+    def of_sums(sums: dict) -> Mdm:
+        """From (rows, sum of statistics) by class."""
         return Mdm(sorted(sums), [linalg.expm(sums[k][1] / sums[k][0]) for k in sorted(sums)])
 
+    def probabilities(self, v: np.ndarray) -> np.ndarray:
+        """Of one triangle, by class in order."""
+        c = linalg.unpack(v)
+        d = np.array([linalg.riemann_distance(m, c) for m in self.means])
+        e = np.exp(-(d - d.min()))
+        return e / e.sum()
+
     def transform(self, df: DataFrame, column: str = "features") -> DataFrame:
         means = [np.array(m) for m in self.means]
 

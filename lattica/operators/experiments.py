@@ -19,7 +19,7 @@ from lattica.functions import linalg
 from lattica.functions import metrics as M
 from lattica.functions import ranks
 from lattica.functions.ranks import seeded
-from lattica.operators import adapters, classifiers, features, kernels, selection, splits
+from lattica.operators import adapters, classifiers, features, held_out, kernels, selection, splits
 from lattica.operators.kernels import gathered
 from lattica.session import shared_path
 
@@ -96,24 +96,31 @@ FITS_AT_ONCE = 4
 
 
 def loso(trials: DataFrame, specs: list[Spec], subject: str = "subject_id", label: str = "label") -> DataFrame:
-    """(pipeline, holdout, trial_id, y_true, y_pred, proba) for every spec and every subject held out. All source rows are fitted on.
+    """(pipeline, holdout, trial_id, y_true, y_pred, proba) for every spec and every subject held out. All source rows are fitted on, those without a subject among them; these are never held out.
 
-    Each fold's predictions are written as it is fitted, so the result's plan is a scan, however many folds there are."""
+    Specs whose fits are made of sums (``held_out.plan``) share a fixed number of passes, whatever the number of subjects. Each fold of the others is fitted by itself and its
+    predictions are written, so the result's plan is a scan, however many folds there are."""
     spark = trials.sparkSession
-    subjects = [r[0] for r in trials.select(subject).distinct().orderBy(subject).collect()]
-
-    def held_out(at):
+    summed = [s for s in specs if held_out.plan(s)]
+    others = [s for s in specs if not held_out.plan(s)]
+    out = held_out.predictions(trials, summed, subject, label) if summed else None
+    if not others:
+        return out
+    subjects = [r[0] for r in trials.filter(F.col(subject).isNotNull()).select(subject).distinct().orderBy(subject).collect()]
+
+    def fold(at):
         spec, s = at
-        train, test = trials.filter(F.col(subject) != s), trials.filter(F.col(subject) == s)
+        train, test = trials.filter((F.col(subject) != s) | F.col(subject).isNull()), trials.filter(F.col(subject) == s)
         p = Pipeline(spec).fit(train, test).predict(test)
-        p = p.select(F.lit(spec.name).alias("pipeline"), F.col(subject).alias("holdout"), "trial_id", F.col(label).alias("y_true"), "y_pred", "proba")
+        p = p.select(F.lit(spec.name).alias("pipeline"), F.col(subject).alias("holdout"), "trial_id", F.col(label).alias("y_true"), F.col("y_pred").cast("int").alias("y_pred"), "proba")
         path = shared_path(spark, "fold")
         p.write.parquet(path)
         return path, p.schema
 
     with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        written = list(pool.map(held_out, list(product(specs, subjects))))
-    return spark.read.schema(written[0][1]).parquet(*[path for path, _ in written])
+        written = list(pool.map(fold, list(product(others, subjects))))
+    fits = spark.read.schema(written[0][1]).parquet(*[path for path, _ in written]) if written else None
+    return out if fits is None else fits if out is None else out.unionByName(fits)
 
 
 def subject_table(predictions: DataFrame, classes: int, seconds: float) -> DataFrame:
@@ -126,6 +133,8 @@ def subject_table(predictions: DataFrame, classes: int, seconds: float) -> DataF
 def cross_validated(trials: DataFrame, spec: Spec, k: int = 5, seed: int = 42, label: str = "label", best_so_far: float | None = None) -> list[float]:
     """Accuracies of stratified folds; stops once even perfect folds can't reach ``best_so_far``."""
     folded = splits.stratified_kfold(trials.filter(F.col(label).isNotNull()), "trial_id", label, k, seed)
+    if held_out.plan(spec):
+        return _until_hopeless(_fold_scores(folded, [spec], label)[spec.name], k, best_so_far)
     out: list[float] = []
     for fold in range(k):
         train, test = folded.filter(F.col("fold") != fold).drop("fold"), folded.filter(F.col("fold") == fold).drop("fold")
@@ -136,18 +145,42 @@ def cross_validated(trials: DataFrame, spec: Spec, k: int = 5, seed: int = 42, l
     return out
 
 
+def _fold_scores(folded: DataFrame, specs: list[Spec], label: str) -> dict[str, list[float]]:
+    """By spec the accuracy of each fold, all specs and folds from one set of passes; names must differ."""
+    p = held_out.predictions(folded, specs, "fold", label)
+    got = {(r["pipeline"], r["holdout"]): r["a"] for r in p.groupBy("pipeline", "holdout").agg(F.avg((F.col("y_pred") == F.col("y_true")).cast("double")).alias("a")).collect()}
+    folds = sorted({f for _, f in got})
+    return {s.name: [got.get((s.name, f), 0.0) for f in folds] for s in specs}
+
+
+def _until_hopeless(scores: list[float], k: int, best_so_far: float | None) -> list[float]:
+    """The scores up to the fold after which even perfect ones can't reach ``best_so_far``."""
+    for n in range(1, len(scores) if best_so_far is not None else 0):
+        if selection.early_stop(scores[:n], k, best_so_far):
+            return scores[:n]
+    return scores
+
+
 METRIC_SCHEMA = "pipeline string, accuracy double, kappa double, stability double, latency_ms double, confidence double, train_accuracy double, cv_accuracy double, cv_score_std double, folds_done int, failed boolean, error string"
 
 
 def calibrate(trials: DataFrame, specs: list[Spec], k: int = 5, seed: int = 42, label: str = "label", stop_early: bool = False) -> DataFrame:
-    """pipeline_metrics of each spec: cross-validated and training accuracy, kappa, confidence, stability over chunks, milliseconds a trial. A spec that fails has a row with its error."""
+    """pipeline_metrics of each spec: cross-validated accuracy, and of the model fitted on all trials its accuracy on them (accuracy and train_accuracy alike: no trial is kept from calibration), kappa, confidence,
+    stability over chunks, milliseconds a trial. A spec that fails has a row with its error. Folds of specs that are fitted by sums come from one set of passes for all."""
     from lattica.operators.windows import chunk_stability
 
     rows, best = [], None
     n = max(1, trials.count())
+    summed, at_once = [s for s in specs if held_out.plan(s)], {}
+    if len({s.name for s in summed}) == len(summed) > 0:
+        try:
+            at_once = _fold_scores(splits.stratified_kfold(trials.filter(F.col(label).isNotNull()), "trial_id", label, k, seed), summed, label)
+        except FAILURES:  # one by one below, where the spec that fails is told
+            at_once = {}
     for spec in specs:
         try:
-            cv = cross_validated(trials, spec, k, seed, label, best if stop_early else None)
+            limit = best if stop_early else None
+            cv = _until_hopeless(at_once[spec.name], k, limit) if spec.name in at_once and held_out.plan(spec) else cross_validated(trials, spec, k, seed, label, limit)
             model = Pipeline(spec).fit(trials, trials)
             at = time.perf_counter()
             p = model.predict(trials).select("trial_id", F.col(label).alias("y_true"), "y_pred", "proba").withColumn("run", F.lit(1))

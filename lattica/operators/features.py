@@ -73,26 +73,53 @@ class CspLogVariance:
     filters: np.ndarray
 
     @staticmethod
-    def fit(trials: DataFrame, n: int = 2, both_ends: bool = True, label: str = "label", signal: str = "signal") -> CspLogVariance:
-        """One pair of classes, or each class against the rest for more than two."""
-        sums = gathered(trials, signal, dict, linalg.covariance, label)
-        means = {k: t / m for k, (m, t) in sorted(sums.items())}
-        if len(means) < 2:
-            return CspLogVariance(np.eye(next(iter(means.values())).shape[0]) if means else np.zeros((0, 0)))
-        keys = list(means)
+    def fit(trials: DataFrame, n: int = 2, both_ends: bool = True, label: str = "label", signal: str = "signal", corrected: bool = True) -> CspLogVariance:
+        """2 n filters: of one pair of classes by generalised eigenvectors, of more by joint diagonalisation of all, the most telling first."""
+        return CspLogVariance.of_sums(gathered(trials, signal, dict, linalg.covariance, label), n, both_ends, corrected)
+
+    @staticmethod
+    def of_sums(sums: dict, n: int = 2, both_ends: bool = True, corrected: bool = True) -> CspLogVariance:
+        """From (trials, sum of covariances) by class."""
+        keys = sorted(sums)
+        means = np.stack([sums[k][1] / sums[k][0] for k in keys]) if keys else np.zeros((0, 0, 0))
+        if len(keys) < 2:
+            return CspLogVariance(np.eye(means.shape[-1]))
         if len(keys) == 2:
-            return CspLogVariance(linalg.csp_filters(means[keys[0]], means[keys[1]], n, both_ends))
-        rest = lambda k: sum(t for j, (_, t) in sums.items() if j != k) / sum(m for j, (m, _) in sums.items() if j != k)
-        return CspLogVariance(np.concatenate([linalg.csp_filters(means[k], rest(k), max(1, n // 2), both_ends) for k in keys]))
+            return CspLogVariance(linalg.csp_filters(means[0], means[1], n, both_ends))
+        counts = np.array([sums[k][0] for k in keys], np.float64)
+        return CspLogVariance(linalg.csp_joint(means, counts / counts.sum(), 2 * n, corrected))
 
     def transform(self, trials: DataFrame, signal: str = "signal") -> DataFrame:
         w = self.filters
         return extracted(trials, lambda x: np.log((w @ x).var(-1) + 1e-10), signal)
 
 
+def riemann_means(rows: DataFrame, of: Kernel, column: str = "signal", key: str | None = None, steps: int = 50, tolerance: float = 1e-9) -> dict:
+    """(trials, mean) by key under the affine-invariant distance, None the only key without one: Karcher's fixed point from the log-Euclidean mean. of: a row's array to its matrix.
+
+    A step is one pass that adds the log maps at the present means of all keys; it ends once no key's mean log map is longer than ``tolerance``, or after ``steps`` passes. The trials are never gathered."""
+    named = "_lattica_mean" if key is None else key
+    df = rows.withColumn(named, F.lit(0)) if key is None else rows
+    sums = gathered(df, column, dict, lambda x: linalg.logm(of(x)), named)
+    means = {k: linalg.expm(t / n) for k, (n, t) in sums.items()}
+    counts, moving = {k: n for k, (n, _) in sums.items()}, set(means)
+    for _ in range(steps if means else 0):
+        roots = {k: (linalg.sqrtm(means[k]), linalg.inv_sqrtm(means[k])) for k in moving}
+        live = df.filter(F.col(named).isin(list(moving))) if len(moving) < len(means) else df
+        maps = gathered(live, column, dict, lambda x, k, given: linalg.logm(given[k][1] @ of(x) @ given[k][1]), named, roots)
+        for k, (n, t) in maps.items():
+            t = t / n
+            means[k] = roots[k][0] @ linalg.expm(t) @ roots[k][0]
+            if np.linalg.norm(t) < tolerance:
+                moving.discard(k)
+        if not moving:
+            break
+    return {(None if key is None else k): (counts[k], m) for k, m in means.items()}
+
+
 @dataclass
 class TangentSpace:
-    """Log map at a reference covariance; optional z-score from the training rows."""
+    """Log map at a reference covariance; optional z-score from the training rows. The reference is the log-Euclidean mean, the affine-invariant one ("riemann") or the plain one ("arithmetic")."""
 
     reference: np.ndarray
     kind: str = "oas"
@@ -105,6 +132,8 @@ class TangentSpace:
         if reference == "arithmetic":
             n, total = gathered(trials, signal, dict, cov)
             ref = total / n
+        elif reference == "riemann":
+            _, ref = riemann_means(trials, cov, signal)[None]
         else:
             n, total = gathered(trials, signal, dict, lambda x: linalg.logm(cov(x)))
             ref = linalg.expm(total / n)
@@ -130,14 +159,18 @@ class EuclideanAlignment:
     whiten: dict
 
     @staticmethod
-    def fit(trials: DataFrame, subject: str = "subject_id", target=None, signal: str = "signal") -> EuclideanAlignment:
-        sums = gathered(trials, signal, dict, linalg.covariance, subject)
-        if target is not None and target in sums:
+    def fit(trials: DataFrame, subject: str = "subject_id", target=None, signal: str = "signal", mean: str = "arithmetic") -> EuclideanAlignment:
+        """mean: of a subject's covariances, arithmetic or riemann; that of all subjects is the log-Euclidean or the Riemannian mean of theirs."""
+        if mean == "riemann":
+            means = {k: m for k, (_, m) in riemann_means(trials, linalg.covariance, signal, subject).items()}
+        else:
+            means = {k: t / n for k, (n, t) in gathered(trials, signal, dict, linalg.covariance, subject).items()}
+        if target is not None and target in means:
             raise ValueError(f"subject {target} is held out and must not be fitted on")
-        means = {k: t / n for k, (n, t) in sums.items()}
         out = {k: linalg.inv_sqrtm(m) for k, m in means.items()}
         if means:
-            out[None] = linalg.inv_sqrtm(linalg.log_euclidean_mean(np.stack(list(means.values()))))
+            held = np.stack(list(means.values()))
+            out[None] = linalg.inv_sqrtm(linalg.karcher_mean(held) if mean == "riemann" else linalg.log_euclidean_mean(held))
         return EuclideanAlignment(out)
 
     def transform(self, trials: DataFrame, subject: str = "subject_id", signal: str = "signal") -> DataFrame:
@@ -176,7 +209,7 @@ class FilterBankRiemann:
 
     With ``rsa`` each subject's matrices are first whitened by the subject's mean (by class: by the mean of its class, where every subject has enough trials of each), and with
     ``procrustes`` turned to the eigenbasis of all. The reference of a band is the log-Euclidean mean of the aligned matrices, far subjects discounted and near ones weighted up
-    if asked. At prediction a fitted subject keeps its alignment; any other is whitened by the mean of its own given trials, without labels.
+    if asked. At prediction a fitted subject keeps its alignment; any other, and rows without a subject together, is whitened by the mean of its own given trials, without labels.
     State is a few matrices a subject and band; each step of a fit is one pass that adds matrices."""
 
     fs: float
@@ -279,7 +312,8 @@ class FilterBankRiemann:
         turn = None
         if self.align is not None:
             covs = self._covariances()
-            new = trials.filter(F.col(subject).isNull() | ~F.col(subject).isin(list(self.align)))
+            fitted = [s for s in self.align if s is not None]  # a null in the list would make every answer null
+            new = trials.filter(F.col(subject).isNull() | ~F.col(subject).isin(fitted))
             key = F.coalesce(F.col(subject).cast("string"), F.lit(""))
             sums = gathered(new.withColumn("_lattica_key", key), signal, dict, lambda x: np.stack([linalg.logm(c) for c in covs(x)]), "_lattica_key")
             turn = {str(s): m for s, m in self.align.items()} | {s: [linalg.inv_sqrtm(linalg.expm(t / n)) for t in total] for s, (n, total) in sums.items()}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
@@ -87,7 +88,7 @@ def chain(fs: float, enabled: list[tuple[str, dict]] = (), reference: Kernel | N
 
 
 def _arrays(column: pa.Array) -> list[np.ndarray]:
-    return [np.array(x, np.float64) for x in column.to_pylist()]
+    return _stacked(column)
 
 
 def mapped(trials: DataFrame, kernels: list[Kernel], signal: str = "signal") -> DataFrame:
@@ -150,8 +151,22 @@ def extracted_by(trials: DataFrame, feature: Callable, key: str, signal: str = "
     return trials.mapInArrow(run, StructType([*fields, StructField(name, VECTOR)]))
 
 
+def _stacked(column: pa.Array) -> list[np.ndarray]:
+    """Rows of a column of numbers or (nested) lists as arrays, None for null: the values' buffer is reshaped where all rows have one shape, without a Python number each."""
+    if not isinstance(column.type, pa.ListType):
+        return [None if x is None else np.float64(x) for x in column.to_pylist()]
+    inner, sizes = column, []
+    while isinstance(inner.type, pa.ListType):
+        if inner.null_count or not len(inner) or len(set(size := np.diff(inner.offsets.to_numpy()))) != 1:
+            return [None if x is None else np.array(x, np.float64) for x in column.to_pylist()]
+        sizes.append(int(size[0]))
+        inner = inner.flatten()
+    return list(inner.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(column), *sizes)) if not inner.null_count else [np.array(x, np.float64) for x in column.to_pylist()]
+
+
 def gathered(df: DataFrame, column: str, start: Callable[[], object], add: Callable, label: str | None = None, given: dict | None = None):
-    """Sums an array statistic over all rows: partial sums per task (one row each, per label), added on the driver. For small matrices only. With ``given`` the statistic also gets the row's label and that table."""
+    """Sums an array statistic over all rows, by label where one is named: partial sums a task and label, added entry by entry in Spark; the driver gets one array a label. For small matrices only.
+    With ``given`` the statistic also gets the row's label and that table. Rows whose label or array is null don't count."""
     at = df.columns.index(column)
     label_at = df.columns.index(label) if label else None
     key_type = df.schema[label].dataType if label else LongType()
@@ -161,16 +176,21 @@ def gathered(df: DataFrame, column: str, start: Callable[[], object], add: Calla
         held: dict = {}
         for b in batches:
             keys = b.column(label_at).to_pylist() if label else [0] * b.num_rows
-            for key, x in zip(keys, b.column(at).to_pylist(), strict=True):
+            for key, x in zip(keys, _stacked(b.column(at)), strict=True):
                 if key is not None and x is not None:
                     n, total = held.get(key, (0, None))
-                    v = np.asarray(add(np.array(x, np.float64)) if given is None else add(np.array(x, np.float64), key, given), np.float64)
+                    v = np.asarray(add(x) if given is None else add(x, key, given), np.float64)
                     held[key] = n + 1, v if total is None else total + v
         for key, (n, total) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([n], pa.int64()), pa.array([list(total.shape)], pa.list_(pa.int64())), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["key", "n", "shape", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([n], pa.int64()), pa.array([list(total.shape)], pa.list_(pa.int64())), pa.array([total.ravel()], pa.list_(pa.float64()))], names=["key", "n", "shape", "total"])
 
+    parts = df.mapInArrow(run, f"key {key_type.simpleString()}, n long, shape array<long>, total array<double>")
+    entries = parts.select("key", "shape", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("at"), F.col("n").cast("double").alias("v"))), F.transform("total", lambda v, k: F.struct(k.alias("at"), v.alias("v"))))).alias("e"))
+    sums = entries.groupBy("key", "shape", "e.at").agg(F.sum("e.v").alias("v"))
+    whole = sums.groupBy("key", "shape").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda e: e["v"]).alias("v"))  # a group is one array
     out: dict = {}
-    for r in df.mapInArrow(run, f"key {key_type.simpleString()}, n long, shape array<long>, total array<double>").collect():  # one job: toLocalIterator runs its tasks one after another
-        n, total = out.get(r["key"], (0, 0.0))
-        out[r["key"]] = n + r["n"], total + np.array(r["total"]).reshape(r["shape"])
+    for r in whole.collect():
+        if r["key"] in out:
+            raise ValueError(f"the statistic of {r['key']!r} has more than one shape")
+        out[r["key"]] = int(r["v"][0]), np.array(r["v"][1:]).reshape(r["shape"])
     return out if label else out.get(0, (0, None))

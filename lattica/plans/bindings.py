@@ -29,9 +29,10 @@ def trials(spark, sf) -> DataFrame:
 
 
 def long_trials(spark, sf, n: int = 32) -> DataFrame:
-    """Runs of n trials of a subject end to end, by id: 8 channels by 8 n samples. The last run of a subject, if shorter, is left out."""
+    """Runs of up to n trials of a subject end to end, by id: 8 channels by 8 n samples. A run of fewer trials goes on from its first again, so every trial is in a run and all runs have one length."""
     t = trials(spark, sf).withColumn("run", F.floor(F.col("trial_id") / (SUBJECTS * n)))
-    g = t.groupBy("subject_id", "run").agg(F.array_sort(F.collect_list(F.struct("trial_id", "label", "signal"))).alias("r")).filter(F.size("r") == n)  # n rows
+    g = t.groupBy("subject_id", "run").agg(F.array_sort(F.collect_list(F.struct("trial_id", "label", "signal"))).alias("r"))  # n rows at most
+    g = g.withColumn("r", F.slice(F.flatten(F.array_repeat("r", F.ceil(F.lit(n) / F.size("r")).cast("int"))), 1, n))
     whole = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: F.flatten(F.transform("r", lambda x: F.element_at(x["signal"], (c + 1).cast("int")))))
     return g.select("subject_id", (F.col("run") * SUBJECTS + F.col("subject_id")).alias("trial_id"), F.col("r")[0]["label"].alias("label"), whole.alias("signal"))
 

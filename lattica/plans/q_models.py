@@ -7,6 +7,7 @@ import os
 import numpy as np
 from pyspark.sql import functions as F
 
+from lattica.functions import linalg
 from lattica.functions.dsp import DB4
 from lattica.functions.metrics import accuracy, kappa
 from lattica.operators import adapters as D
@@ -160,6 +161,28 @@ def q_loso_evaluation(spark, sf):
     return X.subject_table(X.loso(t, [X.PRESETS["csp_lda"], X.PRESETS["riemann_mdm"]]), B.CLASSES, 3.0)
 
 
+def q_loso_pair(spark, sf):
+    """A linear discriminant of two components, every subject held out in turn: trials predicted right, by subject."""
+    from lattica.operators import experiments as X
+
+    pair = B.features(spark, sf).select("subject_id", "trial_id", "label", F.array(F.slice("features", 1, 2)).alias("signal"))
+    p = X.loso(pair, [X.Spec("raw", "lda")])
+    return p.groupBy("holdout").agg(F.count("*").alias("n"), F.sum((F.col("y_pred") == F.col("y_true")).cast("long")).alias("n_right"))
+
+
+def q_karcher_mean(spark, sf):
+    """The affine-invariant mean of each class's covariances, a row an entry."""
+    means = E.riemann_means(B.trials(spark, sf), linalg.oas, key="label")
+    rows = [(int(k), n, i, j, round(float(m[i, j]), 7)) for k, (n, m) in sorted(means.items()) for i in range(len(m)) for j in range(len(m))]  # a matrix a class
+    return spark.createDataFrame(rows, "label long, n long, i int, j int, value double")
+
+
+def q_csp_joint(spark, sf):
+    """Log variances behind the filters of all classes at once."""
+    train, test = _halves(B.trials(spark, sf))
+    return _by_dim(E.CspLogVariance.fit(train, 2).transform(test))
+
+
 def q_calibrate(spark, sf):
     """Cross-validated metrics of two pipelines on the table's trials."""
     from lattica.operators import experiments as X
@@ -183,6 +206,9 @@ def q_band_weights(spark, sf):
 
 QUERIES = {
     "loso_evaluation": q_loso_evaluation,
+    "loso_pair": q_loso_pair,
+    "karcher_mean": q_karcher_mean,
+    "csp_joint": q_csp_joint,
     "calibrate": q_calibrate,
     "alignment_diagnostics": q_diagnostics,
     "band_weights": q_band_weights,
@@ -217,6 +243,14 @@ FROM r WINDOW w AS (PARTITION BY subject_id ORDER BY event_id ROWS BETWEEN 1 PRE
 WINDOWS = """WITH w AS (SELECT event_type, time_bucket(INTERVAL '12 hours', ts, TIMESTAMP '1970-01-01') - k * INTERVAL '12 hours' AS s FROM events, range(2) t(k))
 SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, strftime(s + INTERVAL '1 day', '%Y-%m-%d %H:%M') AS "end", event_type, count(*) AS n FROM w GROUP BY ALL"""
 
+LOSO_PAIR = f"""WITH {B.EMB}, e AS (SELECT trial_id, subject_id AS s, label AS c, f[1] AS x, f[2] AS y FROM emb),
+a AS (SELECT s, c, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM e GROUP BY ALL),
+t AS (SELECT h.s, a.c, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(xx) AS xx, sum(xy) AS xy, sum(yy) AS yy FROM (SELECT DISTINCT s FROM e) h JOIN a ON a.s <> h.s GROUP BY ALL),
+p AS (SELECT s, sum(n) AS m, (sum(xx - sx * sx / n)) / (sum(n) - count(*)) + 1e-9 AS p, sum(xy - sx * sy / n) / (sum(n) - count(*)) AS q, sum(yy - sy * sy / n) / (sum(n) - count(*)) + 1e-9 AS r FROM t GROUP BY s),
+w AS (SELECT t.s, c, sx / n AS mx, sy / n AS my, (r * sx / n - q * sy / n) / (p * r - q * q) AS wx, (p * sy / n - q * sx / n) / (p * r - q * q) AS wy, n / m AS prior FROM t JOIN p USING (s)),
+d AS (SELECT e.s, e.trial_id, e.c, w.c AS guess, row_number() OVER (PARTITION BY e.trial_id ORDER BY wx * x + wy * y + ln(prior) - 0.5 * (wx * mx + wy * my) DESC, w.c) AS k FROM e JOIN w USING (s))
+SELECT s AS holdout, count(*) AS n, CAST(sum(CASE WHEN guess = c THEN 1 ELSE 0 END) AS BIGINT) AS n_right FROM d WHERE k = 1 GROUP BY s"""
+
 #: The scaling filter of the wavelet, as SQL.
 _LOW = "[" + ", ".join(f"{v!r}::DOUBLE" for v in DB4.tolist()) + "]"
 _HIGH_SQL = "[" + ", ".join(f"{v!r}::DOUBLE" for v in (DB4[::-1] * ([1, -1] * 4)).tolist()) + "]"
@@ -225,9 +259,9 @@ CHANNELS = B.EMB + ", ch AS (SELECT trial_id, c, list_slice(f, 8 * c + 1, 8 * c
 MIRROR = "x[1 + CASE WHEN 2 * k + j - 6 < 0 THEN 5 - 2 * k - j WHEN 2 * k + j - 6 > 7 THEN 21 - 2 * k - j ELSE 2 * k + j - 6 END]"
 
 ORACLES = {
-    "window_stream": WINDOWS, "drift_table": DRIFT, "drift_stream": DRIFT.replace("round(accuracy, 9)", "accuracy"),
+    "loso_pair": LOSO_PAIR, "window_stream": WINDOWS, "drift_table": DRIFT, "drift_stream": DRIFT.replace("round(accuracy, 9)", "accuracy"),
     "synthetic_trials": "SELECT 1 + k // 20 AS subject_id, k AS trial_id, CAST(k % 20 % 4 AS INTEGER) AS label, CAST(4 AS INTEGER) AS channels FROM range(40) t(k)",
-    "ica": "WITH g AS (SELECT vec_id % 9 AS s, vec_id // 288 AS r FROM embeddings GROUP BY ALL HAVING count(*) = 32) SELECT r * 9 + s AS trial_id, CAST(8 AS INTEGER) AS channels, CAST(256 AS INTEGER) AS samples FROM g",
+    "ica": "WITH g AS (SELECT vec_id % 9 AS s, vec_id // 288 AS r FROM embeddings GROUP BY ALL) SELECT r * 9 + s AS trial_id, CAST(8 AS INTEGER) AS channels, CAST(256 AS INTEGER) AS samples FROM g",
     "psd_bins": f"WITH {CHANNELS}, d AS (SELECT trial_id, c, k, sum(x[i + 1] * cos(2 * pi() * k * i / 8)) AS re, sum(x[i + 1] * sin(2 * pi() * k * i / 8)) AS im FROM ch, range(1, 5) t(k), range(8) u(i) GROUP BY ALL) SELECT trial_id, CAST(4 * c + k - 1 AS INTEGER) AS dim, round(re * re + im * im, 7) AS value FROM d",
     "wavelet_energy": f"WITH {CHANNELS}, w AS (SELECT trial_id, c, h, k, sum({MIRROR} * (CASE WHEN h = 0 THEN {_LOW} ELSE {_HIGH_SQL} END)[j + 1]) AS y FROM ch, range(2) t(h), range(7) u(k), range(8) v(j) GROUP BY ALL) SELECT trial_id, CAST(2 * c + h AS INTEGER) AS dim, round(sum(y * y), 7) AS value FROM w GROUP BY ALL",
     "oas_covariance": f"WITH {CHANNELS}, z AS (SELECT trial_id, c, list_transform(x, lambda v: v - list_avg(x)) AS z FROM ch), s AS (SELECT a.trial_id, a.c AS i, b.c AS j, list_dot_product(a.z, b.z) / 8 AS s FROM z a JOIN z b USING (trial_id)), m AS (SELECT trial_id, sum(CASE WHEN i = j THEN s END) / 8 AS mu, avg(s * s) AS p FROM s GROUP BY 1), q AS (SELECT *, CASE WHEN 9 * (p - mu * mu / 8) = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, (p + mu * mu) / (9 * (p - mu * mu / 8))) END AS q FROM m) SELECT trial_id, CAST(8 * i - i * (i - 1) // 2 + j - i AS INTEGER) AS dim, round((1 - q) * s + CASE WHEN i = j THEN q * mu ELSE 0 END, 7) AS value FROM s JOIN q USING (trial_id) WHERE i <= j",

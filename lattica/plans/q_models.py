@@ -17,6 +17,7 @@ from lattica.operators import kernels as K
 from lattica.plans import bindings as B
 from lattica.session import shared_path
 from lattica.sources import datasets as S
+from lattica.streaming import stateful as T
 from lattica.streaming import streams as R
 
 
@@ -137,6 +138,23 @@ def q_window_stream(spark, sf):
     return t.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm").alias("end"), "event_type", "n")
 
 
+def q_ordered_windows(spark, sf):
+    """Windows of eight events, four apart, of each user in order of time: the share of errors in each. Events in the last hour wait for the watermark."""
+    e = R.timed(_events(spark, sf)).select("user_id", "event_id", "ts", F.array(F.when(F.col("event_type") == "error", 1.0).otherwise(0.0)).alias("x"))
+    w = T.run_once(T.windows(e, 8, 4, lambda x: x.mean(1), key="user_id", number="event_id", values="x", watermark="1 hour"))
+    return w.select("user_id", "start", "stop", F.col("scores")[0].alias("share"))
+
+
+def q_selector_stream(spark, sf):
+    """Each subject's trials, one a second, through online calibration among three candidates, prediction and drift."""
+    path = os.path.join(sf, "embeddings.parquet")
+    schema = spark.read.parquet(path).schema
+    whole = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf) if "://" not in path and os.path.isfile(path) else spark.readStream.schema(schema).parquet(path)
+    t = whole.select((F.col("vec_id") % B.SUBJECTS).alias("subject_id"), F.col("vec_id").alias("trial_id"), F.timestamp_seconds(F.col("vec_id")).alias("ts"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+    candidates = [T.Candidate("all", None, 1.0), T.Candidate("first", list(range(8)), 0.5), T.Candidate("all_shrunk", None, 0.5)]
+    return T.run_once(T.selector(t, candidates, calibrate=20, tick=200)).withColumn("rolling_accuracy", F.round("rolling_accuracy", 9))
+
+
 def q_synthetic(spark, sf):
     return S.synthetic(spark, 2, 20, 4, 100).select("subject_id", "trial_id", "label", F.size("signal").alias("channels"))
 
@@ -229,6 +247,8 @@ QUERIES = {
     "drift_stream": q_drift_stream,
     "drift_table": q_drift_table,
     "window_stream": q_window_stream,
+    "ordered_windows": q_ordered_windows,
+    "selector_stream": q_selector_stream,
     "synthetic_trials": q_synthetic,
     "ica": q_ica,
 }
@@ -243,6 +263,12 @@ FROM r WINDOW w AS (PARTITION BY subject_id ORDER BY event_id ROWS BETWEEN 1 PRE
 WINDOWS = """WITH w AS (SELECT event_type, time_bucket(INTERVAL '12 hours', ts, TIMESTAMP '1970-01-01') - k * INTERVAL '12 hours' AS s FROM events, range(2) t(k))
 SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, strftime(s + INTERVAL '1 day', '%Y-%m-%d %H:%M') AS "end", event_type, count(*) AS n FROM w GROUP BY ALL"""
 
+ORDERED = """WITH e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0 END AS x FROM events),
+n AS (SELECT user_id, x, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) - 1 AS k FROM e WHERE ms <= (SELECT max(ms) - 3600000 FROM e)),
+c AS (SELECT user_id, count(*) AS n FROM n GROUP BY 1),
+w AS (SELECT user_id, 4 * i AS start FROM c, range(1000000) t(i) WHERE i <= (SELECT max(n) FROM c) // 4 AND 4 * i + 8 <= n)
+SELECT w.user_id, start, start + 8 AS stop, avg(x) AS share FROM w JOIN n ON n.user_id = w.user_id AND k >= start AND k < start + 8 GROUP BY ALL"""
+
 LOSO_PAIR = f"""WITH {B.EMB}, e AS (SELECT trial_id, subject_id AS s, label AS c, f[1] AS x, f[2] AS y FROM emb),
 a AS (SELECT s, c, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM e GROUP BY ALL),
 t AS (SELECT h.s, a.c, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(xx) AS xx, sum(xy) AS xy, sum(yy) AS yy FROM (SELECT DISTINCT s FROM e) h JOIN a ON a.s <> h.s GROUP BY ALL),
@@ -259,7 +285,7 @@ CHANNELS = B.EMB + ", ch AS (SELECT trial_id, c, list_slice(f, 8 * c + 1, 8 * c
 MIRROR = "x[1 + CASE WHEN 2 * k + j - 6 < 0 THEN 5 - 2 * k - j WHEN 2 * k + j - 6 > 7 THEN 21 - 2 * k - j ELSE 2 * k + j - 6 END]"
 
 ORACLES = {
-    "loso_pair": LOSO_PAIR, "window_stream": WINDOWS, "drift_table": DRIFT, "drift_stream": DRIFT.replace("round(accuracy, 9)", "accuracy"),
+    "ordered_windows": ORDERED, "loso_pair": LOSO_PAIR, "window_stream": WINDOWS, "drift_table": DRIFT, "drift_stream": DRIFT.replace("round(accuracy, 9)", "accuracy"),
     "synthetic_trials": "SELECT 1 + k // 20 AS subject_id, k AS trial_id, CAST(k % 20 % 4 AS INTEGER) AS label, CAST(4 AS INTEGER) AS channels FROM range(40) t(k)",
     "ica": "WITH g AS (SELECT vec_id % 9 AS s, vec_id // 288 AS r FROM embeddings GROUP BY ALL) SELECT r * 9 + s AS trial_id, CAST(8 AS INTEGER) AS channels, CAST(256 AS INTEGER) AS samples FROM g",
     "psd_bins": f"WITH {CHANNELS}, d AS (SELECT trial_id, c, k, sum(x[i + 1] * cos(2 * pi() * k * i / 8)) AS re, sum(x[i + 1] * sin(2 * pi() * k * i / 8)) AS im FROM ch, range(1, 5) t(k), range(8) u(i) GROUP BY ALL) SELECT trial_id, CAST(4 * c + k - 1 AS INTEGER) AS dim, round(re * re + im * im, 7) AS value FROM d",

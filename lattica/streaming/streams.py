@@ -51,10 +51,11 @@ DRIFT_STATE = "outcomes array<double>, rolling array<double>, last long"
 def drift_kernel(window: int, at_least: int, run: int, floor: float, drop: float, baseline: float) -> Callable:
     """Per subject: the mean of the last ``window`` outcomes; drift where the last ``run`` means are all below ``floor`` or the mean is ``drop`` below the baseline.
 
-    The state is two bounded lists, carried across micro-batches; rows of a batch are put in order of event_id first, and rows at or before the last one seen are left out."""
+    The state is two bounded lists, carried across micro-batches; rows of a batch are put in order of event_id first, and rows at or before the last one seen are left out
+    (``stateful`` has processors that put late rows in order)."""
 
     def kernel(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        outcomes, rolling, last = ([list(x) if isinstance(x, (list, tuple)) or hasattr(x, "__iter__") else x for x in state.get] if state.exists else [[], [], -1])
+        outcomes, rolling, last = ([list(x) if isinstance(x, (list, tuple)) or hasattr(x, "__iter__") else x for x in state.get] if state.exists else [[], [], -(1 << 63)])
         rows = pd.concat(list(batches)).sort_values("event_id", kind="stable")
         out = []
         for event_id, correct in zip(rows["event_id"], rows["correct"], strict=True):
@@ -93,21 +94,23 @@ def drift_table(df: DataFrame, window: int = 20, at_least: int = 10, run: int =
 
 
 RING_SCHEMA = "subject_id long, start long, stop long, total double"
-RING_STATE = "first long, samples array<double>"
+RING_STATE = "first long, skip long, samples array<double>"
 
 
 def ring_kernel(window: int, step: int) -> Callable:
-    """Per subject: full windows of the newest samples, each ``step`` after the one before; the state holds the samples not yet behind every window."""
+    """Per subject: full windows of the newest samples, each ``step`` after the one before; the state holds the samples not yet behind every window, and how many of those to come lie between windows."""
 
     def kernel(key, batches, state: GroupState):
-        first, held = (state.get[0], list(state.get[1])) if state.exists else (0, [])
+        first, skip, held = (state.get[0], state.get[1], list(state.get[2])) if state.exists else (0, 0, [])
         rows = pd.concat(list(batches)).sort_values("idx", kind="stable")
-        held += [float(v) for v in rows["value"]]
+        new = [float(v) for v in rows["value"]]
+        held, skip = held + new[skip:], max(0, skip - len(new))
         out = []
         while len(held) >= window:
             out.append((key[0], first, first + window, sum(held[:window])))
+            skip = max(0, step - len(held))
             held, first = held[step:], first + step
-        state.update((first, held))
+        state.update((first, skip, held))
         yield pd.DataFrame(out, columns=["subject_id", "start", "stop", "total"])
 
     return kernel
@@ -184,7 +187,12 @@ def publish(stream: DataFrame, subscribers: dict[str, Callable[[DataFrame, int],
 
 
 def feedback(predictions: DataFrame, corrections: DataFrame, key: str = "trial_id", within: str = "1 hour") -> DataFrame:
-    """Predictions meet their corrections: a stream-stream join on the trial, bounded in time (both have ts)."""
-    p, c = predictions.withWatermark("ts", within).alias("p"), corrections.withWatermark("ts", within).alias("c")
-    near = F.col("c.ts").between(F.col("p.ts"), F.col("p.ts") + F.expr(f"interval {within}"))
-    return p.join(c, (F.col(f"p.{key}") == F.col(f"c.{key}")) & near)
+    """Every prediction once, with its correction or without: (key, ts, predicted, corrected, corrected_ts, right). A stream-stream outer join on the trial, bounded in time.
+
+    predictions: (key, ts, predicted); corrections: (key, ts, corrected), taken up to ``within`` after the prediction. A prediction without one comes out, with nulls, once the watermark has passed
+    that time; its state goes then, and a correction's too, so each is handed on once. Of several corrections of a trial each comes out."""
+    p = predictions.select(F.col(key), "ts", "predicted").withWatermark("ts", within)
+    c = corrections.select(F.col(key).alias("_key"), F.col("ts").alias("corrected_ts"), "corrected").withWatermark("corrected_ts", within)
+    near = F.col("corrected_ts").between(F.col("ts"), F.col("ts") + F.expr(f"interval {within}"))
+    out = p.join(c, (F.col(key) == F.col("_key")) & near, "leftOuter")
+    return out.select(key, "ts", "predicted", "corrected", "corrected_ts", (F.col("predicted") == F.col("corrected")).alias("right"))

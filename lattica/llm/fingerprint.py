@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.util import Tables
 
-#: Neighbours are searched in ranges of ids of about so many rows: quantiles cut all ids into MOST_CELLS cells at most, each cell is cut evenly into as many ranges as it needs.
+#: Neighbours are searched in ranges of ids of about so many rows: quantiles cut all ids into MOST_CELLS cells at most, each cell is cut at its own quantiles into as many ranges as it needs.
 ROWS_PER_RANGE, MOST_CELLS = 20_000, 4096
 #: Ranges whose first ids are broadcast at most; more are joined.
 BROADCAST_RANGES = 100_000
@@ -71,37 +71,47 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select(F.col("id").alias(id_col), F.col("hash").alias("fingerprint"))
 
 
-def ranges(df: DataFrame, id_col: str) -> tuple[Column, int]:
-    """An expression for the range of an id, in order of ids, and the number of ranges in a cell. As many ranges as rows need; null ids are in the first.
+def _quantiles(n: int) -> list[float]:
+    return [i / n for i in range(1, n)]
 
-    Quantiles bound the cells: at most MOST_CELLS numbers go to the driver, whatever the size. An id finds its cell by two short searches of about the root of that number."""
+
+def _placed(x: Column, bounds: Column, n: int) -> Column:
+    """How many of at most n sorted bounds are no greater than x: two short searches of about the root of that number."""
+    step = max(1, int(n**0.5))
+    upto = lambda held: F.array_size(F.filter(held, lambda b: b <= x))
+    coarse = upto(F.filter(bounds, lambda b, k: (k + 1) % step == 0)) if n > 1 else F.lit(0)
+    return coarse * step + upto(F.slice(bounds, coarse * step + 1, F.lit(step)))
+
+
+def ranged(df: DataFrame, id_col: str, tables: Tables) -> tuple[DataFrame, int]:
+    """The rows with the range of their id, r, in order of ids, and the number of ranges in a cell. As many ranges as rows need; null ids are in the first.
+
+    Quantiles of all ids bound the cells; at most MOST_CELLS numbers go to the driver. Where rows need more ranges than that, each cell is cut at quantiles of its own ids, so gaps in the
+    ids make no range longer; the cells' bounds are a table, joined by cell."""
     n = df.count()
     k = int(min(MOST_CELLS, max(1, n // ROWS_PER_RANGE, min(48, n // 64))))
-    if k < 2:
-        return F.lit(0).cast("long"), 1
-    low, high, bounds = df.agg(F.min(id_col), F.max(id_col), F.percentile_approx(id_col, [i / k for i in range(1, k)], 10_000)).first()
-    bounds = sorted(set(bounds or []))
-    if not bounds:
-        return F.lit(0).cast("long"), 1
-    cuts = max(1, -(-n // (k * ROWS_PER_RANGE)))
-    step = max(1, int(len(bounds) ** 0.5))
+    bounds = sorted(set(df.agg(F.percentile_approx(id_col, _quantiles(k), 10_000)).first()[0] or [])) if k > 1 else []
     x = F.col(id_col)
-    upto = lambda held: F.array_size(F.filter(held, lambda b: b <= x))
-    array = lambda held: F.array(*[F.lit(b) for b in held])
-    coarse = upto(array(bounds[step - 1 :: step]))
-    cell = coarse * step + upto(F.slice(array(bounds), coarse * step + 1, step))
+    cell = F.coalesce(_placed(x, F.array(*[F.lit(b) for b in bounds]), len(bounds)), F.lit(0)).cast("long") if bounds else F.lit(0).cast("long")
+    cuts = max(1, -(-n // (k * ROWS_PER_RANGE)))
     if cuts == 1:
-        return F.coalesce(cell, F.lit(0)).cast("long"), 1
-    a, b = (F.element_at(array(held), (cell + 1).cast("int")).cast("double") for held in ([low, *bounds], [*bounds, high]))
-    inner = F.when(b > a, F.floor((x.cast("double") - a) / (b - a) * cuts)).otherwise(F.lit(0))
-    return F.coalesce(cell * cuts + F.greatest(F.lit(0), F.least(F.lit(cuts - 1), inner)), F.lit(0)).cast("long"), cuts
+        return df.withColumn("r", cell), 1
+    inner = df.select(cell.alias("of"), id_col).groupBy("of").agg(F.array_sort(F.array_distinct(F.percentile_approx(id_col, _quantiles(cuts), 10 * cuts))).alias("cut_at"))
+    inner = tables.stored(inner, "cuts")
+    few = inner.count() * cuts <= BROADCAST_RANGES
+    rows = df.withColumn("cell", cell).join(F.broadcast(inner) if few else inner, F.col("cell") == F.col("of"))
+    within = F.coalesce(_placed(x, F.col("cut_at"), cuts), F.lit(0)).cast("long")
+    return rows.withColumn("r", F.col("cell") * cuts + within).drop("cell", "of", "cut_at"), cuts
 
 
 def _edited(texts: DataFrame, tables: Tables, wide: bool) -> DataFrame:
     """(id, t, h, edited, ce, he, next) for texts (id, t): own hash, the edited text, its canonical form and hash, and the next document's (t, h). With ``wide`` also the SHA-256 s and se of the canonical forms, and next's."""
-    bucket, cuts = ranges(texts, "id")
-    rows = texts.withColumn("r", bucket)
-    of = lambda df: df.withColumn("h", wide_hash(canonical(F.col("t")))).withColumn("s", F.sha2(canonical(F.col("t")), 256) if wide else F.lit(""))
+    rows, cuts = ranged(texts, "id", tables)
+
+    def of(df: DataFrame) -> DataFrame:
+        """The canonical form is a column before it is hashed: a hash names its argument several times, and Spark doesn't share calls that it holds to be nondeterministic."""
+        return df.withColumn("c", canonical(F.col("t"))).withColumn("h", wide_hash(F.col("c"))).withColumn("s", F.sha2("c", 256) if wide else F.lit("")).drop("c")
+
     least = F.min(F.struct(F.col("id").isNotNull().alias("k"), F.col("id").alias("i")))
     first = tables.stored(rows.groupBy("r").agg(least.alias("h")).select(F.col("r").alias("of"), F.col("h.i").alias("i")), "ranges")
     few = first.count() <= BROADCAST_RANGES

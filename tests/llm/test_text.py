@@ -243,3 +243,31 @@ def test_pairs_explain_what_single_features_cannot():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
     m = quality.fit(x, y)
     assert ((m.score(x) >= 0.5) == y).mean() > 0.9 and any({i, j} == {0, 1} for i, j, _ in m.pairs)
+
+
+def test_ranges_of_ids_with_gaps_are_alike_in_size(spark, monkeypatch):
+    """Four cells; the ids of a cell lie at both ends of a gap of 1e12, and most of them at one."""
+    from lattica.llm.util import Tables
+
+    monkeypatch.setattr(fingerprint, "ROWS_PER_RANGE", 50)
+    monkeypatch.setattr(fingerprint, "MOST_CELLS", 4)
+    rng = random.Random(4)
+    ids = [k if k % 50 else k + 10**12 for k in range(2000)] + [10**15 + k for k in range(400)]
+    rng.shuffle(ids)
+    df = spark.createDataFrame([(i, str(i)) for i in ids] + [(None, "x")], "id long, t string")
+    tables = Tables(spark)
+    rows, cuts = fingerprint.ranged(df, "id", tables)
+    held = {}
+    for r in rows.collect():
+        held.setdefault(r["r"], []).append(r["id"] if r["id"] is not None else -1)
+    assert cuts == 13 and sum(map(len, held.values())) == 2401 and max(map(len, held.values())) <= 120
+    order = [x for k in sorted(held) for x in sorted(held[k])]
+    assert order == sorted(order)
+    report = fingerprint.edit_report(df.filter("id IS NOT NULL"), "id", "t").withColumnRenamed("id", "doc_id")
+    check_edits(report.collect(), [(i, str(i)) for i in ids])
+
+
+def test_a_text_is_made_canonical_once_for_its_hash(spark):
+    df = spark.createDataFrame([(1, "é")], "id long, t string")
+    hashed = df.select("id", fingerprint.canonical(F.col("t")).alias("c")).select("id", fingerprint.wide_hash(F.col("c")))
+    assert hashed._jdf.queryExecution().optimizedPlan().toString().count("reflect(") == 3

@@ -214,7 +214,7 @@ def tree_pairs(size, sig, other_size=None, other_sig=None, percent: int = 85, ne
 
 
 def group_pairs(size: np.ndarray, sigs: list[np.ndarray], percent: int, near: bool = False):
-    """Index pairs of a group that signatures leave. Documents are put together by the width of their signatures, each width with itself and the next.
+    """Index pairs of a group that signatures leave. Documents are put together by the width of their signatures, each width with itself and those as wide as the similarity allows.
     With ``near`` each width with itself, leaves with their neighbours; documents are then in order of the first bits, which near copies share, and of size."""
     width = np.array([len(s) for s in sigs])
     by, out = {}, []
@@ -230,10 +230,13 @@ def group_pairs(size: np.ndarray, sigs: list[np.ndarray], percent: int, near: bo
             o = np.lexsort((size[i], s[:, 0]))
             p = tree_pairs(size[i][o], s[o], percent=percent, near=True)
             out.append(np.column_stack((i[o][p[:, 0]], i[o][p[:, 1]])))
-        if 2 * w in by and not near:
-            j, t = by[2 * w]
-            p = tree_pairs(size[i], s, size[j], folded(t, w), percent)
-            out.append(np.column_stack((i[p[:, 0]], j[p[:, 1]])))
+        wider = 2
+        while (wider == 2 or wider * percent < 200) and not near:  # of two similar sets the larger has 100 / percent times the grams at most
+            if wider * w in by:
+                j, t = by[wider * w]
+                p = tree_pairs(size[i], s, size[j], folded(t, w), percent)
+                out.append(np.column_stack((i[p[:, 0]], j[p[:, 1]])))
+            wider *= 2
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 

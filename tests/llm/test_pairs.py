@@ -374,3 +374,25 @@ def test_pipeline_stages_keep_columns(spark):
         n = docs.count()
     assert docs.columns == [*columns, "n_tokens", "ids"] and n > 0
     assert docs.filter("size(array()) <> 0 OR length(ids) <> 4 * n_tokens").count() == 0
+
+
+@pytest.mark.parametrize("percent", [10, 20, 34, 50, 85])
+def test_pairs_of_sets_of_unlike_sizes(percent):
+    """A small set within larger ones: signatures of all widths that the similarity allows meet."""
+    rng = np.random.RandomState(percent)
+    pool = rng.randint(1, 2**63 - 1, 400, np.int64).astype(np.uint64)
+    sets = [pool[:n] for n in (4, 8, 9, 16, 32, 33, 64, 100, 200, 400)] + [rng.choice(pool, n, replace=False) for n in (8, 30, 120)]
+    size = np.array([len(s) for s in sets])
+    got = {tuple(sorted(p)) for p in jaccard_join.group_pairs(size, [jaccard_join.signature(s) for s in sets], percent).tolist()}
+    held = [set(s.tolist()) for s in sets]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(held[i] & held[j]) >= percent * len(held[i] | held[j])}
+    assert want and want <= got
+
+
+def test_components_of_low_similarity(spark):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[:n])) for k, n in enumerate((8, 32, 100, 350))] + [(10 + k, " ".join(rng.sample(words, 30))) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.component_report(df, words=2, percent=20).collect()}
+    assert got == brute_components(rows, 2, 20) and {got[k][1] for k in range(4)} == {0}

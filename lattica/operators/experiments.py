@@ -241,6 +241,7 @@ def progressive_halving(trials: DataFrame, specs: list[Spec], factor: int = 2, s
     return [specs[at] for at in keep], trials.sparkSession.createDataFrame(rows, "pipeline string, score double, kept boolean")
 
 
+#: The keys of the block.
 def pruning_info(screening: DataFrame | None, metrics: DataFrame, folds: int, halved: bool = False, seconds: dict | None = None) -> dict:
     """What was pruned and why, as a metrics file holds it: screening scores, who was rejected and who remained, who stopped early, and how well the screening ranked."""
     held = [r.asDict() for r in screening.collect()] if screening is not None else []  # a row a pipeline

@@ -333,6 +333,7 @@ def spread(means: list) -> float | None:
     return float(np.mean(d)) if d else None
 
 
+#: Fixed values in ``subject_weights``: two deviations, a quarter, the floor of a weight; in ``temporal``: the order of its numbers.
 def subject_weights(distance: dict, reliable: bool = True) -> tuple[dict, dict]:
     """Weights that sum to 1 by distance from the reference, and who is an outlier: beyond mean + 2 deviations a quarter counts; with ``reliable`` times 1 / (1 + distance)."""
     d = np.array(list(distance.values()))

@@ -127,8 +127,10 @@ class Mdm:
 
     def probabilities(self, v: np.ndarray) -> np.ndarray:
         """Of one triangle, by class in order."""
-        c = linalg.unpack(v)
-        d = np.array([linalg.riemann_distance(m, c) for m in self.means])
+        if not hasattr(self, "_back"):  # made once a process, not once a row
+            self._back = linalg.inv_sqrtm(np.stack(self.means))
+        w = np.linalg.eigvalsh(self._back @ linalg.unpack(v) @ self._back)
+        d = np.sqrt((np.log(np.maximum(w, linalg.FLOOR)) ** 2).sum(-1))
         e = np.exp(-(d - d.min()))
         return e / e.sum()
 

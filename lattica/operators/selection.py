@@ -57,6 +57,7 @@ def ranking_accuracy() -> Column:
     return F.coalesce(F.col("cv_accuracy"), F.col("accuracy"))
 
 
+#: The weights of the parts.
 def composite(overfit_weight: float = 0.5) -> Column:
     """max(0, .4 accuracy + .3 kappa + .2 stability - .1 latency in seconds - w max(0, train - cv))."""
     gap = F.greatest(F.lit(0.0), F.col("train_accuracy") - F.coalesce("cv_accuracy", "train_accuracy"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -109,13 +107,18 @@ def q_filter_bank(spark, sf):
     return E.FilterBankRiemann.fit(t, 250.0, with_temporal=True).transform(t)
 
 
+def _streamed(spark, sf, name):
+    """A table's files as a stream, one micro-batch. A table that is one file is named by a filter on its folder, which a stream needs; Spark says which it is, so any store will do."""
+    path = f"{sf}/{name}.parquet"
+    table = spark.read.parquet(path)
+    reader = spark.readStream.schema(table.schema)
+    if any(f.endswith(f"/{name}.parquet") for f in table.inputFiles()[:1]):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return reader.parquet(path)
+
+
 def _events(spark, sf):
-    """The events' file as a stream, one micro-batch."""
-    path = os.path.join(sf, "events.parquet")
-    schema = spark.read.parquet(path).schema
-    if "://" not in path and os.path.isfile(path):
-        return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return spark.readStream.schema(schema).parquet(path)
+    return _streamed(spark, sf, "events")
 
 
 def _outcomes(df):
@@ -147,9 +150,7 @@ def q_ordered_windows(spark, sf):
 
 def q_selector_stream(spark, sf):
     """Each subject's trials, one a second, through online calibration among three candidates, prediction and drift."""
-    path = os.path.join(sf, "embeddings.parquet")
-    schema = spark.read.parquet(path).schema
-    whole = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf) if "://" not in path and os.path.isfile(path) else spark.readStream.schema(schema).parquet(path)
+    whole = _streamed(spark, sf, "embeddings")
     t = whole.select((F.col("vec_id") % B.SUBJECTS).alias("subject_id"), F.col("vec_id").alias("trial_id"), F.timestamp_seconds(F.col("vec_id")).alias("ts"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("features"))
     candidates = [T.Candidate("all", None, 1.0), T.Candidate("first", list(range(8)), 0.5), T.Candidate("all_shrunk", None, 0.5)]
     return T.run_once(T.selector(t, candidates, calibrate=20, tick=200)).withColumn("rolling_accuracy", F.round("rolling_accuracy", 9))

@@ -4,8 +4,10 @@ A byte goes if a string of ``min_len`` bytes that covers it also starts earlier.
 
 1. Each string of ``min_len`` bytes names one of its grams, the one of least hash: its anchor. Equal strings name equal anchors, so they meet in the
    anchor's bucket. A document sends an anchor once for each place, with a hash of the neighbourhood that holds just the strings it
-   stands for. Anchors found once in the corpus end here.
-2. Of neighbourhoods with equal hashes all but the first are claimed to repeat it whole. Claims of a document that continue each other are one claim, so a copy of
+   stands for. Anchors found once in the corpus end here. A task combines its own before the shuffle: of equal neighbourhoods one goes on, and of an anchor's different ones
+   ``MOST_OF_A_TASK`` go to the anchor's bucket; the rest, which certainly have others to be compared with, are dealt by anchor and neighbourhood. So a passage
+   in very many texts puts a few rows a task in one bucket, not a row a text. (A neighbourhood that came both ways is only compared once more than it need be.)
+2. Of neighbourhoods with equal hashes all but one of a task, and all but the first of those that meet, are claimed to repeat an earlier one whole. Claims of a document that continue each other are one claim, so a copy of
    a text makes one or a few. Each is verified on the bytes of both texts: a BLAKE2b digest of 256 bits of the stretch, made on either side. Anchors with a claim that fails
    are taken up again in step 3, with all their neighbourhoods.
 3. Anchors with several different neighbourhoods are left, one document's text for each neighbourhood. Their texts go to shards by anchor.
@@ -14,7 +16,7 @@ A byte goes if a string of ``min_len`` bytes that covers it also starts earlier.
    suffix array comes from induced sorting, its permuted common prefixes from the array; runs of suffixes with ``min_len`` bytes or more in common are
    equal strings, of which the earliest stays.
 4. Anchors with more than ``MOST_IN_A_SHARD`` neighbourhoods (edges of a passage that very many texts share) go the exact way for the rest:
-   their strings are grouped by value (128 bits of two unlike hashes), with the least place combined before the shuffle, and joined back.
+   their strings are grouped by value (a BLAKE2b digest of 256 bits, as strong as the claims' check), with the least place combined before the shuffle, and joined back.
 
 So whole copies are settled in step 2, which is most of the bytes where copies are common; what texts share in part is decided by the suffix arrays.
 Buckets and shards have a fixed size, so their number grows with the input.
@@ -41,6 +43,8 @@ MOST_IN_A_SHARD = 20_000
 NEAR_BITS = 64
 #: Bytes of neighbourhoods in one suffix array.
 ARRAY_BYTES = 1 << 20
+#: Bytes of text whose anchors a task combines at a time, and different neighbourhoods of an anchor that it sends to the anchor's bucket from each.
+HELD_TEXT, MOST_OF_A_TASK = 32 << 20, 8
 #: Bytes of text for a bucket of anchors, and neighbourhoods for a shard.
 BUCKET_TEXT, SHARD_ROWS = 24 << 20, 24_000
 
@@ -103,58 +107,111 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc", F.coalesce("id", F.xxhash64("text")).alias("d"), F.when(F.col("id").isNull(), h + F.lit(1 << 60)).otherwise(h).alias("t"), "text")
 
 
-_PACKED = {"g": np.uint64, "c": np.uint64, "d": np.int64, "t": np.int64, "s": np.int64, "n": np.int32, "i": np.int32}
-
-
-def _bucketed(rows: DataFrame, min_len: int, buckets: int) -> DataFrame:
-    """(b, and columns of anchors packed as bytes): one row per chunk of texts and bucket."""
-    used = np.uint64((1 << NEAR_BITS) - 1)
+_PACKED = {"g": np.uint64, "c": np.uint64, "d": np.int64, "t": np.int64, "s": np.int64, "n": np.int32, "i": np.int32, "d0": np.int64, "t0": np.int64, "s0": np.int64}
+#: What a packed row holds: neighbourhoods that meet by anchor, others of an anchor that is common in its task, and claims that are made already.
+BY_ANCHOR, BY_BOTH, CLAIMED = 0, 1, 2
+
+
+def _ordered(kind, g, c, d, t, s):
+    """(order, same anchor as the row before, same neighbourhood as the row before, the neighbourhood's first row, whether a row is that place itself), the last four in that order."""
+    o = np.lexsort((s, t, d, c, g, kind))
+    kind, g, c, d, t, s = (x[o] for x in (kind, g, c, d, t, s))
+    same_g = np.r_[False, (g[1:] == g[:-1]) & (kind[1:] == kind[:-1])][: len(g)]
+    same = same_g & np.r_[False, c[1:] == c[:-1]][: len(g)]
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(g))))
+    return o, same_g, same, first, (d == d[first]) & (t == t[first]) & (s == s[first])  # the last: the first itself, or the same row again
+
+
+def _combined(held: list[np.ndarray], most: int):
+    """Of a task's neighbourhoods (g, c, d, t, s, n, i): (kind, bucket's hash, the columns of _PACKED). Equal ones leave one, the others become claims on it here, before anything is shuffled."""
+    g, c, d, t, s, n, i = held
+    o, same_g, same, first, own = _ordered(np.zeros(len(g), np.int8), g, c, d, t, s)
+    g, c, d, t, s, n, i = (x[o] for x in held)
+    rank = np.cumsum(~same)
+    rank -= rank[np.maximum.accumulate(np.where(same_g, 0, np.arange(len(g))))] if len(g) else 0  # which of its anchor's different ones
+    kind = np.where(~own, CLAIMED, np.where(rank >= most, BY_BOTH, BY_ANCHOR)).astype(np.int8)
+    place = np.where(kind == BY_ANCHOR, mixed(g), mixed(g ^ mixed(c)))
+    place = np.where(kind == CLAIMED, mixed(place ^ mixed(d.view(np.uint64)) ^ s.view(np.uint64)), place)
+    keep = ~own | ~same
+    return kind[keep], place[keep], [x[keep] for x in (g, c, d, t, s, n, i, d[first], t[first], s[first])]
+
+
+def _bucketed(rows: DataFrame, min_len: int, buckets: int, only: np.ndarray | None = None) -> DataFrame:
+    """(b, kind, and columns of anchors packed as bytes): one row per HELD_TEXT bytes of texts, bucket and kind. With ``only`` all neighbourhoods of those anchors, none combined."""
+    used, most, room = np.uint64((1 << NEAR_BITS) - 1), MOST_OF_A_TASK, HELD_TEXT
+
+    def packed(parts):
+        held = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        if only is None:
+            kind, place, held = _combined(held, most)
+        else:
+            kind, place, held = np.zeros(len(held[0]), np.int8), mixed(held[0]), [*held, *held[2:5]]
+        bucket = (place % np.uint64(buckets)).astype(np.int32)
+        o = np.lexsort((kind, bucket))
+        cut = np.r_[np.flatnonzero(np.r_[True, (bucket[o][1:] != bucket[o][:-1]) | (kind[o][1:] != kind[o][:-1])][: len(o)]), len(o)]
+        head = o[cut[:-1]]
+        claimed = (kind[head] == CLAIMED).tolist()
+        columns = []
+        for k, x in zip(_PACKED, held, strict=True):
+            x = x[o]
+            columns.append([x[p:q].tobytes() if yes or k not in ("d0", "t0", "s0") else b"" for p, q, yes in zip(cut[:-1].tolist(), cut[1:].tolist(), claimed, strict=True)])
+        for p in range(0, len(head), 4096):
+            q = slice(p, p + 4096)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[head[q]]), pa.array(kind[head[q]]), *(pa.array(x[q], pa.binary()) for x in columns)], names=["b", "kind", *_PACKED])
 
     def run(batches):
+        parts, size = [], 0
         for part in chunks(batches, "text"):
             data, off = flat(part.column(2))
             doc, at, a, b, gram, near = anchors(data, off, min_len)
+            if only is not None:
+                of = np.isin(gram, only)
+                doc, at, a, b, gram, near = (x[of] for x in (doc, at, a, b, gram, near))
             if not len(doc):
                 continue
             d, t = (np.asarray(part.column(k), np.int64)[doc] for k in (0, 1))
-            s, n, i = (a - off[doc]).astype(np.int64), (b - a).astype(np.int32), (at - a).astype(np.int32)
-            bucket = (mixed(gram) % np.uint64(buckets)).astype(np.int32)
-            o = np.argsort(bucket, kind="stable")
-            cut = np.r_[np.flatnonzero(np.diff(bucket[o], prepend=-1)), len(o)]
-            packed = [[x[o[p:q]].tobytes() for p, q in zip(cut[:-1], cut[1:], strict=True)] for x in (gram, near & used, d, t, s, n, i)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[o[cut[:-1]]]), *(pa.array(x, pa.binary()) for x in packed)], names=["b", *_PACKED])
+            parts.append((gram, near & used, d, t, (a - off[doc]).astype(np.int64), (b - a).astype(np.int32), (at - a).astype(np.int32)))
+            size += len(data)
+            if size >= room:
+                yield from packed(parts)
+                parts, size = [], 0
+        if parts:
+            yield from packed(parts)
 
-    return rows.select("d", "t", "text").mapInArrow(run, "b int, " + ", ".join(f"{k} binary" for k in _PACKED))
+    return rows.select("d", "t", "text").mapInArrow(run, "b int, kind byte, " + ", ".join(f"{k} binary" for k in _PACKED))
 
 
 _MET = "d long, t long, s long, n int, i int, g long, settled boolean, d0 long, t0 long, s0 long"
 
 
 def _met(only: np.ndarray | None = None):
-    """Of a bucket: claims that a neighbourhood repeats another, first one whole (settled), and the neighbourhoods to be compared (g is their anchor). With ``only`` all neighbourhoods of those anchors are to be compared."""
+    """Of a bucket: claims that a neighbourhood repeats another, earlier one whole (settled), and the neighbourhoods to be compared (g is their anchor). With ``only`` all neighbourhoods of those anchors are to be compared."""
 
     def run(table: pa.Table) -> pa.Table:
-        held = [np.frombuffer(b"".join(table[k].to_pylist()), v) for k, v in _PACKED.items()]
-        if only is not None:
-            of = np.isin(held[0], only)
-            held = [x[of] for x in held]
-        o = np.argsort(held[0], kind="stable")
-        new = np.r_[True, held[0][o][1:] != held[0][o][:-1]][: len(o)]
+        kinds, packed = np.asarray(table["kind"]), {k: table[k].to_pylist() for k in _PACKED}
+        got = lambda k, of: np.frombuffer(b"".join(packed[k][j] for j in of), _PACKED[k])
+        claims = np.flatnonzero(kinds == CLAIMED).tolist()
+        claimed = {k: got(k, claims) for k in _PACKED}
+        open_ = np.flatnonzero(kinds != CLAIMED).tolist()
+        held = [got(k, open_) for k in list(_PACKED)[:7]]
+        kind = np.repeat(kinds[open_], [len(packed["g"][j]) // 8 for j in open_])
+        o = np.lexsort((held[0], kind))
+        new = np.r_[True, (held[0][o][1:] != held[0][o][:-1]) | (kind[o][1:] != kind[o][:-1])][: len(o)]
         size = np.diff(np.r_[np.flatnonzero(new), len(o)])
-        o = o[np.repeat(size > 1, size)]  # an anchor found once ends here
-        held = [x[o] for x in held]
-        o = np.lexsort((held[4], held[3], held[2], held[1], held[0]))
+        o = o[(np.repeat(size, size) > 1) | (kind[o] == BY_BOTH)]  # an anchor found once ends here
+        kind, held = kind[o], [x[o] for x in held]
+        o, same_g, same, first, own = _ordered(kind, *held[:5])
+        kind = kind[o]
         g, c, d, t, s, n, i = (x[o] for x in held)
-        same_g = np.r_[False, g[1:] == g[:-1]][: len(g)]
-        same = same_g & np.r_[False, c[1:] == c[:-1]][: len(g)]
-        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(g))))
-        own = (d == d[first]) & (t == t[first]) & (s == s[first])  # the first itself, or the same row again
         group = np.cumsum(~same_g) - 1
-        several = np.bincount(group, ~same)[group] > 1 if len(g) else own
+        several = (np.bincount(group, ~same)[group] > 1) | (kind == BY_BOTH) if len(g) else own
         settled = ~own if only is None else np.zeros(len(g), bool)
         keep = settled | (several & ~same) if only is None else np.ones(len(g), bool)
-        refer = lambda x: pa.array(x[first][keep], pa.int64(), mask=~settled[keep])
-        return pa.table({"d": d[keep], "t": t[keep], "s": s[keep], "n": n[keep], "i": i[keep], "g": g[keep].view(np.int64), "settled": settled[keep], "d0": refer(d), "t0": refer(t), "s0": refer(s)})
+        settled = np.r_[settled[keep], np.ones(len(claimed["g"]), bool)]
+        both = lambda k, x: np.r_[x[keep], claimed[k]]
+        refer = lambda k, x: pa.array(both(k, x[first]), pa.int64(), mask=~settled)
+        out = {k: both(k, x) for k, x in zip("dtsnig", (d, t, s, n, i, g), strict=True)}
+        return pa.table({**out, "g": out["g"].view(np.int64), "settled": settled, "d0": refer("d0", d), "t0": refer("t0", t), "s0": refer("s0", s)})
 
     return run
 
@@ -312,7 +369,7 @@ def _failed(rows: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def _by_value(texts: DataFrame, min_len: int, tables: Tables) -> DataFrame:
-    """The exact way for anchors with very many neighbourhoods: strings grouped by value, the least place combined before the shuffle."""
+    """The exact way for anchors with very many neighbourhoods: strings grouped by value (a digest of 256 bits of their bytes, as for claims), the least place combined before the shuffle."""
 
     def run(batches):
         for part in chunks(batches, "x", 1 << 19):
@@ -323,13 +380,14 @@ def _by_value(texts: DataFrame, min_len: int, tables: Tables) -> DataFrame:
             doc = np.repeat(np.arange(part.num_rows), size)
             o = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
             at = off[doc] + o
-            one, two = slice_hashes(data, at, at + min_len, wide=True)
+            raw = data.tobytes()
             d, t = (part.column(k).take(pa.array(doc)) for k in (1, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), d, t, pa.array(np.asarray(part.column(3))[doc] + o)], names=["h", "k", "d", "t", "s"])
+            digests = pa.array([_digest(raw[p : p + min_len]) for p in at.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([digests, d, t, pa.array(np.asarray(part.column(3))[doc] + o)], names=["h", "d", "t", "s"])
 
-    windows = tables.stored(texts.mapInArrow(run, "h long, k long, d long, t long, s long"), "windows")
-    least = windows.groupBy("h", "k").agg(F.min(F.struct("d", "t", "s")).alias("m"))
-    later = windows.join(least, ["h", "k"]).filter(F.struct("d", "t", "s") > F.col("m"))
+    windows = tables.stored(texts.mapInArrow(run, "h binary, d long, t long, s long"), "windows")
+    least = windows.groupBy("h").agg(F.min(F.struct("d", "t", "s")).alias("m"))
+    later = windows.join(least, "h").filter(F.struct("d", "t", "s") > F.col("m"))
     return later.select("d", "t", "s", F.lit(min_len).alias("n"))
 
 
@@ -349,7 +407,7 @@ def spans(rows: DataFrame, min_len: int, most_in_a_shard: int = MOST_IN_A_SHARD)
         again = tables.stored(settled.alias("settled").join(of, inside).select("g").distinct(), "again")
         only = np.asarray(again.toArrow()["g"], np.int64).view(np.uint64)
         settled = settled.join(again, "g", "left_anti")
-        met = tables.stored(_bucketed(rows, min_len, buckets).groupBy("b").applyInArrow(_met(only), _MET), "anchors")
+        met = tables.stored(_bucketed(rows, min_len, buckets, only).groupBy("b").applyInArrow(_met(only), _MET), "anchors")
         more = tables.stored(_read(rows, met), "neighbourhoods")
         texts = texts.join(again, "g", "left_anti").unionByName(more.select(*texts.columns))
     counts = texts.groupBy("g").agg(F.count("*").alias("k"))

@@ -80,6 +80,34 @@ def test_many_texts_of_one_id_keep_their_own(spark):
     assert len({r["text"] for r in kept.collect()} & set(texts)) == 500 - 10 + 1
 
 
+@pytest.mark.parametrize(("most", "room"), [(0, 1), (1, 1 << 11), (2, 1 << 25)])
+def test_common_anchors_are_dealt(spark, monkeypatch, most, room):
+    """However anchors are combined in tasks and dealt, the removed bytes are those of brute force."""
+    monkeypatch.setattr(suffix_dedup, "MOST_OF_A_TASK", most)
+    monkeypatch.setattr(suffix_dedup, "HELD_TEXT", room)
+    rng = random.Random(29)
+    piece = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    shared, edges = piece(150), [piece(30) for _ in range(3)]
+    rows = [(k, rng.choice([piece(rng.randint(0, 90)), rng.choice(edges)]) + shared[rng.choice([0, 0, 20]) :] + piece(rng.randint(0, 90))) for k in range(120)]
+    rows += [(200 + k, rows[5][1]) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for most_in_a_shard in (20_000, 2):
+        assert {r[0]: tuple(r)[1:] for r in suffix_dedup.removal_report(df, 100, most_in_a_shard=most_in_a_shard).collect()} == brute_repeats(rows, 100)
+
+
+def test_a_passage_of_all_texts_puts_few_rows_in_a_bucket(spark):
+    rng = random.Random(31)
+    piece = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    shared = piece(400)
+    df = spark.createDataFrame([(k, piece(60) + shared + piece(60)) for k in range(3000)], "doc_id long, text string").repartition(4)
+    sent = suffix_dedup._bucketed(suffix_dedup._keyed(df, "doc_id", "text"), 100, 64)
+    by_anchor = sent.filter(f"kind = {suffix_dedup.BY_ANCHOR}").select("g").collect()
+    grams = np.concatenate([np.frombuffer(r["g"], np.uint64) for r in by_anchor])
+    assert np.unique(grams, return_counts=True)[1].max() <= 4 * suffix_dedup.MOST_OF_A_TASK
+    held = sent.groupBy("b").agg(F.sum(F.octet_length("g") / 8)).toPandas().iloc[:, 1]
+    assert held.sum() >= 3000 * 3 and held.max() < 2 * held.median()
+
+
 @pytest.mark.parametrize("bits", [64, 2, 0])
 def test_claims_are_verified_on_bytes(spark, monkeypatch, bits):
     monkeypatch.setattr(suffix_dedup, "NEAR_BITS", bits)

@@ -44,7 +44,7 @@ NEAR_BITS = 64
 #: Bytes of neighbourhoods in one suffix array.
 ARRAY_BYTES = 1 << 20
 #: Bytes of text whose anchors a task combines at a time, and different neighbourhoods of an anchor that it sends to the anchor's bucket from each.
-HELD_TEXT, MOST_OF_A_TASK = 32 << 20, 8
+HELD_TEXT, MOST_OF_A_TASK = 32 << 20, 32
 #: Bytes of text for a bucket of anchors, and neighbourhoods for a shard.
 BUCKET_TEXT, SHARD_ROWS = 24 << 20, 24_000
 
@@ -123,26 +123,31 @@ def _ordered(kind, g, c, d, t, s):
 
 
 def _combined(held: list[np.ndarray], most: int):
-    """Of a task's neighbourhoods (g, c, d, t, s, n, i): (kind, bucket's hash, the columns of _PACKED). Equal ones leave one, the others become claims on it here, before anything is shuffled."""
-    g, c, d, t, s, n, i = held
-    o, same_g, same, first, own = _ordered(np.zeros(len(g), np.int8), g, c, d, t, s)
+    """Of a task's neighbourhoods (g, c, d, t, s, n, i): (kind, bucket's hash, the columns of _PACKED). Equal ones leave one, the others become claims on it here, before
+    anything is shuffled; claims of a document that continue each other become one, without an anchor."""
+    o, same_g, same, first, own = _ordered(np.zeros(len(held[0]), np.int8), *held[:5])
     g, c, d, t, s, n, i = (x[o] for x in held)
     rank = np.cumsum(~same)
     rank -= rank[np.maximum.accumulate(np.where(same_g, 0, np.arange(len(g))))] if len(g) else 0  # which of its anchor's different ones
-    kind = np.where(~own, CLAIMED, np.where(rank >= most, BY_BOTH, BY_ANCHOR)).astype(np.int8)
-    place = np.where(kind == BY_ANCHOR, mixed(g), mixed(g ^ mixed(c)))
-    place = np.where(kind == CLAIMED, mixed(place ^ mixed(d.view(np.uint64)) ^ s.view(np.uint64)), place)
-    keep = ~own | ~same
-    return kind[keep], place[keep], [x[keep] for x in (g, c, d, t, s, n, i, d[first], t[first], s[first])]
-
-
-def _bucketed(rows: DataFrame, min_len: int, buckets: int, only: np.ndarray | None = None) -> DataFrame:
-    """(b, kind, and columns of anchors packed as bytes): one row per HELD_TEXT bytes of texts, bucket and kind. With ``only`` all neighbourhoods of those anchors, none combined."""
+    claim, left = np.flatnonzero(~own), np.flatnonzero(~same)
+    at = claim[np.lexsort((t[claim], d[claim]))]
+    new = np.r_[True, (d[at][1:] != d[at][:-1]) | (t[at][1:] != t[at][:-1])][: len(at)]
+    doc, cs, d0, t0, s0, cn = _runs(np.cumsum(new) - 1, s[at], n[at], d[first[at]], t[first[at]], s[first[at]])
+    cd, ct = d[at[new]][doc], t[at[new]][doc]
+    none, zero = np.zeros(len(doc), np.uint64), np.zeros(len(left), np.int64)
+    kind = np.r_[np.where(rank[left] >= most, BY_BOTH, BY_ANCHOR), np.full(len(doc), CLAIMED)].astype(np.int8)
+    place = np.r_[np.where(rank[left] >= most, mixed(g[left] ^ mixed(c[left])), mixed(g[left])), mixed(mixed(cd.view(np.uint64)) ^ cs.view(np.uint64))]
+    held = [(g[left], none), (c[left], none), (d[left], cd), (t[left], ct), (s[left], cs), (n[left], cn.astype(np.int32)), (i[left], none.astype(np.int32)), (zero, d0), (zero, t0), (zero, s0)]
+    return kind, place, [np.concatenate(x) for x in held]
+
+
+def _bucketed(rows: DataFrame, min_len: int, buckets: int, only: np.ndarray | None = None, combine: bool = True) -> DataFrame:
+    """(b, kind, and columns of anchors packed as bytes): one row per HELD_TEXT bytes of texts, bucket and kind. With ``only`` all neighbourhoods of those anchors; then, and without ``combine``, none is combined."""
     used, most, room = np.uint64((1 << NEAR_BITS) - 1), MOST_OF_A_TASK, HELD_TEXT
 
     def packed(parts):
         held = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        if only is None:
+        if only is None and combine:
             kind, place, held = _combined(held, most)
         else:
             kind, place, held = np.zeros(len(held[0]), np.int8), mixed(held[0]), [*held, *held[2:5]]
@@ -154,7 +159,7 @@ def _bucketed(rows: DataFrame, min_len: int, buckets: int, only: np.ndarray | No
         columns = []
         for k, x in zip(_PACKED, held, strict=True):
             x = x[o]
-            columns.append([x[p:q].tobytes() if yes or k not in ("d0", "t0", "s0") else b"" for p, q, yes in zip(cut[:-1].tolist(), cut[1:].tolist(), claimed, strict=True)])
+            columns.append([b"" if k in (("g", "c", "i") if yes else ("d0", "t0", "s0")) else x[p:q].tobytes() for p, q, yes in zip(cut[:-1].tolist(), cut[1:].tolist(), claimed, strict=True)])
         for p in range(0, len(head), 4096):
             q = slice(p, p + 4096)
             yield pa.RecordBatch.from_arrays([pa.array(bucket[head[q]]), pa.array(kind[head[q]]), *(pa.array(x[q], pa.binary()) for x in columns)], names=["b", "kind", *_PACKED])
@@ -192,6 +197,7 @@ def _met(only: np.ndarray | None = None):
         got = lambda k, of: np.frombuffer(b"".join(packed[k][j] for j in of), _PACKED[k])
         claims = np.flatnonzero(kinds == CLAIMED).tolist()
         claimed = {k: got(k, claims) for k in _PACKED}
+        claimed |= {k: np.zeros(len(claimed["d"]), _PACKED[k]) for k in "gi"}
         open_ = np.flatnonzero(kinds != CLAIMED).tolist()
         held = [got(k, open_) for k in list(_PACKED)[:7]]
         kind = np.repeat(kinds[open_], [len(packed["g"][j]) // 8 for j in open_])
@@ -396,9 +402,15 @@ def spans(rows: DataFrame, min_len: int, most_in_a_shard: int = MOST_IN_A_SHARD)
     spark = rows.sparkSession
     tables = Tables(spark)
     buckets = partitions(spark, total_bytes(rows, "text"), BUCKET_TEXT)
-    met = tables.stored(_bucketed(rows, min_len, buckets).groupBy("b").applyInArrow(_met(), _MET), "anchors")
-    read = tables.stored(_read(rows, met), "neighbourhoods")
-    failed = tables.stored(_failed(rows, read.filter("h IS NOT NULL").select("d", "t", "s", "n", "h")), "failed")
+
+    def claimed(combine: bool):
+        met = tables.stored(_bucketed(rows, min_len, buckets, combine=combine).groupBy("b").applyInArrow(_met(), _MET), "anchors")
+        read = tables.stored(_read(rows, met), "neighbourhoods")
+        return met, read, tables.stored(_failed(rows, read.filter("h IS NOT NULL").select("d", "t", "s", "n", "h")), "failed")
+
+    met, read, failed = claimed(True)
+    if not failed.isEmpty():  # claims that tasks made don't name their anchors: once more, with claims that do
+        met, read, failed = claimed(False)
     settled = met.filter("settled")
     texts = read.filter("h IS NULL").select("g", "d", "t", "s", "x", "i")
     if not failed.isEmpty():  # two neighbourhoods of one anchor with equal hashes: expected never

@@ -5,8 +5,10 @@ Files are read with Spark's ``binaryFile``, so from any store; a file is one row
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,10 @@ from lattica.sources.datasets import REGISTRY, TRIAL_SCHEMA
 GDF_TYPES = {1: "<i1", 2: "<u1", 3: "<i2", 4: "<u2", 5: "<i4", 6: "<u4", 7: "<i8", 8: "<u8", 16: "<f4", 17: "<f8"}
 #: Codes of GDF 2 for the units V, mV, uV and nV, and their size in volts.
 VOLTS = {4256: 1.0, 4274: 1e-3, 4275: 1e-6, 4276: 1e-9}
+#: The same units by their names.
+UNITS = {b"V": 1.0, b"mV": 1e-3, b"uV": 1e-6, b"nV": 1e-9}
+#: The name of EDF+'s channels of annotations, and the form of a list of them: onset, duration or none, texts.
+MARKS, _MARK = b"EDF Annotations", re.compile(rb"([+-]\d+(?:\.\d*)?)(?:\x15[\d.]*)?\x14([^\x00]*)\x00")
 #: Trigger codes of the four cues (left hand, right hand, feet, tongue), in order of their labels.
 CUES = {769: 0, 770: 1, 771: 2, 772: 3}
 #: Numeric types of MAT elements, and the classes of arrays that hold numbers.
@@ -28,8 +34,42 @@ MAT_NUMBERS = range(6, 16)
 LEAST_SECONDS = 1.5
 
 
-def read_gdf(raw: bytes) -> dict:
-    """{fs, names, signal (channels, samples) in volts where the unit says so, events [(first sample, code)]} of a file whose channels share one rate."""
+@dataclass(frozen=True)
+class Layout:
+    """Where the samples of a recording lie, and their scale: records end to end from byte ``start``; in each the channels one after another."""
+
+    fs: float
+    names: list[str]
+    start: int
+    records: int
+    per_record: int
+    record_seconds: float
+    kinds: list[str]
+    edge: np.ndarray
+    taken: list[int]
+    digital_low: np.ndarray
+    ratio: np.ndarray
+    low: np.ndarray
+    scale: np.ndarray
+    version: float = 0.0
+
+    @property
+    def record_bytes(self) -> int:
+        return int(self.edge[-1])
+
+    def signal(self, body: np.ndarray) -> np.ndarray:
+        """(channels, samples) in volts where the unit says so; body: bytes by record."""
+        cells = [np.ascontiguousarray(body[:, self.edge[k] : self.edge[k + 1]]).view(self.kinds[k]).reshape(-1).astype(np.float64) for k in self.taken]
+        digital = np.stack(cells) if cells else np.zeros((0, 0))
+        return ((digital - self.digital_low[:, None]) * self.ratio[:, None] + self.low[:, None]) * self.scale[:, None]
+
+
+def _ratio(low, high, digital_low, digital_high):
+    return (high - low) / np.where(digital_high > digital_low, digital_high - digital_low, 1.0)
+
+
+def gdf_layout(raw: bytes, size: int) -> Layout:
+    """From the header: 256 bytes, and 256 a channel. size: bytes of the file."""
     text = raw[:8].decode("latin-1")
     if not text.startswith("GDF"):
         raise ValueError("not a GDF file")
@@ -52,32 +92,79 @@ def read_gdf(raw: bytes) -> dict:
         column("", 6)
         scale = np.array([VOLTS.get(int(u), 1.0) for u in column("<u2")])
     else:
-        units = {b"V": 1.0, b"mV": 1e-3, b"uV": 1e-6, b"nV": 1e-9}
-        scale = np.array([units.get(u.split(b"\x00")[0].strip(), 1.0) for u in column("S8").tolist()])
+        scale = np.array([UNITS.get(u.split(b"\x00")[0].strip(), 1.0) for u in column("S8").tolist()])
     low, high = column("<f8"), column("<f8")
     digital_low, digital_high = (column("<f8" if new else "<i8").astype(np.float64) for _ in range(2))
     column("", 80)
     per_record, kinds = column("<u4").astype(int), [GDF_TYPES[int(k)] for k in column("<u4")]
     if n == 0 or len(set(per_record.tolist())) > 1:
         raise ValueError("channels of different rates")
-    size = [k * np.dtype(t).itemsize for k, t in zip(per_record, kinds, strict=True)]
+    edge = np.r_[0, np.cumsum([k * np.dtype(t).itemsize for k, t in zip(per_record, kinds, strict=True)])]
+    if records < 0:
+        records = (size - header) // max(1, int(edge[-1]))
+    return Layout(float(per_record[0]) * bottom / top, names, header, int(records), int(per_record[0]), top / bottom, kinds, edge, list(range(n)), digital_low, _ratio(low, high, digital_low, digital_high), low, scale, version)
+
+
+def gdf_events(table: bytes, version: float) -> list[tuple[int, int]]:
+    """(first sample, code) in order, from the table behind the records."""
+    if len(table) < 8:
+        return []
+    count = int.from_bytes(table[1:4], "little") if version >= 1.94 else struct.unpack_from("<I", table, 4)[0]
+    if table[0] not in (1, 3) or len(table) < 8 + 6 * count:
+        return []
+    place = np.frombuffer(table, "<u4", count, 8).astype(int) - 1  # counted from 1
+    return sorted(zip(place.tolist(), np.frombuffer(table, "<u2", count, 8 + 4 * count).astype(int).tolist(), strict=True))
+
+
+def read_gdf(raw: bytes) -> dict:
+    """{fs, names, signal (channels, samples) in volts where the unit says so, events [(first sample, code)]} of a file whose channels share one rate."""
+    at = gdf_layout(raw, len(raw))
+    end = at.start + at.records * at.record_bytes
+    body = np.frombuffer(raw, np.uint8, end - at.start, at.start).reshape(at.records, at.record_bytes)
+    return {"fs": at.fs, "names": at.names, "signal": at.signal(body), "events": gdf_events(raw[end:], at.version)}
+
+
+def edf_layout(raw: bytes, size: int) -> Layout:
+    """From the header of EDF or EDF+: 256 bytes, and 256 a channel. Channels of annotations are not taken."""
+    if raw[:8].strip() != b"0" or len(raw) < 512:
+        raise ValueError("not an EDF file")
+    if raw[192:197] == b"EDF+D":
+        raise ValueError("a discontinuous recording")
+    n, at = int(raw[252:256]), 256
+
+    def column(width: int) -> list[bytes]:
+        nonlocal at
+        at += n * width
+        return [raw[at - n * width + k * width :][:width].strip() for k in range(n)]
+
+    names, _, units = column(16), column(80), column(8)
+    low, high, digital_low, digital_high = (np.array([float(x) for x in column(8)]) for _ in range(4))
+    column(80)
+    per = [int(x) for x in column(8)]
+    taken = [k for k in range(n) if names[k] != MARKS]
+    if len({per[k] for k in taken}) > 1:
+        raise ValueError("channels of different rates")
+    edge = 2 * np.r_[0, np.cumsum(per)]
+    start, records, seconds = int(raw[184:192]), int(raw[236:244]), float(raw[244:252])
     if records < 0:
-        records = (len(raw) - header) // max(1, sum(size))
-    body = np.frombuffer(raw, np.uint8, records * sum(size), header).reshape(records, sum(size))
-    edge = np.r_[0, np.cumsum(size)]
-    digital = np.stack([np.ascontiguousarray(body[:, a:b]).view(t).reshape(-1).astype(np.float64) for a, b, t in zip(edge[:-1], edge[1:], kinds, strict=True)])
-    span = np.where(digital_high > digital_low, digital_high - digital_low, 1.0)
-    signal = ((digital - digital_low[:, None]) * ((high - low) / span)[:, None] + low[:, None]) * scale[:, None]
-    at = header + records * sum(size)
-    events: list[tuple[int, int]] = []
-    if len(raw) >= at + 8:
-        mode = raw[at]
-        count = int.from_bytes(raw[at + 1 : at + 4], "little") if version >= 1.94 else struct.unpack_from("<I", raw, at + 4)[0]
-        if mode in (1, 3) and len(raw) >= at + 8 + 6 * count:
-            place = np.frombuffer(raw, "<u4", count, at + 8).astype(int) - 1  # counted from 1
-            code = np.frombuffer(raw, "<u2", count, at + 8 + 4 * count).astype(int)
-            events = sorted(zip(place.tolist(), code.tolist(), strict=True))
-    return {"fs": float(per_record[0]) * bottom / top, "names": names, "signal": signal, "events": events}
+        records = (size - start) // max(1, int(edge[-1]))
+    rate = per[taken[0]] if taken else 0
+    scale = np.array([UNITS.get(u, 1.0) for u in units])
+    ratio = _ratio(low, high, digital_low, digital_high)
+    return Layout(rate / seconds if seconds else 0.0, [names[k].decode("latin-1") for k in taken], start, records, rate, seconds, ["<i2"] * n, edge, taken, digital_low[taken], ratio[taken], low[taken], scale[taken])
+
+
+def edf_marks(at: Layout, body: np.ndarray, first: int) -> list[tuple[int, str]]:
+    """(sample, text) of the annotations in records (bytes by record), of which the first has number ``first``. An annotation's time counts from that of its record's own first entry."""
+    out = []
+    for k, record in enumerate(body):
+        own = None
+        for c in sorted(set(range(len(at.kinds))) - set(at.taken)):
+            for onset, texts in _MARK.findall(record[at.edge[c] : at.edge[c + 1]].tobytes()):
+                own = float(onset) if own is None else own
+                place = (first + k) * at.per_record + round((float(onset) - own) * at.fs)
+                out += [(place, x.decode("utf-8", "replace")) for x in texts.split(b"\x14") if x]
+    return out
 
 
 def _mat_elements(raw: bytes, order: str):

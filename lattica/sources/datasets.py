@@ -107,6 +107,7 @@ def load(name: str, spark: SparkSession, **options) -> DataFrame:
     import inspect
 
     import lattica.sources.biosignal  # noqa: F401  registers its formats
+    import lattica.sources.recordings  # noqa: F401
 
     f = REGISTRY[name]
     known = inspect.signature(f).parameters

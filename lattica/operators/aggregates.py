@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -37,8 +38,9 @@ def correction_accuracy(df: DataFrame, predicted: str, corrected: str) -> DataFr
 
 def ablation(df: DataFrame, method: str, subject: str, value: str, reference: str, order: list[str]) -> DataFrame:
     """(pos, method, n, mean, std_sample, mean_delta, cohens_d) in a fixed order of methods, deltas paired with the reference by subject."""
-    ref = df.filter(F.col(method) == reference).select(F.col(subject), F.col(value).alias("_ref"))
-    j = df.join(ref, subject, "left").withColumn("_d", F.col(value) - F.col("_ref"))
+    # A window over a subject's rows, not a join of two reads: means summed twice in another order would differ from themselves, and noise over noise is an effect.
+    held = F.collect_list(F.when(F.col(method) == reference, F.struct(F.col(value).alias("v")))).over(W.partitionBy(subject))
+    j = df.withColumn("_refs", F.when(F.col(subject).isNotNull(), held)).select("*", F.explode_outer("_refs").alias("_r")).withColumn("_d", F.col(value) - F.col("_r.v"))
     g = j.groupBy(method).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std_sample"), F.avg("_d").alias("mean_delta"), F.stddev_pop("_d").alias("_s"))
     pos = F.coalesce(F.array_position(F.array(*[F.lit(m) for m in order]), F.col(method)), F.lit(0))
     return g.withColumn("cohens_d", F.when(F.col("_s") > 0, F.col("mean_delta") / F.col("_s")).otherwise(0.0)).withColumn("pos", pos).drop("_s")

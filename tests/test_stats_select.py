@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import stats as X
+from lattica.operators import aggregates as A
 from lattica.operators import selection as L
 
 
@@ -87,3 +88,21 @@ def test_grids_and_helpers(spark):
     assert L.parse_spec(["ica", "csp", "lda"]) == {"steps": ["ica"], "feature": "csp", "classifier": "lda"}
     assert L.halving_rounds(20, 4) == [10, 5, 4] and L.screening_keep(16) == 8
     assert L.early_stop([0.2, 0.3], 5, 0.75) and not L.early_stop([0.9, 0.9], 5, 0.75)
+
+
+def test_ablation_reference_has_no_effect_on_itself(spark):
+    """Means of many prices depend in their last digits on the order of their sums, which a second read of the rows doesn't keep."""
+    rows = spark.range(60_000).select((F.col("id") % 25).alias("s"), F.concat(F.lit("m"), F.floor(F.col("id") / 25) % 3).alias("m"), (F.pmod(F.xxhash64("id"), F.lit(50_000_000)) / 100.0).alias("x"))
+    means = rows.repartition(7).groupBy("s", "m").agg(F.avg("x").alias("v"))
+    got = {r["m"]: r for r in A.ablation(means, "m", "s", "v", "m1", ["m1", "m0", "m2"]).collect()}
+    assert (got["m1"]["mean_delta"], got["m1"]["cohens_d"], got["m1"]["n"]) == (0.0, 0.0, 25)
+    v = {(r["s"], r["m"]): r["v"] for r in means.collect()}
+    d = np.array([v[s, "m2"] - v[s, "m1"] for s in range(25)])
+    assert got["m2"]["mean_delta"] == pytest.approx(d.mean()) and got["m2"]["cohens_d"] == pytest.approx(d.mean() / d.std())
+
+
+def test_ablation_pairs_missing_and_repeated_rows(spark):
+    rows = [(1, "r", 1.0), (1, "r", 3.0), (1, "a", 4.0), (2, "a", 5.0), (3, "r", None), (3, "a", 7.0), (None, "r", 9.0), (None, "a", 8.0)]
+    got = {r["m"]: r for r in A.ablation(spark.createDataFrame(rows, "s int, m string, v double"), "m", "s", "v", "r", ["r"]).collect()}
+    assert (got["a"]["n"], got["a"]["mean"], got["a"]["mean_delta"], got["a"]["cohens_d"], got["a"]["pos"]) == (5, 5.6, 2.0, 2.0, 0)
+    assert (got["r"]["n"], got["r"]["mean_delta"], got["r"]["pos"]) == (5, 0.0, 1)

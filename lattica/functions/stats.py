@@ -8,13 +8,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from lattica.functions.hashed import first_words
 from lattica.functions.metrics import counted_below
+from lattica.session import shared_path
 
 #: Pairs up to which all sign patterns are counted.
 EXACT_PAIRS = 20
@@ -158,14 +161,66 @@ def permutation_exact(pairs: DataFrame, key: str, by: list[str] = ()) -> DataFra
     return out.join(p, by, "left") if by else out.crossJoin(p)
 
 
+#: Hashes that a task holds as signs or draws at a time.
+CELLS = 1 << 20
+#: Families whose sums of all permutations a task keeps before it passes them on.
+KEPT_FAMILIES = 64
+
+
+def _tasks(df: DataFrame) -> int:
+    """How many tasks share work that is far larger than its rows."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def _signed_sums(d: DataFrame, by: list[str], n_perm: int, seed: int) -> DataFrame:
+    """(by, _p, _s): parts of the sum of each family's ``_d`` under each permutation's signs, which ``_k`` decides; null deltas count as 0.
+
+    A pair's signs are a column of an array, made once for all families that have the pair, not ``n_perm`` rows."""
+    n = len(by)
+    d = d.select(*by, "_k", "_d").repartition(_tasks(d), "_k").sortWithinPartitions("_k")
+    out = StructType([*[StructField(f"c{j}", f.dataType) for j, f in enumerate(d.schema.fields[:n])], StructField("_p", LongType()), StructField("_s", DoubleType())])
+
+    def passed_on(kept):
+        for row, sums in kept.values():
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(np.zeros(n_perm, np.int64))) for c in row], pa.array(np.arange(n_perm)), pa.array(sums)], names=out.names)
+
+    def run(batches):
+        kept: dict = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                keys, place, rows = part.column(n).to_pylist(), {}, {}
+                columns = np.array([place.setdefault(k, len(place)) for k in keys])
+                for r, family in enumerate(map(str, zip(*[c.to_pylist() for c in part.columns[:n]], strict=True)) if n else [""] * len(keys)):
+                    rows.setdefault(family, []).append(r)
+                if len(kept) + len(rows) > KEPT_FAMILIES:
+                    yield from passed_on(kept)
+                    kept.clear()
+                for family, held in rows.items():
+                    if family not in kept:
+                        kept[family] = [c.slice(held[0], 1) for c in part.columns[:n]], np.zeros(n_perm)
+                delta = part.column(n + 1).fill_null(0.0).to_numpy(zero_copy_only=False)
+                tails = [b"" if k is None else b":" + k.encode() for k in place]
+                step = max(1, CELLS // len(tails))
+                for lo in range(0, n_perm, step):
+                    hi = min(n_perm, lo + step)
+                    signs = 1.0 - 2.0 * (first_words([f"{seed}:{p}".encode() for p in range(lo, hi)], tails) >> np.uint32(4) & np.uint32(1))  # the first hex digit is even or odd
+                    for family, held in rows.items():
+                        kept[family][1][lo:hi] += signs[:, columns[held]] @ delta[held]
+                if len(kept) > KEPT_FAMILIES:
+                    yield from passed_on(kept)
+                    kept.clear()
+        yield from passed_on(kept)
+
+    return d.toDF(*[f"c{j}" for j in range(n)], "_k", "_d").mapInArrow(run, out).toDF(*by, "_p", "_s")
+
+
 def permutation(pairs: DataFrame, key: str, by: list[str] = (), n_perm: int = 10_000, seed: int = 42) -> DataFrame:
     """Monte Carlo with hashed signs: (k + 1) / (n_perm + 1). Each pair's signs come from the MD5 of seed:permutation:key; sums combine before the shuffle."""
-    d = pairs.select(*by, F.col(key).cast("string").alias("_k"), (F.col("v2") - F.col("v1")).alias("_d"))
+    d = pairs.select(*by, F.col(key).cast("string").alias("_k"), (F.col("v2") - F.col("v1")).cast("double").alias("_d"))
     obs = d.groupBy(*by).agg(F.abs(F.sum("_d")).alias("_o"), F.count("*").alias("n"))
-    m = d.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-    digit = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_p").cast("string"), "_k")), 1, 1), 16, 10).cast("int")
-    sign = F.when(digit % 2 == 0, 1.0).otherwise(-1.0)
-    s = m.groupBy(*by, "_p").agg(F.abs(F.sum(sign * F.col("_d"))).alias("_s"))
+    s = _signed_sums(d, list(by), n_perm, seed).groupBy(*by, "_p").agg(F.abs(F.sum("_s")).alias("_s"))
     s = s.join(obs, by) if by else s.crossJoin(obs)
     g = s.groupBy(*by).agg(F.max("n").alias("n"), F.count(F.when(F.col("_s") >= F.col("_o") - 1e-12, 1)).alias("_k"))
     return g.withColumn("p_value", (F.col("_k") + 1.0) / (n_perm + 1)).drop("_k")
@@ -189,12 +244,44 @@ def hashed_index(seed: int, replicate: Column, place: Column, n: Column) -> Colu
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), place.cast("string"))), 1, 7), 16, 10).cast("long") % n
 
 
+#: Pairs up to which a family's deltas are one array in a task; a larger family's draws are rows that meet them in a join.
+HELD_PAIRS = 1 << 18
+
+
+def _drawn_means(d: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
+    """(by, _n, _m): the mean of each replicate's draws, from (by, _d, _i, _n) of families of HELD_PAIRS at most. Replicates are dealt in ranges, the deltas with each."""
+    n = len(by)
+    g = d.groupBy(*by, "_n").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_d"))), lambda s: s["_d"]).alias("_ds"))
+    size = F.greatest(F.lit(1), F.floor(F.lit(4 * CELLS) / F.col("_n"))).cast("int")
+    g = g.withColumn("_lo", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), size))).select(*by, "_n", "_ds", "_lo", F.least(F.lit(replicates), F.col("_lo") + size).alias("_hi")).repartition(_tasks(d))
+    out = StructType([*[StructField(f"c{j}", f.dataType) for j, f in enumerate(g.schema.fields[:n])], StructField("_n", LongType()), StructField("_m", DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                count, lo, hi = (batch.column(k)[r].as_py() for k in (n, n + 2, n + 3))
+                deltas = batch.column(n + 1)[r].values
+                there = deltas.is_valid().to_numpy(zero_copy_only=False)
+                deltas = deltas.fill_null(0.0).to_numpy(zero_copy_only=False)
+                tails, step, means = [b"%d" % k for k in range(count)], max(1, CELLS // count), []
+                for at in range(lo, hi, step):
+                    picks = (first_words([b"%d:%d:" % (seed, b) for b in range(at, min(hi, at + step))], tails).byteswap() >> np.uint32(4)) % np.uint32(count)  # seven hex digits
+                    known = there[picks].sum(axis=1)
+                    means += [t / k if k else None for t, k in zip(deltas[picks].sum(axis=1).tolist(), known.tolist(), strict=True)]
+                row = pa.array(np.full(len(means), r))
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(row) for k in range(n + 1)], pa.array(means, pa.float64())], names=out.names)
+
+    return g.toDF(*[f"c{j}" for j in range(n)], "_n", "_ds", "_lo", "_hi").mapInArrow(run, out).toDF(*by, "_n", "_m")
+
+
 def bootstrap_ci(pairs: DataFrame, key: str, by: list[str] = (), replicates: int = 2000, seed: int = 42, level: float = 0.95, resolution: int | None = None) -> DataFrame:
     """(n, ci_low, ci_high) of the mean delta: rows drawn by hashed place, percentiles with linear interpolation."""
     family = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))  # a family of pairs: one row a subject
-    d = pairs.withColumn("_d", F.col("v2") - F.col("v1")).withColumn("_i", F.row_number().over(family.orderBy(key)) - 1).withColumn("_n", F.count(F.lit(1)).over(family)).select(*by, "_d", "_i", "_n")
-    drawn = d.select(*by, F.col("_i").alias("_place"), "_n").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_i", hashed_index(seed, F.col("_b"), F.col("_place"), F.col("_n")))
-    means = drawn.join(d.drop("_n"), [*by, "_i"]).groupBy(*by, "_b").agg(F.avg("_d").alias("_m"), F.max("_n").alias("_n"))
+    d = pairs.withColumn("_d", (F.col("v2") - F.col("v1")).cast("double")).withColumn("_i", F.row_number().over(family.orderBy(key)) - 1).withColumn("_n", F.count(F.lit(1)).over(family)).select(*by, "_d", "_i", "_n")
+    large = d.filter(F.col("_n") > HELD_PAIRS)
+    drawn = large.select(*by, F.col("_i").alias("_place"), "_n").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_i", hashed_index(seed, F.col("_b"), F.col("_place"), F.col("_n")))
+    means = drawn.join(large.drop("_n"), [*by, "_i"]).groupBy(*by, "_b").agg(F.avg("_d").alias("_m"), F.max("_n").alias("_n"))
+    means = _drawn_means(d.filter(F.col("_n") <= HELD_PAIRS), list(by), replicates, seed).unionByName(means.select(*by, "_n", "_m"))
     lo = (1 - level) / 2
     return means.groupBy(*by).agg(F.max("_n").alias("n"), F.percentile("_m", lo).alias("ci_low"), F.percentile("_m", 1 - lo).alias("ci_high"))
 
@@ -240,6 +327,9 @@ def compare(a: DataFrame, b: DataFrame, key: str, metrics: list[str], test: str
     """One row per metric: both means and deviations, delta, statistic, p, effect size, interval. Metrics with fewer than two pairs have an error instead of a p."""
     long = lambda df: df.select(key, F.expr("stack({}, {}) as (metric, value)".format(len(metrics), ", ".join(f"'{m}', cast({m} as double)" for m in metrics)))).filter("value IS NOT NULL").groupBy(key, "metric").agg(F.max("value").alias("value"))
     pairs = long(a).withColumnRenamed("value", "v1").join(long(b).withColumnRenamed("value", "v2"), [key, "metric"])
+    path = shared_path(pairs.sparkSession, "pairs")
+    pairs.write.parquet(path)  # a few numbers a key, read by each statistic; what made them may be large
+    pairs = pairs.sparkSession.read.parquet(path)
     by = ["metric"]
     out = effect(pairs, by)
     if test == "t":

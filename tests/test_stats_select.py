@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import math
 
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import stats as X
+from lattica.functions.hashed import first_words
 from lattica.operators import aggregates as A
 from lattica.operators import selection as L
 
@@ -106,3 +108,59 @@ def test_ablation_pairs_missing_and_repeated_rows(spark):
     got = {r["m"]: r for r in A.ablation(spark.createDataFrame(rows, "s int, m string, v double"), "m", "s", "v", "r", ["r"]).collect()}
     assert (got["a"]["n"], got["a"]["mean"], got["a"]["mean_delta"], got["a"]["cohens_d"], got["a"]["pos"]) == (5, 5.6, 2.0, 2.0, 0)
     assert (got["r"]["n"], got["r"]["mean_delta"], got["r"]["pos"]) == (5, 0.0, 1)
+
+
+def md5_word(text):
+    return int.from_bytes(hashlib.md5(text.encode()).digest()[:4], "little")
+
+
+def test_first_words_are_md5(spark):
+    heads, tails = ["", "7:", "42:9:", "42:10:", "42:123456:"], ["", "a", "é漢", *map(str, range(0, 2000, 7)), *["x" * n for n in range(40, 70)], "y" * 200]
+    got = first_words([h.encode() for h in heads], [t.encode() for t in tails])
+    assert got.tolist() == [[md5_word(h + t) for t in tails] for h in heads]
+
+
+def test_compare_reads_its_inputs_once(spark):
+    """Every statistic read both tables anew: at 60,000 keys that, and a row for each pair and permutation, didn't end in time."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def noted(x):
+        read.add(1)
+        return x
+
+    base = spark.range(50).select(F.concat(F.lit("k"), F.col("id")).alias("k"), (F.col("id") / 100.0).alias("m"))
+    a = base.withColumn("m", noted("m"))
+    X.compare(a, base.withColumn("m", F.sqrt("m")), "k", ["m"], n_perm=300, replicates=100).collect()
+    assert read.value == 50
+
+
+@pytest.mark.parametrize("by", [[], ["f"], ["f", "g"]])
+def test_signs_and_draws_by_plain_hashing(spark, by, monkeypatch):
+    """Families that share keys, of unequal sizes, more than a task keeps; null keys and a null delta; a family beyond the size of an array meets its draws in a join."""
+    monkeypatch.setattr(X, "KEPT_FAMILIES", 1)
+    rng = np.random.RandomState(5)
+    rows = [(f"f{f}", f, (None if i == 3 and f == 1 else f"key{'x' * (i % 60)}{i}"), 0.0, (None if (i, f) == (4, 0) else float(rng.normal(0.2)))) for f in range(3) for i in range(25 + 900 * (f == 2))]
+    if not by:
+        rows = [r for r in rows if r[1] == 2]
+    df = spark.createDataFrame(rows, "f string, g int, k string, v1 double, v2 double").repartition(3)
+    families = {}
+    for r in rows:
+        families.setdefault(r[0], []).append(r)
+    p = {r["f"] if by else "f2": r for r in X.permutation(df, "k", by, 700, 9).collect()}
+    ci = {r["f"] if by else "f2": r for r in X.bootstrap_ci(df, "k", by, 60, 9).collect()}
+    monkeypatch.setattr(X, "HELD_PAIRS", 30)
+    joined = {r["f"] if by else "f2": r for r in X.bootstrap_ci(df, "k", by, 60, 9).collect()}
+    assert set(p) == set(ci) == set(joined) == set(families)
+    for f, held in families.items():
+        d = {i: r[4] for i, r in enumerate(held)}
+        total = sum(v for v in d.values() if v is not None)
+        sums = [sum((1 if (md5_word(f"9:{q}" + ("" if held[i][2] is None else ":" + held[i][2])) >> 4) % 2 == 0 else -1) * v for i, v in d.items() if v is not None) for q in range(700)]
+        assert (p[f]["n"], p[f]["p_value"]) == (len(held), (sum(abs(s) >= abs(total) - 1e-12 for s in sums) + 1) / 701)
+        values = [r[4] for r in sorted(held, key=lambda r: (r[2] is not None, r[2] or ""))]
+        means = []
+        for b in range(60):
+            got = [values[int(hashlib.md5(f"9:{b}:{i}".encode()).hexdigest()[:7], 16) % len(values)] for i in range(len(values))]
+            means.append(np.mean([v for v in got if v is not None]))
+        for row in (ci[f], joined[f]):
+            assert row["n"] == len(held) and [row["ci_low"], row["ci_high"]] == pytest.approx(np.percentile(means, [2.5, 97.5]).tolist())

@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 
 import numpy as np
@@ -31,6 +32,33 @@ def reference(ranks):
 PARTS = ["a", "b", "the", "ing", " ", "é", "ß", "漢", "1", "!!", "\n", "\t", "😀", "er", "on", "aaaa", "\x00", "<|endoftext|>", "’s", "  "]
 
 
+def test_new_pieces_continue_each_other(ranks, reference, monkeypatch):
+    """Each new piece had a table of its own, all its substrings looked up at every byte: over the CPU limit. Pieces that begin alike share their tables' beginnings."""
+    fresh, done, extend = bpe.PrefixBPE(ranks), [], bpe.PrefixBPE.extend
+    monkeypatch.setattr(bpe.PrefixBPE, "extend", lambda self, data, last, *more: (done.append(len(data) + 1 - len(last)), extend(self, data, last, *more))[1])
+    words = [" quimber" + a + b for a in "aeiouxyzqw" for b in "bcdfghjklmnp"]
+    encode = bpe.TextEncoder(fresh, vocabulary()[1])
+    assert [list(memoryview(x).cast("I")) for x in encode.many(["".join(words), "".join(words[::-1])])] == [reference.encode_ordinary("".join(w)) for w in (words, words[::-1])]
+    assert sum(done) < 300 < sum(map(len, words))
+
+
+def test_small_stores_and_cut_texts(ranks, reference, monkeypatch):
+    """Stores that are emptied amid a piece, texts beyond a group's characters, pieces too long to keep; tables pickled after use."""
+    for name, most in (("KEPT_PIECES", 7), ("KEPT_PAIRS", 5), ("LONG_TEXT", 60)):
+        monkeypatch.setattr(bpe, name, most)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 60))) for _ in range(120)] + ["", "x" * 200, "ab" * 25, "é" * 70]
+    tables = bpe.PrefixBPE(ranks)
+    for _ in range(2):
+        encode = bpe.TextEncoder(tables, vocabulary()[1])
+        assert [list(memoryview(x).cast("I")) for x in encode.many(texts)] == [reference.encode_ordinary(t) for t in texts]
+        assert [encode(t) for t in texts] == encode.many(texts)
+        tables = pickle.loads(pickle.dumps(tables))
+    data, last = tables.append(b"", [-1], b"the fin")
+    data, last = tables.append(data, last, "ished ßtring".encode())
+    assert last == tables.table("the finished ßtring".encode())
+
+
 def test_ids_equal_the_library(spark, reference):
     rng = random.Random(1)
     texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 80))) for _ in range(500)] + ["", None, "x" * 20_000, "ab " * 30_000, " " * 5000]
